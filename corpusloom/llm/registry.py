@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import minhash
+from corpusloom.llm import decontaminate, minhash, suffix_dedup
 
 
 def queries() -> dict:
-    return {"op2_minhash": minhash.op2_minhash}
+    return {
+        "op2_minhash": minhash.op2_minhash,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": decontaminate.ORACLE}
