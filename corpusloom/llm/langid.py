@@ -91,16 +91,16 @@ def trie(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return alphabet, child, np.array(ends, np.int64), max(map(len, pieces), default=1)
 
 
-def _classes(letters: list[np.ndarray]):
-    """Words by length class: their places and a matrix of letters, padded with -1."""
-    n = np.fromiter(map(len, letters), np.int64, len(letters))
-    for lo, hi in ((1, 4), (5, 8), (9, 12), (13, 20), (21, LONG)):
+def _classes(text: np.ndarray, n: np.ndarray):
+    """Words by length class: their places and a matrix of letters, padded with -1. text holds the letters of all words, n their lengths."""
+    begin = np.cumsum(n) - n
+    for lo, hi in ((1, 4), (5, 7), (8, 10), (11, 14), (15, 20), (21, LONG)):
         rows = np.flatnonzero((n >= lo) & (n <= hi))
         for at in range(0, len(rows), 16384):
             own = rows[at : at + 16384]
-            m = np.full((len(own), n[own].max()), -1, np.int64)
-            m[np.arange(m.shape[1]) < n[own, None]] = np.concatenate([letters[i] for i in own])
-            yield own, m, n[own]
+            spot = np.arange(n[own].max())
+            inside = spot < n[own, None]
+            yield own, np.where(inside, text[np.where(inside, begin[own, None] + spot, 0)], -1), n[own]
 
 
 def _edges(model: Model, m: np.ndarray, i: int):
@@ -154,15 +154,14 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(model.langs)))
     if not words:
         return out
-    text = model.letters("".join(MARK + w for w in words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    letters = np.split(text, ends[:-1])
-    for own, m, n in _classes(letters):
+    text = model.letters(MARK + MARK.join(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    for own, m, n in _classes(text, sizes):
         alpha = _forward(model, m, model.prob)
         out[own] = np.log(np.maximum(alpha[n, np.arange(len(own))], 1e-300))
-    for i, w in enumerate(letters):
-        if len(w) > LONG:
-            out[i] = _long_word(model, w)
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = _long_word(model, text[ends[i] - sizes[i] : ends[i]])
     return out
 
 
@@ -181,12 +180,12 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> Model:
     for l, lang in enumerate(langs):
         words = [w for w in counts[lang] if len(w) < LONG]
         weight = np.array([counts[lang][w] for w in words], float)
-        letters = [model.letters(MARK + w) for w in words]
+        text, sizes = model.letters("".join(MARK + w for w in words)), np.fromiter(map(len, words), np.int64, len(words)) + 1
         prob = np.zeros((len(child), 1))
         prob[ends, 0] = 1 / len(pieces)
         for _ in range(ROUNDS):
             total = np.zeros(len(child))
-            for own, m, n in _classes(letters):
+            for own, m, n in _classes(text, sizes):
                 alpha = _forward(model, m, prob)[:, :, 0]
                 z = np.maximum(alpha[n, np.arange(len(own))], 1e-300)
                 beta = np.zeros_like(alpha)
@@ -222,20 +221,28 @@ def training_counts(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> d
 _LETTER = str.isalpha
 
 
+class _Places(dict):
+    """Word -> its place, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _predict(shared):
     def run(batches):
         model = shared.value
-        place: dict[str, int] = {}
+        place = _Places()
         known = np.empty((CACHE, len(model.langs)))
         for b in slices(batches, 256):
             if len(place) > CACHE // 2:
-                place = {}
+                place = _Places()
             old = len(place)
             ids, sizes, letter = [], [], []
             for text in b.column("text").to_pylist():
                 letter.append(bool(text) and any(map(_LETTER, text)))
                 words = text.lower().split() if letter[-1] else ()
-                ids.extend([place.setdefault(w, len(place)) for w in words])
+                ids.extend(map(place.__getitem__, words))
                 sizes.append(len(words))
             langs, scores = [UND] * len(sizes), [0.0] * len(sizes)
             if ids and model.langs:
