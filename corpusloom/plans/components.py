@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.materialize import written
 
-#: Edges that one task folds at once.
-CHUNK = 500_000
+#: Edges that one task folds at once: a few tens of megabytes.
+CHUNK = 250_000
 
 
 def _folded(batches):
@@ -54,7 +54,12 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     never a partial answer.
     """
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    e = written(e.mapInArrow(_folded, "a long, b long").distinct(), "cc-edges")
+    e = written(e.distinct(), "cc-edges")
+    n = e.count()
+    if n <= CHUNK:  # one chunk: the fold is the answer
+        stars = written(e.coalesce(1).mapInArrow(_folded, "a long, b long"), "cc-stars")
+        return _with_roots(stars)
+    e = written(e.coalesce(-(-n // CHUNK)).mapInArrow(_folded, "a long, b long").distinct(), "cc-folded")
     for _ in range(max_rounds):
         # a forest of stars: every node points at one root, and no root points anywhere
         roots = e.select("b").distinct()
@@ -72,5 +77,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         e = written(e, "cc-round")
     else:
         raise RuntimeError("connected components did not settle")
-    roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return _with_roots(e)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
