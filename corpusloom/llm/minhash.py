@@ -8,12 +8,13 @@ variance is slightly lower than that of independent values.
 Steps: (1) a signature, band keys and a 128-bit set id per document; (2) documents with equal sets
 collapse to a class under the smallest doc_id; (3) within every band bucket all members are paired with
 a leader, not with each other; (4) pairs are confirmed on full sets; (5) buckets whose members are not
-yet in one component get eight times as many further leaders in each round, small ones all at once,
+yet in one component get 64 times as many further leaders in each round, small ones all at once,
 until no bucket has an untested pair between components. So no link between bucket mates is lost, yet a bucket of thousands
 of copies costs one pair per member.
 
 Nulls and texts without words have the empty set, are linked with nothing and are their own component.
-Rows that repeat a doc_id with the same text are one node; a null doc_id is its own component of null.
+Rows that repeat a doc_id are one node, linked where any of its texts is; a row with a null doc_id is linked with
+nothing and its component is null.
 """
 
 from __future__ import annotations
@@ -116,8 +117,7 @@ def _similar(least: float):
     def run(batches):
         for b in slices(batches, 4096):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = (x == y).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+            yield b.drop_columns(["sig_a", "sig_b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
     return run
 
@@ -135,32 +135,32 @@ def _confirmed(percent: int):
                 both.sort(kind="stable")
                 inter = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+            yield b.drop_columns(["set_a", "set_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def confirm_pairs(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets reach the similarity."""
+    """The pairs (a, b, ca, cb) of doc_ids, with a column for each, whose full shingle sets reach the similarity."""
     j = percent / 100
     least = max(0.0, j - SLACK * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5)
     s = signed.select("doc_id", "n_shingles", "sig")
+    kind = "a long, b long, ca long, cb long"
     near = (
         pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sig_a")), "a")
         .join(s.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sig_b")), "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_similar(least), "a long, b long")
+        .select("a", "b", "ca", "cb", "sig_a", "sig_b")
+        .mapInArrow(_similar(least), kind)
     )
     near = written(near, "mm-near")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, hashes binary"), "mm-sets")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, hashes binary"), "mm-sets")
     return (
         near.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_confirmed(percent), "a long, b long")
+        .select("a", "b", "ca", "cb", "set_a", "set_b")
+        .mapInArrow(_confirmed(percent), kind)
     )
 
 
@@ -173,43 +173,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_signatures(width), "doc_id long, set_id binary, n_shingles long, bands array<long>, sig binary"), "mm-signed")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "mm-classes")
-    reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps, "mm-reps")
+    told = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = told.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("s"))
+    reps = written(reps.select("set_id", F.col("rep").alias("doc_id"), "s.*"), "mm-reps")
     bucketed = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = bucketed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    active = written(bucketed.join(sizes, "key"), "mm-active")
+    # c: the component of a member so far
+    active = written(bucketed.join(sizes, "key").withColumn("c", F.col("doc_id")), "mm-active")
     comps, cells = None, 1
     while not active.isEmpty():
         # leaders: the member with the smallest id of each of so many cells; later on, all members of small buckets
         cell = F.pmod(F.xxhash64("doc_id", F.lit(cells)), F.lit(cells))
         cell = cell if cells == 1 else F.when(F.col("n") <= SMALL, F.col("doc_id")).otherwise(cell)
-        leaders = written(active.groupBy("key", cell.alias("cell")).agg(F.min("doc_id").alias("leader")).select("key", "leader"), "mm-leaders")
-        pairs = active.select("key", "doc_id").join(leaders, "key").where("doc_id <> leader")
-        if comps is not None:
-            of_leader = comps.select(F.col("node").alias("leader"), F.col("component").alias("c_leader"))
-            of_doc = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("c_doc"))
-            pairs = pairs.join(of_leader, "leader", "left").join(of_doc, "doc_id", "left").where("coalesce(c_leader, leader) <> coalesce(c_doc, doc_id)")
-        pairs = pairs.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        links = confirm_pairs(pairs, reps, docs, percent, width)
+        leaders = active.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
+        leaders = written(leaders.select("key", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("c_leader")), "mm-leaders")
+        pairs = active.select("key", "doc_id", "c").join(leaders, "key").where("c <> c_leader")
+        a, b = F.struct(F.col("leader").alias("id"), F.col("c_leader").alias("c")), F.struct(F.col("doc_id").alias("id"), F.col("c").alias("c"))
+        pairs = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+        links = confirm_pairs(pairs.distinct(), reps, docs, percent, width)
+        merged = written(connected_components(links, "ca", "cb"), "mm-merged")
         if comps is None:
-            comps = written(connected_components(links), "mm-comps")
+            comps = merged
         else:
-            for end in ("a", "b"):
-                links = links.join(comps.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-            merged = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
-            known = comps.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-            new = merged.join(comps.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+            to = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+            known = comps.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            new = merged.join(comps.select("node"), "node", "left_anti")
             comps = written(known.unionByName(new), "mm-comps")
         # a leader has met all members of its buckets; buckets whose other members share a component are done
-        rest = active.join(leaders.withColumnRenamed("leader", "doc_id"), ["key", "doc_id"], "left_anti")
-        of_doc = comps.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-        rest = rest.drop("n").join(of_doc, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+        rest = active.drop("n").join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        rest = rest.join(merged.select(F.col("node").alias("c"), F.col("component").alias("root")), "c", "left").select("key", "doc_id", F.coalesce("root", "c").alias("c"))
+        rest = written(rest, "mm-rest")
         still = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        active = written(rest.drop("c").join(still, "key"), "mm-active")
-        cells *= 8
-    out = signed.join(classes, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+        active = written(rest.join(still, "key"), "mm-active")
+        cells *= SMALL
+    out = signed.join(reps.select("set_id", F.col("doc_id").alias("rep")), "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
