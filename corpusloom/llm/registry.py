@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, minhash, suffix_dedup
+from corpusloom.llm import bpe, chat, decontaminate, langid, media, minhash, sharding, suffix_dedup, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_urlfilter": urlfilter.op1_urlfilter,
         "op2_minhash": minhash.op2_minhash,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_langid": langid.op5_langid,
+        "op6_chat": chat.op6_chat,
+        "op7_sharding": sharding.op7_sharding,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_warc": warc.op9_warc,
+        "op10_media": media.op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op1_urlfilter": urlfilter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
