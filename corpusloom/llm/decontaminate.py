@@ -105,12 +105,12 @@ def _confirmed(doc_words: Column, cands: Column, width: int) -> Column:
 
 
 def exact_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Rows (doc_id, th, text, n_words, runs, item_ids), one for each row of docs (doc_id, text).
+    """Rows (doc_id, row, n_words, runs, item_ids), one for each row of docs, which it holds whole as the struct row.
 
     runs are the sorted distinct (lo, hi) word positions of windows that occur, item_ids the sorted ids
     of items with occurring windows.
     """
-    d = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
     tokens = written(item_terms(items), "ii-items")
     terms = written(tokens.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "ii-terms")
     postings = build_index(d, terms)
@@ -118,15 +118,14 @@ def exact_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     known = written(tokens.join(terms, "term").join(freq, "tid", "left").withColumn("freq", F.coalesce("freq", F.lit(0))), "ii-freq")
     whole = tokens.groupBy("row_id", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "term"))), lambda x: x["term"]).alias("words"))
     cands = phrase_candidates(postings, known, width).join(_small(whole), "row_id")
-    # one row of a document may stand for repeated rows, whose postings have met more than once
-    cands = cands.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item_id", "diag", "words")).alias("cands"))
+    cands = cands.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("item_id", "diag", "words")).alias("cands"))
     cands = written(cands, "ii-candidates")
-    out = d.join(cands.withColumnRenamed("doc_id", "of"), (d.doc_id.eqNullSafe(F.col("of"))) & (d.th == cands.th), "left").select(d.doc_id, d.th, "text", "cands")
+    out = d.join(cands, d.doc_id.eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("doc_id", F.col("row"), F.col("row.text").alias("text"), "cands")
     out = out.withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
     none = F.array().cast("array<struct<item_id:string,runs:array<struct<lo:int,hi:int>>>>")
     out = out.withColumn("found", F.when(F.col("cands").isNull(), none).otherwise(_confirmed(F.col("words"), F.col("cands"), width)))
     return out.select(
-        "doc_id", "th", "text", "n_words",
+        "doc_id", "row", "n_words",
         F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda m: m["runs"])))).alias("runs"),
         F.array_sort(F.array_distinct(F.transform("found", lambda m: m["item_id"]))).alias("item_ids"),
     )
@@ -152,6 +151,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, in which no window of any item occurs."""
+    return exact_matches(docs, items, width).where(F.size("runs") == 0).select("row.*")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

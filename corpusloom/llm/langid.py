@@ -265,6 +265,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _predicted(rows: DataFrame, docs: DataFrame, path: str | None, per_lang: int) -> DataFrame:
+    """rows, which have a column text, with lang_pred and score in its place; learned from docs."""
+    model = fit(training_counts(docs, ~held_out(F.col("doc_id")), per_lang), vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(shared), kind)
+
+
 def identify(docs: DataFrame, path: str | None = None, per_lang: int = SAMPLE) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each row of docs (doc_id, text, lang).
 
@@ -272,11 +280,14 @@ def identify(docs: DataFrame, path: str | None = None, per_lang: int = SAMPLE) -
     language in the probability of all.
     """
     d = docs.select("doc_id", "text", "lang")
-    model = fit(training_counts(d, ~held_out(F.col("doc_id")), per_lang), vocabulary(path))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(shared), kind)
+    return _predicted(d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), d, path, per_lang)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, path: str | None = None, per_lang: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a share of at least least."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = _predicted(rows, docs.select("doc_id", "text", "lang"), path, per_lang)
+    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
