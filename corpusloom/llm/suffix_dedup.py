@@ -34,7 +34,7 @@ from corpusloom.llm.common import slices, table
 from corpusloom.plans.materialize import release, written
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 TRIGGER = 256
 #: Bytes of a text that are hashed at once, rows of a shard, rows of one hash from which it is split, strings of a fine phrase.
 PIECE, SHARD, HOT, RUN = 1 << 20, 20_000, 20_000, 128
@@ -61,7 +61,8 @@ def minima(t: np.ndarray, length: int = LENGTH):
     wide = length - GRAM + 1
     for at in range(0, max(0, len(t) - length + 1), PIECE):
         h = _scattered(_octets(t[at : at + PIECE + length - 1]), 0)
-        m = _scattered(h[:-8] * _M[1] + h[8:], 2)
+        m = _scattered(h[:-16] * _M[1] + h[8:-8], 2)  # of 16 bytes, then of GRAM
+        m = _scattered(m * _M[1] + h[16:], 2)
         span = 1
         while 2 * span <= wide:
             m = np.minimum(m[:-span], m[span:])
@@ -233,10 +234,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans are the maximal removed runs as byte offsets, kept is what stays; th is the text's 64-bit hash,
     which tells rows of one doc_id apart. Strings are judged on the input, not on what is left.
-    length must be at least 32 bytes. Empty tables give empty results; other columns are not read.
+    length must be at least 48 bytes. Empty tables give empty results; other columns are not read.
     """
     if length < 2 * GRAM:
-        raise ValueError("length must be at least 32 bytes")
+        raise ValueError("length must be at least 48 bytes")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     told = d.where("doc_id IS NOT NULL AND length(text) > 0")
     coarse = told.mapInArrow(_coarse(length), "key binary, doc_id long, th long, idx int")
@@ -245,17 +246,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     foreign = written(foreign, "pfp-foreign")
     anchors = told.mapInArrow(_anchors(length), "v long, doc_id long, th long")
     shared = anchors.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
+    shared = written(shared, "pfp-repeated")
     flags = anchors.join(shared, "v", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("v").alias("shared"))
     flags = written(flags, "pfp-shared")
     told = told.join(flags, ["doc_id", "th"]).join(foreign, ["doc_id", "th"], "left")
     fine = written(told.mapInArrow(_fine(length), "v long, doc_id long, th long, start long, phrase binary"), "pfp-fine")
-    sizes = fine.groupBy("v").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v", "n")
-    sizes = written(sizes, "pfp-sizes")
-    total = sizes.where(f"n <= {HOT}").agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    cold = fine.join(sizes.where(f"n <= {HOT}").select("v"), "v", "left_semi").withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    cold = cold.groupBy("shard").applyInArrow(_ordered(length), "doc_id long, th long, lo long, hi long")
-    hot = fine.join(sizes.where(f"n > {HOT}").select("v"), "v", "left_semi")
+    sizes = fine.groupBy("v").agg(F.count("*").alias("n"))
+    popular = written(sizes.where(f"n > {HOT}").select("v"), "pfp-popular")
+    shards = max(1, -(-fine.count() // SHARD))
+    cold = fine if popular.isEmpty() else fine.join(popular, "v", "left_anti")
+    cold = cold.groupBy(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard")).applyInArrow(_ordered(length), "doc_id long, th long, lo long, hi long")
+    hot = fine.join(popular, "v", "left_semi")
     hot = hot.select("doc_id", "th", "start", "phrase", F.explode(F.expr(f"sequence(0, length(phrase) - {length})")).alias("i"))
     hot = hot.select("doc_id", "th", (F.col("start") + F.col("i")).alias("lo"), F.expr(f"substring(phrase, i + 1, {length})").alias("string"))
     first = hot.groupBy("string").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("string", "owner")
