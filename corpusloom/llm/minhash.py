@@ -215,5 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("component"))).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, all columns, of the smallest doc_id of each component, one row of it. Rows with a null doc_id stay."""
+    kept = written(near_duplicates(docs, percent=percent, width=width).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct(), "mm-kept")
+    told = docs.where("doc_id IS NOT NULL")
+    one = told.join(kept, told.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -25,10 +25,12 @@ Rows that share a doc_id are one document for the comparison: none removes anoth
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import slices, table
 from corpusloom.plans.materialize import release, written
@@ -224,22 +226,23 @@ def _cut(length: int):
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2])))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "th", "n_bytes", "spans", "kept"])
+            b = b.drop_columns(["text", "foreign", "runs"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*b.schema.names, "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (doc_id, th, n_bytes, spans, kept), one for each row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, whole: bool = False) -> DataFrame:
+    """Rows (doc_id, n_bytes, spans, kept), one for each row of docs; with whole also the row itself, as the struct row.
 
-    spans are the maximal removed runs as byte offsets, kept is what stays; th is the text's 64-bit hash,
-    which tells rows of one doc_id apart. Strings are judged on the input, not on what is left.
+    spans are the maximal removed runs as byte offsets, kept is what stays. The text's 64-bit hash
+    tells rows of one doc_id apart. Strings are judged on the input, not on what is left.
     length must be at least 48 bytes. Empty tables give empty results; other columns are not read.
     """
     if length < 2 * GRAM:
         raise ValueError("length must be at least 48 bytes")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    told = d.where("doc_id IS NOT NULL AND length(text) > 0")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *([F.struct("*").alias("row")] if whole else []))
+    told = d.select("doc_id", "text", "th").where("doc_id IS NOT NULL AND length(text) > 0")
     coarse = told.mapInArrow(_coarse(length), "key binary, doc_id long, th long, idx int")
     owned = coarse.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("key", "owner")
     foreign = coarse.join(owned, "key").where("doc_id > owner").groupBy("doc_id", "th").agg(F.collect_set("idx").alias("foreign"))
@@ -265,7 +268,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = written(runs, "pfp-runs")
     out = d.join(runs, ["doc_id", "th"], "left").join(foreign, ["doc_id", "th"], "left")
     release(docs.sparkSession)
-    return out.mapInArrow(_cut(length), "doc_id long, th long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = out.select("doc_id", "text", "foreign", "runs", *(["row"] if whole else []))
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    kind = [f for f in out.schema.fields if f.name in ("doc_id", "row")]
+    kind += [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]
+    return out.mapInArrow(_cut(length), T.StructType(kind))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the kept text of each row in its place, and its length in n_chars where there is such a column.
+
+    A character that a cut splits goes as a whole. Rows whose text is removed altogether are dropped.
+    """
+    found = remove_repeats(docs, length=length, whole=True)
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(_decoded(F.col("kept")))
+    found = found.withColumn("text", text).where((F.size("spans") == 0) | (F.length("text") > 0))
+    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[put.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
