@@ -67,6 +67,17 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 12) -> DataFrame:
     return ranked(bm25_scores(chunks, questions), k).select("question_id", "rank", "chunk_id", "score")
 
 
+def lexical(chunks: DataFrame, questions: DataFrame, k: int = 50) -> DataFrame:
+    """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores."""
+    asked = query_terms(questions)
+    sets = chunks.select("chunk_id", F.array_distinct(tx.terms(F.col("text"))).alias("t"))
+    vocabulary = asked.select("term").distinct()
+    post = sets.select("chunk_id", F.size("t").alias("nc"), F.explode("t").alias("term")).join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary, "term", "left_semi")
+    nq = asked.groupBy("question_id").agg(F.count("*").alias("nq"))
+    hits = asked.join(post, "term").groupBy("question_id", "chunk_id", "nc").agg(F.count("*").alias("both")).join(nq, "question_id")
+    return ranked(hits.withColumn("score", F.col("both") / (F.col("nc") + F.col("nq") - F.col("both"))), k).select("question_id", "rank", "chunk_id", "score")
+
+
 def legal_sparse(discovered: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 50, body: float = 0.75) -> DataFrame:
     """Reranks discovered (question_id, chunk_id, score) by body * score / max + (1 - body) * the share of query terms in the path.
 

@@ -157,7 +157,7 @@ def bootstrap(pairs: DataFrame, seed: str, resamples: int = 10_000, rows_limit:
         low, high = np.quantile(means, [0.025, 0.975], method="linear")
         return pa.table({"n": [len(d)], "delta": [float(d.mean())], "low": [float(low)], "high": [float(high)]})
 
-    return pairs.select("id", F.col("base").cast("double").alias("base"), F.col("new").cast("double").alias("new")).groupBy(F.lit(1)).applyInArrow(run, "n long, delta double, low double, high double")
+    return pairs.select(F.lit(1).alias("g"), "id", F.col("base").cast("double").alias("base"), F.col("new").cast("double").alias("new")).groupBy("g").applyInArrow(run, "n long, delta double, low double, high double")
 
 
 def generation_gate(meteor_delta: float, meteor_low: float, rouge_delta: float, runtime_ratio: float) -> list[str]:
