@@ -120,7 +120,8 @@ def exact_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     cands = phrase_candidates(postings, known, width).join(_small(whole), "row_id")
     cands = cands.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("item_id", "diag", "words")).alias("cands"))
     cands = written(cands, "ii-candidates")
-    out = d.join(cands, d.doc_id.eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("doc_id", F.col("row"), F.col("row.text").alias("text"), "cands")
+    # always by a shuffle: the candidates grow with the corpus, so a plan that broadcasts them holds only for small ones
+    out = d.join(cands.hint("merge"), d.doc_id.eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("doc_id", F.col("row"), F.col("row.text").alias("text"), "cands")
     out = out.withColumn("words", words(F.col("text"))).withColumn("n_words", F.size("words").cast("long"))
     none = F.array().cast("array<struct<item_id:string,runs:array<struct<lo:int,hi:int>>>>")
     out = out.withColumn("found", F.when(F.col("cands").isNull(), none).otherwise(_confirmed(F.col("words"), F.col("cands"), width)))
