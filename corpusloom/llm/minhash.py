@@ -7,7 +7,7 @@ variance is slightly lower than that of independent values.
 
 Steps: (1) a signature, band keys and a 128-bit set id per document; (2) documents with equal sets
 collapse to a class under the smallest doc_id; (3) within every band bucket all members are paired with
-a leader, not with each other; (4) pairs are confirmed on full sets; (5) buckets whose members are not
+a leader, not with each other; (4) pairs whose bit sketches agree are confirmed on full sets; (5) buckets whose members are not
 yet in one component get 64 times as many further leaders in each round, small ones all at once,
 until no bucket has an untested pair between components. So no link between bucket mates is lost, yet a bucket of thousands
 of copies costs one pair per member.
@@ -30,11 +30,13 @@ from corpusloom.plans.components import connected_components
 from corpusloom.plans.materialize import release, written
 
 WIDTH = 5
-PERMUTATIONS = 64
-ROWS = 4
+PERMUTATIONS = 192
+ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Pairs whose signatures agree in a smaller share go without the exact comparison: six standard errors under the threshold.
+#: A bit of each signature value makes a sketch; pairs whose sketches agree in fewer bits than the threshold gives on average, less so many
+#: standard errors, go without the exact comparison.
 SLACK = 6.0
+SKETCH = 2 * PERMUTATIONS // 64
 #: Buckets of so many members at most are compared in full after the first leader.
 SMALL = 64
 
@@ -81,23 +83,23 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches):
-        names = ["doc_id", "set_id", "n_shingles", "bands", "sig"]
+        names = ["doc_id", "set_id", "n_shingles", "bands", "sketch"]
         for b in slices(batches):
-            ids, n, bands, sigs = [], [], [], []
+            ids, n, bands, sketches = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 if not len(s):
-                    ids.append(None), bands.append(None), sigs.append(None)
+                    ids.append(None), bands.append(None), sketches.append(None)
                     continue
                 v = signature(s)
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 key = np.arange(BANDS, dtype=np.uint64)
                 for i in range(ROWS):
                     key = _mixed(key * _MIX[0] + v.reshape(BANDS, ROWS)[:, i])
-                bands.append(key.astype(np.int64))
-                sigs.append((v & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=names)
+                bands.append(key.view(np.int64))
+                sketches.append(np.packbits(_mixed(v) >> np.uint64(63) == 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -111,17 +113,6 @@ def _sets(width: int):
     return run
 
 
-def _similar(least: float):
-    """Keeps the pairs whose signatures agree in at least this share."""
-
-    def run(batches):
-        for b in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield b.drop_columns(["sig_a", "sig_b"]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    return run
-
-
 def _confirmed(percent: int):
     def run(batches):
         last, x = None, None
@@ -140,27 +131,15 @@ def _confirmed(percent: int):
     return run
 
 
-def confirm_pairs(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def confirm_pairs(near: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b, ca, cb) of doc_ids, with a column for each, whose full shingle sets reach the similarity."""
-    j = percent / 100
-    least = max(0.0, j - SLACK * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5)
-    s = signed.select("doc_id", "n_shingles", "sig")
-    kind = "a long, b long, ca long, cb long"
-    near = (
-        pairs.join(s.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sig_a")), "a")
-        .join(s.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sig_b")), "b")
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b", "ca", "cb", "sig_a", "sig_b")
-        .mapInArrow(_similar(least), kind)
-    )
-    near = written(near, "mm-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, hashes binary"), "mm-sets")
     return (
         near.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
         .select("a", "b", "ca", "cb", "set_a", "set_b")
-        .mapInArrow(_confirmed(percent), kind)
+        .mapInArrow(_confirmed(percent), "a long, b long, ca long, cb long")
     )
 
 
@@ -172,36 +151,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cannot occur: components are sets. Other columns of docs, whatever their names, are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signatures(width), "doc_id long, set_id binary, n_shingles long, bands array<long>, sig binary"), "mm-signed")
+    signed = written(docs.mapInArrow(_signatures(width), "doc_id long, set_id binary, n_shingles long, bands array<long>, sketch array<long>"), "mm-signed")
     told = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = told.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sig"), "doc_id").alias("s"))
+    reps = told.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("s"))
     reps = written(reps.select("set_id", F.col("rep").alias("doc_id"), "s.*"), "mm-reps")
+    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    facts = reps.select("doc_id", F.col("n_shingles").alias("size"), *bits)
     bucketed = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = bucketed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # c: the component of a member so far
-    active = written(bucketed.join(sizes, "key").withColumn("c", F.col("doc_id")), "mm-active")
+    # c: the component of a member so far; size and s0.. are facts of the member
+    members = written(bucketed.join(sizes, "key").withColumn("c", F.col("doc_id")), "mm-members")
+    active = written(members.join(facts, "doc_id"), "mm-active")
+    same = 0.5 + percent / 200
+    most = int(64 * SKETCH * (1 - same + SLACK * (same * (1 - same) / (64 * SKETCH)) ** 0.5)) + 1  # differing bits
+    known = ["doc_id", "c", "size", *(f"s{i}" for i in range(SKETCH))]
     comps, cells = None, 1
     while not active.isEmpty():
         # leaders: the member with the smallest id of each of so many cells; later on, all members of small buckets
         cell = F.pmod(F.xxhash64("doc_id", F.lit(cells)), F.lit(cells))
         cell = cell if cells == 1 else F.when(F.col("n") <= SMALL, F.col("doc_id")).otherwise(cell)
-        leaders = active.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("doc_id", "c")).alias("l"))
-        leaders = written(leaders.select("key", F.col("l.doc_id").alias("leader"), F.col("l.c").alias("c_leader")), "mm-leaders")
-        pairs = active.select("key", "doc_id", "c").join(leaders, "key").where("c <> c_leader")
-        a, b = F.struct(F.col("leader").alias("id"), F.col("c_leader").alias("c")), F.struct(F.col("doc_id").alias("id"), F.col("c").alias("c"))
-        pairs = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
-        links = confirm_pairs(pairs.distinct(), reps, docs, percent, width)
+        leaders = active.groupBy("key", cell.alias("cell")).agg(F.min(F.struct(*known)).alias("l"))
+        leaders = written(leaders.select("key", *[F.col(f"l.{x}").alias(f"l_{x}") for x in known]), "mm-leaders")
+        differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"l_s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("s0").bitwiseXOR(F.col("l_s0"))))
+        alike = (F.col("c") != F.col("l_c")) & (F.least("size", "l_size") * 100 >= F.greatest("size", "l_size") * percent) & (differ <= most)
+        pairs = active.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & alike)
+        first = F.col("doc_id") < F.col("l_doc_id")
+        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        pairs = pairs.select(pick("doc_id", "l_doc_id").alias("a"), pick("l_doc_id", "doc_id").alias("b"), pick("c", "l_c").alias("ca"), pick("l_c", "c").alias("cb"))
+        links = confirm_pairs(written(pairs.distinct(), "mm-pairs"), docs, percent, width)
         merged = written(connected_components(links, "ca", "cb"), "mm-merged")
         if comps is None:
             comps = merged
         else:
             to = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            known = comps.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            old = comps.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
             new = merged.join(comps.select("node"), "node", "left_anti")
-            comps = written(known.unionByName(new), "mm-comps")
+            comps = written(old.unionByName(new), "mm-comps")
         # a leader has met all members of its buckets; buckets whose other members share a component are done
-        rest = active.drop("n").join(leaders.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        rest = rest.join(merged.select(F.col("node").alias("c"), F.col("component").alias("root")), "c", "left").select("key", "doc_id", F.coalesce("root", "c").alias("c"))
+        rest = active.drop("n").join(leaders.select("key", F.col("l_doc_id").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        rest = rest.join(merged.select(F.col("node").alias("c"), F.col("component").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
         rest = written(rest, "mm-rest")
         still = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
         active = written(rest.join(still, "key"), "mm-active")
