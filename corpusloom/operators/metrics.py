@@ -99,8 +99,8 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def nearest_rank(column: str, percent: int) -> Column:
-    """The nearest-rank percentile."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column})")
+    """The nearest-rank percentile of an integer column."""
+    return F.expr(f"CAST(percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {column}) AS LONG)")
 
 
 def length_summary(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom import queries_retrieval
+from corpusloom import queries_corpus, queries_retrieval
 
-_MODULES = (queries_retrieval,)
+_MODULES = (queries_retrieval, queries_corpus)
 
 
 def _wide(query: Callable) -> Callable:
