@@ -43,7 +43,7 @@ def split_normalized(text: Column) -> Column:
 
 def character_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams; a shorter text is its own gram, an empty one has none."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # one pass; a substring at each place would be quadratic
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) < n, F.array(text)).otherwise(grams)
 
 

@@ -255,14 +255,6 @@ _WINDOWS = f"""WITH t AS (SELECT doc_id AS id, {_TOK} AS t FROM documents),
 w AS (SELECT id, t, unnest(CASE WHEN len(t) <= 512 THEN [0] ELSE range(0, CAST(greatest(ceil((len(t) - 512) / 448.0), 0) AS BIGINT) * 448 + 1, 448) END) AS s FROM t WHERE len(t) > 0),
 x AS (SELECT id, s, CASE WHEN len(t) <= 512 THEN t ELSE t[s + 1:s + 512] END AS w FROM w)
 """
-_GRAMS = f"""WITH RECURSIVE n AS (SELECT doc_id, {_NORM} AS text FROM documents), u AS (SELECT text, min(doc_id) AS id FROM n GROUP BY text),
-g AS (SELECT id, length(text) AS len, CASE WHEN length(text) < 5 THEN [text] ELSE list_distinct(list_transform(range(1, length(text) - 3), lambda i: substr(text, CAST(i AS BIGINT), 5))) END AS g FROM u WHERE length(text) > 0),
-x AS (SELECT id, len, len(g) AS n, unnest(g) AS gram FROM g),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS inter, a.n + b.n - count(*) AS total FROM x a JOIN x b ON a.gram = b.gram AND a.id < b.id AND abs(a.len - b.len) * 10 <= greatest(a.len, b.len) AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 9 GROUP BY a.id, b.id, a.n, b.n),
-e AS (SELECT * FROM p WHERE inter * 10 >= total * 9),
-r(id, c) AS (SELECT id, id FROM u UNION SELECT CASE WHEN e.a = r.id THEN e.b ELSE e.a END, r.c FROM r JOIN e ON e.a = r.id OR e.b = r.id),
-grp AS (SELECT n.doc_id AS id, m.c AS "group" FROM n JOIN u ON n.text = u.text JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = u.id)
-"""
 _SHARE = "CAST(CAST('0x' || substr(sha256('{0}' || chr(10) || {1}), 1, 16) AS UBIGINT) AS HUGEINT)"
 _ASSIGN = "CASE WHEN {0} * 10 < 18446744073709551616::HUGEINT * 8 THEN 'train' WHEN {0} * 10 < 18446744073709551616::HUGEINT * 9 THEN 'development' ELSE 'local_test' END"
 _PAIRS = "WITH o AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT conv_id || ':' || turn AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(lower(nt), '[^a-z0-9]+'), lambda x: x <> '') AS p FROM o WHERE role = 'user' AND nr = 'assistant')"
@@ -287,11 +279,9 @@ ORACLES = {
     "length_summary": r"WITH t AS (SELECT role, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM conversations) SELECT role, count(n) AS n, min(t.n) AS minimum, round(avg(t.n), 6) AS mean, " + ", ".join(f"CAST(quantile_disc(t.n, {p / 100}) AS BIGINT) AS p{p}" for p in (50, 75, 90, 95, 99)) + ", max(t.n) AS maximum FROM t GROUP BY role",
     "hash_split": f"SELECT doc_id AS id, {_ASSIGN.format(_SHARE.format('split.v1', 'CAST(doc_id AS VARCHAR)'))} AS assignment FROM documents",
     "group_split": f"SELECT doc_id AS id, CASE WHEN {_SHARE.format('d.v1', 'CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN 'validation' ELSE 'fit' END AS partition FROM documents",
-    "char_5gram_neardup": _GRAMS + "SELECT a, b, inter, total FROM e",
-    "components": _GRAMS + 'SELECT id, "group" FROM grp',
-    "split_manifest": _GRAMS + f', s AS (SELECT "group", min(CAST(id AS VARCHAR)) AS k FROM grp GROUP BY 1), v AS (SELECT grp.id, grp."group", {_ASSIGN.format(_SHARE.format("split.v1", "k"))} AS assignment FROM grp JOIN s USING ("group")) SELECT assignment, count(*) AS rows, count(DISTINCT "group") AS groups FROM v GROUP BY 1',
     "cross_overlaps": f"""WITH l AS (SELECT CAST(item_id AS VARCHAR) AS id, {_NORM} AS text FROM benchmark), r AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_NORM} AS text FROM documents),
-      g AS (SELECT side, id, text, length(text) AS len, list_distinct(list_transform(range(1, greatest(length(text) - 3, 2)), lambda i: substr(text, CAST(i AS BIGINT), 5))) AS g FROM (SELECT 'L' AS side, * FROM l UNION ALL SELECT 'R', * FROM r) WHERE length(text) > 0)
+      ch AS (SELECT side, id, text, length(text) AS len, string_split(text, '') AS c FROM (SELECT 'L' AS side, * FROM l UNION ALL SELECT 'R', * FROM r) WHERE length(text) > 0),
+      g AS (SELECT side, id, text, len, list_distinct(list_transform(range(1, greatest(len - 3, 2)), lambda i: array_to_string(c[CAST(i AS BIGINT):CAST(i AS BIGINT) + 4], ''))) AS g FROM ch)
       SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.text = b.text THEN 'exact_normalized' ELSE 'near_duplicate' END AS kind FROM g a JOIN g b ON a.side = 'L' AND b.side = 'R' AND (a.text = b.text OR (abs(a.len - b.len) * 10 <= greatest(a.len, b.len) AND len(list_intersect(a.g, b.g)) * 10 >= (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) * 9))""",
     "stratified_sample": """WITH r AS (SELECT doc_id AS id, lang AS branch, row_number() OVER (PARTITION BY lang ORDER BY length(text), CAST(doc_id AS VARCHAR)) AS rn, count(*) OVER (PARTITION BY lang) AS n, sha256('sample.v1' || chr(10) || CAST(doc_id AS VARCHAR)) AS digest FROM documents),
       t AS (SELECT *, least(2, 3 * (rn - 1) // n) AS tercile FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY branch, tercile ORDER BY digest) AS k FROM t)
