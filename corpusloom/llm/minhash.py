@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         still = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
         active = written(rest.join(still, "key"), "mm-active")
         cells *= SMALL
-    out = signed.join(reps.select("set_id", F.col("doc_id").alias("rep")), "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = signed.join(reps.select("set_id", F.col("doc_id").alias("rep")), "set_id", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
