@@ -207,10 +207,14 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> Model:
 
 
 def training_counts(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> dict[str, dict[str, int]]:
-    """Word counts per language of the sample: per_lang rows of each, whole texts."""
-    told = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = told.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    """Word counts per language of the sample: per_lang rows of each, whole texts. Repeated rows of a picked doc_id all count.
+
+    The ids are picked first and fetch the texts by a broadcast, which the bound keeps small, so no text is shuffled.
+    """
+    told = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = told.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    sample = told.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+")).alias("w")).where("w <> ''")
     counts: dict[str, dict[str, int]] = {}
     for row in words.groupBy("lang", "w").count().collect():
