@@ -117,7 +117,7 @@ def _anchors(length: int):
                     values.append(v), where.append(np.full(len(v), i))
             if values:
                 at = pa.array(np.concatenate(where))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), b.column("doc_id").take(at), b.column("th").take(at)], names=["v", "doc_id", "th"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), b.column("doc_id").take(at)], names=["v", "doc_id"])
 
     return run
 
@@ -247,12 +247,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owned = coarse.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("key", "owner")
     foreign = coarse.join(owned, "key").where("doc_id > owner").groupBy("doc_id", "th").agg(F.collect_set("idx").alias("foreign"))
     foreign = written(foreign, "pfp-foreign")
-    anchors = told.mapInArrow(_anchors(length), "v long, doc_id long, th long")
+    # a filter only, so rows of one doc_id may share their hashes
+    anchors = told.select("doc_id", "text").mapInArrow(_anchors(length), "v long, doc_id long")
     shared = anchors.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
     shared = written(shared, "pfp-repeated")
-    flags = anchors.join(shared, "v", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("v").alias("shared"))
+    flags = anchors.join(shared, "v", "left_semi").groupBy("doc_id").agg(F.collect_set("v").alias("shared"))
     flags = written(flags, "pfp-shared")
-    told = told.join(flags, ["doc_id", "th"]).join(foreign, ["doc_id", "th"], "left")
+    told = told.join(flags, "doc_id").join(foreign, ["doc_id", "th"], "left")
     fine = written(told.mapInArrow(_fine(length), "v long, doc_id long, th long, start long, phrase binary"), "pfp-fine")
     sizes = fine.groupBy("v").agg(F.count("*").alias("n"))
     popular = written(sizes.where(f"n > {HOT}").select("v"), "pfp-popular")
