@@ -253,7 +253,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = written(shared, "pfp-repeated")
     flags = anchors.join(shared, "v", "left_semi").groupBy("doc_id").agg(F.collect_set("v").alias("shared"))
     flags = written(flags, "pfp-shared")
-    told = told.join(flags, "doc_id").join(foreign, ["doc_id", "th"], "left")
+    # both lists meet first, so that texts are shuffled once
+    lists = flags.join(foreign.groupBy("doc_id").agg(F.collect_list(F.struct("th", "foreign")).alias("f")), "doc_id", "left")
+    own = F.try_element_at(F.filter("f", lambda x: x["th"] == F.col("th")), F.lit(1))["foreign"]
+    told = told.join(lists, "doc_id").withColumn("foreign", own).drop("f")
     fine = written(told.mapInArrow(_fine(length), "v long, doc_id long, th long, start long, phrase binary"), "pfp-fine")
     sizes = fine.groupBy("v").agg(F.count("*").alias("n"))
     popular = written(sizes.where(f"n > {HOT}").select("v"), "pfp-popular")
