@@ -8,7 +8,7 @@ variance is slightly lower than that of independent values.
 Steps: (1) a signature, band keys and a 128-bit set id per document; (2) documents with equal sets
 collapse to a class under the smallest doc_id; (3) within every band bucket all members are paired with
 a leader, not with each other; (4) pairs whose bit sketches agree are confirmed on full sets; (5) buckets whose members are not
-yet in one component get 64 times as many further leaders in each round, small ones all at once,
+yet in one component get GROWTH times as many further leaders in each round, small ones all at once,
 until no bucket has an untested pair between components. So no link between bucket mates is lost, yet a bucket of thousands
 of copies costs one pair per member.
 
@@ -39,6 +39,8 @@ SLACK = 6.0
 SKETCH = 2 * PERMUTATIONS // 64
 #: Buckets of so many members at most are compared in full after the first leader.
 SMALL = 64
+#: Times more leaders in each round.
+GROWTH = 8
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -131,10 +133,8 @@ def _confirmed(percent: int):
     return run
 
 
-def confirm_pairs(near: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b, ca, cb) of doc_ids, with a column for each, whose full shingle sets reach the similarity."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, hashes binary"), "mm-sets")
+def confirm_pairs(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ca, cb) of doc_ids, with a column for each, whose full shingle sets (doc_id, hashes) reach the similarity."""
     return (
         near.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
@@ -162,6 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # c: the component of a member so far; size and s0.. are facts of the member
     members = written(bucketed.join(sizes, "key").withColumn("c", F.col("doc_id")), "mm-members")
     active = written(members.join(facts, "doc_id"), "mm-active")
+    # full sets of all bucket members, once for all rounds, and by a shuffle at every size
+    wanted = members.select("doc_id").distinct().hint("merge")
+    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, hashes binary"), "mm-sets")
     same = 0.5 + percent / 200
     most = int(64 * SKETCH * (1 - same + SLACK * (same * (1 - same) / (64 * SKETCH)) ** 0.5)) + 1  # differing bits
     known = ["doc_id", "c", "size", *(f"s{i}" for i in range(SKETCH))]
@@ -178,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = F.col("doc_id") < F.col("l_doc_id")
         pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
         pairs = pairs.select(pick("doc_id", "l_doc_id").alias("a"), pick("l_doc_id", "doc_id").alias("b"), pick("c", "l_c").alias("ca"), pick("l_c", "c").alias("cb"))
-        links = confirm_pairs(written(pairs.distinct(), "mm-pairs"), docs, percent, width)
+        links = confirm_pairs(written(pairs.distinct(), "mm-pairs"), sets, percent)
         merged = written(connected_components(links, "ca", "cb"), "mm-merged")
         if comps is None:
             comps = merged
@@ -193,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = written(rest, "mm-rest")
         still = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
         active = written(rest.join(still, "key"), "mm-active")
-        cells *= SMALL
+        cells *= GROWTH
     out = signed.join(reps.select("set_id", F.col("doc_id").alias("rep")), "set_id", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
