@@ -1,6 +1,8 @@
 """Queries over the driver's tables for corpora, splits, answer scores and training data, with their SQL counterparts.
 
-Legal text, which those tables lack, comes from the small fixture below; its SQL counterparts state the rows expected by hand.
+Parsers of legal text run over the tables whole: documents are passages, assistant turns answers, benchmark texts and user turns questions.
+Seven queries have SQL that states the rows of the small fixture below by hand, so they stay on it; WHOLE names the query over the
+tables that does the same work.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
 from corpusloom.operators import corpus, metrics, retrieve, rouge, split, training
+from corpusloom.plans.materialize import written
 from corpusloom.sources import sinks
 from corpusloom.streaming import remaining
 
@@ -40,12 +43,30 @@ def _questions(spark):
     return spark.createDataFrame(QUESTIONS, "question_id string, question string, answer string")
 
 
-def _aliases(spark):
-    return retrieve.alias_proposals(_contexts(spark)).where("proposal IS NOT NULL").select(F.col("proposal").alias("document_key"), "context_id")
+def _passages(spark, d):
+    """Documents as contexts, named by their first line."""
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("context_id"), F.substring_index("text", "\n", 1).alias("name"), F.col("text").alias("passage"))
 
 
-def _legal_chunks(spark):
-    h = corpus.headings(_contexts(spark))
+def _turns(spark, d, role):
+    return table(spark, d, "conversations").where(F.col("role") == role).select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "text")
+
+
+def _answers(spark, d):
+    return _turns(spark, d, "assistant").withColumnRenamed("text", "answer")
+
+
+def _asked(spark, d):
+    """Benchmark texts by item_id and user turns by conv_id:turn."""
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), "text").unionByName(_turns(spark, d, "user")).withColumnRenamed("text", "question")
+
+
+def _aliases(contexts):
+    return retrieve.alias_proposals(contexts).where("proposal IS NOT NULL").select(F.col("proposal").alias("document_key"), "context_id")
+
+
+def _legal_chunks(contexts):
+    h = corpus.headings(contexts)
     return h.select(F.concat_ws("/", "context_id", F.concat_ws("/", "path")).alias("chunk_id"), "context_id", F.col("path").alias("hierarchy_path"), F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), "start", "end", "path")
 
 
@@ -168,7 +189,7 @@ def forensics_summary(spark, d):
 
 
 def legal_patterns(spark, d):
-    return corpus.pattern_counts(_questions(spark), "answer")
+    return corpus.pattern_counts(table(spark, d, "conversations"))
 
 
 def containment_pairs(spark, d):
@@ -197,56 +218,114 @@ def dataset_policy(spark, d):
 
 
 def alias_headers(spark, d):
-    return retrieve.alias_proposals(_contexts(spark)).select("context_id", F.size("keys").alias("keys"), "proposal", "state")
+    return _alias_states(_contexts(spark))
+
+
+def document_aliases(spark, d):
+    return _alias_states(_passages(spark, d))
+
+
+def _alias_states(contexts):
+    return retrieve.alias_proposals(contexts).select("context_id", F.size("keys").alias("keys"), "proposal", "state")
 
 
 def exact_resolve(spark, d):
-    q = _questions(spark).select("question_id", legal.reference_of(F.col("question")).alias("r")).select("question_id", "r.*")
+    return _resolved(_questions(spark), _contexts(spark))
+
+
+def question_resolution(spark, d):
+    return _resolved(_asked(spark, d), _passages(spark, d))
+
+
+def _resolved(questions, contexts):
+    q = questions.select("question_id", legal.reference_of(F.col("question")).alias("r")).select("question_id", "r.*")
     good = q.where("diagnostic IS NULL").select("question_id", tx.document_number_key(F.col("document_number")).alias("document_key"), "article", "clause", "point")
-    found = retrieve.resolve_exact(good, _aliases(spark), _legal_chunks(spark))
+    found = retrieve.resolve_exact(good, _aliases(contexts), _legal_chunks(contexts))
     return found.unionByName(q.where("diagnostic IS NOT NULL").select("question_id", F.lit(None).cast("string").alias("chunk_id"), "diagnostic"))
 
 
 def hierarchy_chunks(spark, d):
-    return corpus.chunked(_contexts(spark)).groupBy("context_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+    return corpus.chunked(_passages(spark, d)).groupBy("context_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
 def hierarchy_warnings(spark, d):
-    return corpus.headings(_contexts(spark)).groupBy("context_id").agg(F.count("*").alias("nodes"), F.count_if("breaks").alias("warnings"))
+    return _warnings(_contexts(spark))
+
+
+def document_warnings(spark, d):
+    return _warnings(_passages(spark, d))
+
+
+def _warnings(contexts):
+    return corpus.headings(contexts).groupBy("context_id").agg(F.count("*").alias("nodes"), F.count_if("breaks").alias("warnings"))
 
 
 def citations(spark, d):
-    return training.cited(_questions(spark)).select("question_id", "document_number", "law_identity", "article", "clause", "point")
+    return _citations(_questions(spark))
+
+
+def answer_citations(spark, d):
+    return _citations(_answers(spark, d))
+
+
+def _citations(answers):
+    return training.cited(answers).select("question_id", "document_number", "law_identity", "article", "clause", "point")
 
 
 def supervision_classes(spark, d):
-    laws = _contexts(spark).select(tx.law_identity_key(F.col("name")).alias("law_key"), "context_id").where("law_key IS NOT NULL")
-    chunks = _legal_chunks(spark).select("chunk_id", "context_id", F.col("hierarchy_path").alias("path"))
-    return training.supervision_groups(_questions(spark), training.supervise(training.cited(_questions(spark)), _aliases(spark), laws, chunks)).select("question_id", "mapping_class", F.size("chunk_ids").alias("chunks"), "confidence")
+    return _supervision(_questions(spark), _contexts(spark))
+
+
+def answer_supervision(spark, d):
+    return _supervision(_answers(spark, d), _passages(spark, d))
+
+
+def _supervision(answers, contexts):
+    laws = contexts.select(tx.law_identity_key(F.col("name")).alias("law_key"), "context_id").where("law_key IS NOT NULL")
+    chunks = _legal_chunks(contexts).select("chunk_id", "context_id", F.col("hierarchy_path").alias("path"))
+    return training.supervision_groups(answers, training.supervise(training.cited(answers), _aliases(contexts), laws, chunks)).select("question_id", "mapping_class", F.size("chunk_ids").alias("chunks"), "confidence")
 
 
 def question_taxonomy(spark, d):
+    return _taxonomy(_questions(spark))
+
+
+def question_types(spark, d):
+    return _taxonomy(_asked(spark, d))
+
+
+def _taxonomy(questions):
     s = corpus.question_signals(F.col("question"))
-    return _questions(spark).select("question_id", F.concat_ws(",", s).alias("signals"), corpus.primary_type(s).alias("primary"))
+    return questions.select("question_id", F.concat_ws(",", s).alias("signals"), corpus.primary_type(s).alias("primary"))
 
 
 def semantic_signals(spark, d):
-    return corpus.semantic_signals(_questions(spark).select(F.col("question_id").alias("id"), F.col("answer").alias("text")))
+    return corpus.semantic_signals(_answers(spark, d).select(F.col("question_id").alias("id"), F.col("answer").alias("text")))
 
 
 def hard_negatives(spark, d):
-    chunks = _legal_chunks(spark).select("chunk_id", "context_id", "path", "start", "end", F.concat_ws(" ", "path").alias("text"))
-    positives = spark.createDataFrame([("a", "1/Điều 2/Khoản 1/Điểm a"), ("b", "2/Chương I/Điều 3/Khoản 3")], "question_id string, chunk_id string")
-    return training.hard_negatives(positives, chunks, _questions(spark).select("question_id", "question")).select("question_id", "chunk_id", "negative_type", "position")
+    """A benchmark text's positives are the chunks of documents that hold it; negatives come from the same documents."""
+    chunks = written(corpus.chunked(_passages(spark, d)).select("chunk_id", "context_id", "path", "start", "end", F.col("display_text").alias("text")), "legal-chunks")
+    questions = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+    positives = metrics.containment_join(chunks.select("chunk_id", "text"), questions.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
+    positives = written(positives.select(F.col("needle_id").alias("question_id"), "chunk_id"), "positives")
+    return training.hard_negatives(positives, chunks, questions).select("question_id", "chunk_id", "negative_type", "position")
 
 
 QUERIES = {f.__name__: f for f in (
     token_stats, token_windows, window_report, largest_documents, length_summary, hash_split, group_split, char_5gram_neardup, components, split_manifest, cross_overlaps, stratified_sample,
     evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, compaction, answer_forms, extractive_answers, fixed_refusal,
     forensics_summary, legal_patterns, containment_pairs, submission_check, resume_remaining, param_audit, dataset_policy, alias_headers, exact_resolve, hierarchy_chunks, hierarchy_warnings,
-    citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives,
+    citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, question_resolution, document_warnings, answer_citations, answer_supervision,
+    question_types,
 )}
 
+#: Queries on the fixture, as their SQL fixes its rows, and the query over the tables; the tables have no model parameters.
+WHOLE = {
+    "alias_headers": "document_aliases", "exact_resolve": "question_resolution", "hierarchy_warnings": "document_warnings", "citations": "answer_citations",
+    "supervision_classes": "answer_supervision", "question_taxonomy": "question_types", "param_audit": None,
+}
+
 # ---- SQL counterparts ----
 
 _TOK = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+|[\p{P}\p{S}]')"
