@@ -100,9 +100,7 @@ def group_split(spark, d):
 
 
 def char_5gram_neardup(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.split_normalized(F.col("text")).alias("text"))
-    same = t.groupBy("text").agg(F.min("id").alias("id"))
-    return split.near_duplicate_pairs(same.select("id", "text"))
+    return split.near_duplicate_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def components(spark, d):

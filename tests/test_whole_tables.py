@@ -63,3 +63,13 @@ def test_negatives_come_from_the_documents(spark, tables):
     chunks = corpus.chunked(contexts).select("chunk_id", "context_id", F.concat_ws("/", "path").alias("path"))
     got = {(r.question_id, r.context_id) for r in found.join(chunks, "chunk_id").collect()}
     assert got == {("1", "1")}  # the clauses of context 2 are short, so they are one chunk
+
+
+def test_every_copy_has_a_row(spark, tmp_path):
+    near = "abcdefghij" * 20
+    docs = [(8, near), (3, near + "k"), (5, near.upper() + "!"), (1, "copies only"), (2, "Copies, only"), (9, "copies only"), (4, "alone"), (6, None), (7, None), (10, ""), (11, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["char_5gram_neardup"](spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, r.inter, r.total) for r in found if r.kind == "near"] == [(3, 5, 10, 11)]
+    assert {r.b: r.a for r in found if r.kind == "member"} == {8: 5, 5: 5, 3: 3, 1: 1, 2: 1, 9: 1, 4: 4, 6: 6, 7: 7, 10: 10, 11: 10}
+    assert len(found) == len(docs) + 1
