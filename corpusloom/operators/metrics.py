@@ -70,7 +70,7 @@ def pair_redundancy(ranking: DataFrame, spans: DataFrame, k: int = 3) -> DataFra
 
 
 def failure_class(per: Column | None = None, **c: Column) -> Column:
-    """The primary class of a question from its signals, first that holds."""
+    """The primary class of a question at depth 10 from its signals, first that holds; set_metrics has the eight classes at depth 3."""
     return (
         F.when(c["relevant"] == 0, "UNEVALUABLE").when(c["first"].isNull(), "DISCOVERY_MISS").when(c["first"] > 10, "RANKING_MISS")
         .when(c["hits"] < c["relevant"], "INCOMPLETE_SET").when(c["first"] > 1, "POOR_TOP_RANK").otherwise("SUCCESS")
@@ -86,6 +86,95 @@ def failure_taxonomy(ranking: DataFrame, labels: DataFrame, questions: DataFrame
     return q.select("question_id", failure_class(relevant=F.col("relevant"), first=F.col("first"), hits=F.col("hits")).alias("class"))
 
 
+#: Per-question columns that are correlated with answer scores.
+SET_METRICS = [
+    "precision_at_1", "precision_at_3", "set_recall_at_3", "ndcg_at_10", "required_coverage_at_1", "required_coverage_at_3", "duplicate_rate", "overlap_rate", "parent_rate", "diversity",
+    "coordinate_coverage_at_3", "context_hit_at_1", "context_hit_at_3",
+]
+
+
+def set_metrics(ranking: DataFrame, labels: DataFrame, spans: DataFrame, questions: DataFrame, context_evidence: DataFrame | None = None, failed_answers: DataFrame | None = None, judged_all: bool = False) -> DataFrame:
+    """Rows (question_id, relevant, SET_METRICS, evidence_count_at_3, token_cost_at_3, class): graded and set-aware metrics, and one of eight failure classes.
+
+    Grade 2 is required evidence. spans (chunk_id, context_id, path, start, end, cost) of chunks; a question's coordinates and context hits are null
+    unless all its relevant chunks are ranked. context_evidence (question_id, chunk_id) names hierarchy context, failed_answers (question_id) wrong
+    answers; judged_all tells that labels cover every chunk, so that a relevant one outside the ranking was not discovered.
+    Questions without relevant chunks have class UNRESOLVED_LABEL_OR_GOLD and null metrics. A ranking has a chunk once; the order of classes then
+    leaves nothing to REDUNDANCY_ERROR, as a relevant chunk outside the first three is a ranking or a coverage miss.
+    """
+    lab = labels.where(F.col("grade") > 0).groupBy("question_id", "chunk_id").agg(F.max("grade").alias("grade"))
+    asked = questions.select("question_id").distinct()
+    count = lab.groupBy("question_id").agg(F.count("*").alias("relevant"), F.count_if(F.col("grade") >= 2).alias("required"))
+    top = lambda c, k: F.count_if(F.col("rank").isNotNull() & (F.col("rank") <= k) & c)
+    yes, need = F.col("grade").isNotNull(), F.coalesce(F.col("grade") >= 2, F.lit(False))
+    at = F.when(yes, F.struct("context_id", "path"))
+    r = ranking.select("question_id", "rank", "chunk_id").join(spans.select("chunk_id", "context_id", "path", "cost"), "chunk_id").join(lab, ["question_id", "chunk_id"], "left")
+    seen = r.groupBy("question_id").agg(
+        F.count(F.col("grade")).alias("ranked"), *[top(yes, k).alias(f"hit{k}") for k in (1, 3)], *[top(need, k).alias(f"need{k}") for k in (1, 3)], top(F.lit(True), 3).alias("evidence_count_at_3"),
+        F.when(F.count_if((F.col("rank") <= 3) & F.col("cost").isNull()) == 0, F.sum(F.when(F.col("rank") <= 3, F.col("cost")))).alias("token_cost_at_3"),
+        F.collect_set(at).alias("coordinates"), F.collect_set(F.when(F.col("rank") <= 3, at)).alias("hit_coordinates"),
+        F.collect_set(F.when(F.col("rank") <= 1, F.col("context_id"))).alias("contexts1"), F.collect_set(F.when(F.col("rank") <= 3, F.col("context_id"))).alias("contexts3"),
+    )
+    out = asked.join(count, "question_id", "left").join(seen, "question_id", "left").join(pair_redundancy(ranking, spans), "question_id", "left")
+    out = out.join(ndcg(ranking, lab).withColumnRenamed("ndcg", "ndcg_at_10"), "question_id", "left")
+    out = out.fillna(0, ["relevant", "required", "ranked", "hit1", "hit3", "need1", "need3", "evidence_count_at_3"])
+    if context_evidence is not None:
+        named = context_evidence.select("question_id", "chunk_id").distinct().join(ranking.select("question_id", "chunk_id", "rank"), ["question_id", "chunk_id"])
+        out = out.join(named.groupBy("question_id").agg((F.min("rank") > 3).alias("context_missed")), "question_id", "left")
+    else:
+        out = out.withColumn("context_missed", F.lit(False))
+    if failed_answers is not None:
+        out = out.join(failed_answers.select("question_id").distinct().withColumn("failed", F.lit(True)), "question_id", "left")
+    else:
+        out = out.withColumn("failed", F.lit(False))
+    known = (F.col("relevant") > 0) & (F.col("ranked") == F.col("relevant"))
+    positive = F.transform("coordinates", lambda c: c["context_id"])
+    redundant = F.coalesce((F.col("duplicate_rate") > 0) | (F.col("overlap_rate") > 0) | (F.col("parent_rate") > 0), F.lit(False))
+    some = lambda c: F.when(F.col("relevant") > 0, c)
+    part = lambda c: F.when(F.col("required") > 0, F.col(c) / F.greatest(F.col("required"), F.lit(1)))
+    kind = (
+        F.when(F.col("relevant") == 0, "UNRESOLVED_LABEL_OR_GOLD").when(F.lit(judged_all) & (F.col("ranked") < F.col("relevant")), "DISCOVERY_MISS")
+        .when((F.col("hit3") == 0) & (F.col("ranked") > 0), "RANKING_MISS").when((F.col("hit3") > 0) & (F.col("hit3") < F.col("relevant")), "SET_COVERAGE_MISS")
+        .when(redundant & (F.col("ranked") > F.col("hit3")), "REDUNDANCY_ERROR").when(F.coalesce("context_missed", F.lit(False)), "HIERARCHY_CONTEXT_MISS")
+        .when((F.col("hit3") == F.col("relevant")) & F.coalesce("failed", F.lit(False)), "CORRECT_EVIDENCE_GENERATION_ERROR").otherwise("NO_FAILURE")
+    )
+    return out.select(
+        "question_id", "relevant", some(F.col("hit1").cast("double")).alias("precision_at_1"), some(F.col("hit3") / 3.0).alias("precision_at_3"),
+        some((F.col("hit3") == F.col("relevant")).cast("double")).alias("set_recall_at_3"), "ndcg_at_10", part("need1").alias("required_coverage_at_1"), part("need3").alias("required_coverage_at_3"),
+        *[some(F.col(c)).alias(c) for c in ("duplicate_rate", "overlap_rate", "parent_rate", "diversity")],
+        F.when(known, F.size("hit_coordinates") / F.greatest(F.size("coordinates"), F.lit(1))).alias("coordinate_coverage_at_3"),
+        *[F.when(known, F.arrays_overlap(f"contexts{k}", positive).cast("double")).alias(f"context_hit_at_{k}") for k in (1, 3)],
+        some(F.col("evidence_count_at_3")).alias("evidence_count_at_3"), some(F.col("token_cost_at_3")).alias("token_cost_at_3"), kind.alias("class"),
+    )
+
+
+def set_report(per: DataFrame) -> DataFrame:
+    """One row over set_metrics: counts, means over evaluable questions, optional means over those that have them, distribution of evidence counts, token costs."""
+    means = ["precision_at_1", "precision_at_3", "set_recall_at_3", "ndcg_at_10", "coordinate_coverage_at_3", "context_hit_at_1", "context_hit_at_3"]
+    cost, some = F.col("token_cost_at_3"), F.col("relevant") > 0
+    return per.agg(
+        F.count("*").alias("questions"), F.count_if(some).alias("evaluable"), F.count_if(~some).alias("unevaluable"), *[F.avg(m).alias(f"mean_{m}") for m in means],
+        F.count("required_coverage_at_3").alias("required_eligible"), F.count("diversity").alias("metadata_available"), F.count("coordinate_coverage_at_3").alias("coordinates_available"),
+        *[F.count_if(F.col("evidence_count_at_3") == n).alias(f"evidence_{n}") for n in range(4)], F.count(cost).alias("token_cost_available"), F.count_if(some & cost.isNull()).alias("token_cost_unavailable"),
+        F.sum(cost).alias("token_cost_total"), F.avg(cost).alias("token_cost_mean"), F.min(cost).alias("token_cost_minimum"), F.max(cost).alias("token_cost_maximum"),
+    )
+
+
+def failure_overlaps(ranking: DataFrame, labels: DataFrame, questions: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Rows (category, n): counts that may share questions: parser or alias errors, relevant chunks outside the first ten, a first chunk that is not relevant though one of ten is.
+
+    diagnostics (question_id, diagnostic) of exact references; a question without a coordinate is no error.
+    """
+    lab = labels.where(F.col("grade") > 0).select("question_id", "chunk_id").distinct()
+    asked = questions.select("question_id").distinct()
+    wrong = diagnostics.where(F.col("diagnostic").isNotNull() & (F.col("diagnostic") != "EXACT_COORDINATE_ABSENT")).select("question_id").distinct().join(asked, "question_id")
+    hits = ranking.where(F.col("rank") <= 10).join(lab, ["question_id", "chunk_id"]).groupBy("question_id").agg(F.min("rank").alias("first"), F.count("*").alias("hits"))
+    q = asked.join(lab.groupBy("question_id").agg(F.count("*").alias("relevant")), "question_id").join(hits, "question_id", "left")
+    counts = q.agg(F.count_if(F.coalesce("hits", F.lit(0)) < F.col("relevant")).alias("m"), F.count_if(F.col("first") > 1).alias("p")).crossJoin(wrong.agg(F.count("*").alias("w")))
+    named = [("parser_or_alias_identity_error", "w"), ("missing_top_10_evidence", "m"), ("poor_top_rank_ordering", "p")]
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(c).alias("n")) for k, c in named])).alias("x")).select("x.*")
+
+
 def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (x, y, n, r, reason) for each pair of columns; null r with a reason for fewer than two rows or no variance."""
     parts = []

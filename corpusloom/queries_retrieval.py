@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import queries_corpus
 from corpusloom.functions import text as tx
-from corpusloom.operators import fuse, metrics, retrieve, select
+from corpusloom.operators import corpus, fuse, metrics, retrieve, rouge, select
 from corpusloom.plans.materialize import written
 
 DEPTH = 50
@@ -122,6 +123,33 @@ def pearson_metrics(spark, d):
     return r6(metrics.pearson(per, [("words", "mrr_at_10"), ("words", "recall_at_1"), ("relevant", "recall_at_10")]), "r")
 
 
+def set_metrics(spark, d):
+    """Labels are judged over all documents; the tables name no hierarchy context and no failed answers."""
+    spans = chunks(spark, d).select("chunk_id", "context_id", "path", "start", "end", F.size(tx.tokens(F.col("text"))).alias("cost"))
+    return metrics.set_metrics(sparse(spark, d), labels(spark, d), spans, questions(spark, d), judged_all=True)
+
+
+def set_failure_counts(spark, d):
+    return set_metrics(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def set_report(spark, d):
+    return metrics.set_report(set_metrics(spark, d))
+
+
+def set_correlations(spark, d):
+    """Each set metric with the scores of an answer taken from the first document; the benchmark text is its reference."""
+    first = sparse(spark, d, 1).join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(questions(spark, d), "question_id")
+    scores = rouge.answer_scores(first.select(F.col("question_id").alias("id"), F.col("question").alias("reference"), corpus.extractive_answer(F.col("text")).alias("prediction")))
+    both = set_metrics(spark, d).where("relevant > 0").join(scores.withColumnRenamed("id", "question_id"), "question_id")
+    return r6(metrics.pearson(both, [(m, a) for m in metrics.SET_METRICS for a in ("meteor_exact", "rouge_l")]), "r")
+
+
+def failure_overlaps(spark, d):
+    diagnostics = queries_corpus.question_resolution(spark, d).select("question_id", "diagnostic")
+    return metrics.failure_overlaps(sparse(spark, d), labels(spark, d), questions(spark, d), diagnostics)
+
+
 def arm_comparison(spark, d):
     lab = labels(spark, d)
     return r6(metrics.compare_arms(metrics.discovery_arm(sparse(spark, d), lab), metrics.discovery_arm(second(spark, d), lab)), "delta_hit_10", "delta_hit_50", "delta_mrr")
@@ -193,7 +221,7 @@ def answer_coverage(spark, d):
 QUERIES = {f.__name__: f for f in (
     bm25_topk, legal_sparse, lexical_topk, cosine_topk, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
     ndcg10, answer_containment, pair_redundancy, failure_class, failure_counts, pearson_metrics, arm_comparison, discovery_arm, win_tie_loss, bootstrap_ci, ltr_features, admission_budget,
-    bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage,
+    bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage, set_metrics, set_failure_counts, set_report, set_correlations, failure_overlaps,
 )}
 
 # ---- SQL counterparts ----
