@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import legal
 from corpusloom.functions import text as tx
 from corpusloom.operators.retrieve import ranked
 
 MISSING_RANK = 51
+# fixed values: words that mark legal questions, and labels of coordinates in a path
+LEGAL_TERMS = ("bộ", "chương", "điều", "điểm", "khoản", "luật", "mục", "nghị", "phần", "pháp", "quyết", "thông", "tư", "định")
+_LABELS = (("article", "điều"), ("clause", "khoản"), ("point", "điểm"))
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 50, constant: int = 60) -> DataFrame:
@@ -61,7 +65,7 @@ def union_coverage(rankings: list[DataFrame], labels: DataFrame, cutoffs=(5, 10,
 
 
 def ltr_features(sparse: DataFrame, dense: DataFrame, questions: DataFrame, chunks: DataFrame, labels: DataFrame, depth: int = 50, legal_terms: tuple[str, ...] = ()) -> DataFrame:
-    """The candidate table of two rankings with scores, ranks, lengths, overlaps and source flags; label 1 for positives."""
+    """The candidate table of two rankings with scores, ranks, lengths, overlaps and source flags; label 1 for positives. fusion_features adds the features of citations."""
     s = sparse.where(F.col("rank") <= depth).select("question_id", "chunk_id", F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"))
     d = dense.where(F.col("rank") <= depth).select("question_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
     both = s.join(d, ["question_id", "chunk_id"], "full_outer")
@@ -70,18 +74,53 @@ def ltr_features(sparse: DataFrame, dense: DataFrame, questions: DataFrame, chun
     lab = labels.select("question_id", "chunk_id").distinct().withColumn("label", F.lit(1))
     rows = both.join(q, "question_id").join(c, "chunk_id").join(lab, ["question_id", "chunk_id"], "left")
     qs, cs = F.array_distinct("qt"), F.array_distinct("ct")
-    union, legal = F.size(F.array_union(qs, cs)), F.array_intersect(qs, F.array(*[F.lit(t) for t in legal_terms]).cast("array<string>"))
+    union, named = F.size(F.array_union(qs, cs)), F.array_intersect(qs, F.array(*[F.lit(t) for t in legal_terms]).cast("array<string>"))
     return rows.select(
         "question_id", "chunk_id", F.coalesce("label", F.lit(0)).alias("label"),
         F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), F.coalesce("bm25_rank", F.lit(MISSING_RANK)).cast("double").alias("bm25_rank"),
         F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("dense_rank", F.lit(MISSING_RANK)).cast("double").alias("dense_rank"),
         F.size("qt").cast("double").alias("query_length"), F.size("ct").cast("double").alias("candidate_length"),
         F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(qs, cs)) / union).alias("lexical_overlap"),
-        F.when(F.size(legal) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(legal, cs)) / F.greatest(F.size(legal), F.lit(1))).alias("legal_term_overlap"),
+        F.when(F.size(named) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(named, cs)) / F.greatest(F.size(named), F.lit(1))).alias("legal_term_overlap"),
         (F.col("bm25_rank").isNotNull().cast("int") + 2 * F.col("dense_rank").isNotNull().cast("int")).cast("double").alias("source_retriever_flags"),
     )
 
 
+def _part(path, label: str):
+    """The last ordinal under one label of a path, as its members are read in order; null without."""
+    member = F.transform(path, tx.collapsed)
+    return F.try_element_at(F.filter(F.transform(member, lambda p: F.when(p.startswith(label + " "), F.substring(p, len(label) + 2, 1000))), lambda p: p.isNotNull()), F.lit(-1))
+
+
+def fusion_features(sparse: DataFrame, dense: DataFrame, questions: DataFrame, chunks: DataFrame, labels: DataFrame, exact: DataFrame, aliases: DataFrame, laws: DataFrame, depth: int = 50) -> DataFrame:
+    """The candidate table with all 16 features: those of ltr_features with LEGAL_TERMS, and seven of the question's citations.
+
+    chunks also has context_id and path; exact (question_id, chunk_id) are resolved references, aliases (document_key, context_id), laws (context_id, law_key).
+    Exact hits are marked and flagged (4) among the candidates of the two rankings. A citation counts its coordinates that the path lacks; without any the distance is 3.
+    """
+    rows = ltr_features(sparse, dense, questions, chunks, labels, depth, LEGAL_TERMS)
+    c = questions.select("question_id", legal.citations_of(F.col("question")).alias("citations"))
+    numbers = c.select("question_id", F.explode("citations").alias("c")).select("question_id", tx.document_number_key(F.col("c.document_number")).alias("document_key"))
+    named = numbers.join(aliases, "document_key").select("question_id", "context_id").distinct().withColumn("by_number", F.lit(1.0))
+    law = laws.groupBy("context_id").agg(F.collect_set("law_key").alias("law_keys"))
+    hit = exact.select("question_id", "chunk_id").where("chunk_id IS NOT NULL").distinct().withColumn("hit", F.lit(1.0))
+    place = chunks.select("chunk_id", "context_id", *[_part(F.col("path"), label).alias(kind) for kind, label in _LABELS])
+    j = rows.join(place, "chunk_id").join(c, "question_id").join(hit, ["question_id", "chunk_id"], "left").join(named, ["question_id", "context_id"], "left").join(law, "context_id", "left")
+    one = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
+    same = lambda kind: lambda x: F.coalesce(x[kind] == F.col(kind), F.lit(False))
+    match = {kind: one(F.exists("citations", same(kind))) for kind, _ in _LABELS}
+    asked = F.filter("citations", lambda x: x["article"].isNotNull() | x["clause"].isNotNull() | x["point"].isNotNull())
+    missed = lambda x, kind: (x[kind].isNotNull() & ~x[kind].eqNullSafe(F.col(kind))).cast("double")
+    distance = F.coalesce(F.array_min(F.transform(asked, lambda x: missed(x, "article") + missed(x, "clause") + missed(x, "point"))), F.lit(3.0))
+    flag = F.coalesce("hit", F.lit(0.0))
+    return j.select(
+        "question_id", "chunk_id", "label", "bm25_score", "bm25_rank", "dense_score", "dense_rank", flag.alias("exact_reference_flag"), F.coalesce("by_number", F.lit(0.0)).alias("document_id_match"),
+        one(F.arrays_overlap(F.transform("citations", lambda x: x["law_identity"]), F.col("law_keys"))).alias("law_title_match"), match["article"].alias("article_number_match"),
+        match["clause"].alias("clause_match"), match["point"].alias("point_match"), "query_length", "candidate_length", "lexical_overlap", "legal_term_overlap",
+        distance.alias("hierarchy_distance"), (F.col("source_retriever_flags") + 4 * flag).alias("source_retriever_flags"),
+    )
+
+
 def parity(left: DataFrame, right: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """One row (rows, same_order, max_delta, equal) comparing two rankings."""
     both = left.select("question_id", "rank", F.col("chunk_id").alias("l"), F.col("score").alias("ls")).join(right.select("question_id", "rank", F.col("chunk_id").alias("r"), F.col("score").alias("rs")), ["question_id", "rank"], "full_outer")

@@ -65,6 +65,10 @@ def _aliases(contexts):
     return retrieve.alias_proposals(contexts).where("proposal IS NOT NULL").select(F.col("proposal").alias("document_key"), "context_id")
 
 
+def _laws(contexts):
+    return contexts.select(tx.law_identity_key(F.col("name")).alias("law_key"), "context_id").where("law_key IS NOT NULL")
+
+
 def _legal_chunks(contexts):
     h = corpus.headings(contexts)
     return h.select(F.concat_ws("/", "context_id", F.concat_ws("/", "path")).alias("chunk_id"), "context_id", F.col("path").alias("hierarchy_path"), F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), "start", "end", "path")
@@ -235,10 +239,10 @@ def question_resolution(spark, d):
     return _resolved(_asked(spark, d), _passages(spark, d))
 
 
-def _resolved(questions, contexts):
+def _resolved(questions, contexts, chunks=None):
     q = questions.select("question_id", legal.reference_of(F.col("question")).alias("r")).select("question_id", "r.*")
     good = q.where("diagnostic IS NULL").select("question_id", tx.document_number_key(F.col("document_number")).alias("document_key"), "article", "clause", "point")
-    found = retrieve.resolve_exact(good, _aliases(contexts), _legal_chunks(contexts))
+    found = retrieve.resolve_exact(good, _aliases(contexts), _legal_chunks(contexts) if chunks is None else chunks)
     return found.unionByName(q.where("diagnostic IS NOT NULL").select("question_id", F.lit(None).cast("string").alias("chunk_id"), "diagnostic"))
 
 
@@ -279,7 +283,7 @@ def answer_supervision(spark, d):
 
 
 def _supervision(answers, contexts):
-    laws = contexts.select(tx.law_identity_key(F.col("name")).alias("law_key"), "context_id").where("law_key IS NOT NULL")
+    laws = _laws(contexts)
     chunks = _legal_chunks(contexts).select("chunk_id", "context_id", F.col("hierarchy_path").alias("path"))
     return training.supervision_groups(answers, training.supervise(training.cited(answers), _aliases(contexts), laws, chunks)).select("question_id", "mapping_class", F.size("chunk_ids").alias("chunks"), "confidence")
 

@@ -177,6 +177,18 @@ def ltr_features(spark, d):
     return r6(fuse.ltr_features(sparse(spark, d), second(spark, d), questions(spark, d), chunks(spark, d), labels(spark, d)), "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
 
 
+def fusion_features(spark, d):
+    """All 16 features over the chunks of documents, whose paths have the legal coordinates; both rankings are of these chunks."""
+    passages = queries_corpus._passages(spark, d)
+    c = written(corpus.chunked(passages).select("chunk_id", "context_id", "path", F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), F.col("retrieval_text").alias("text")), "fusion-chunks")
+    q = questions(spark, d)
+    s, l = written(retrieve.bm25(c, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(c, q, DEPTH), "fusion-lexical")
+    found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
+    exact = queries_corpus._resolved(q, passages, c.withColumn("hierarchy_path", F.col("path")))
+    out = fuse.fusion_features(s, l, q, c, found.withColumnRenamed("needle_id", "question_id"), exact, queries_corpus._aliases(passages), queries_corpus._laws(passages))
+    return r6(out, "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
+
+
 def _pool(spark, d):
     c = chunks(spark, d).select("chunk_id", "context_id", "path", "start", "end", tx.word_count(F.col("text")).alias("cost"))
     return sparse(spark, d, 20).join(c, "chunk_id").withColumnRenamed("chunk_id", "evidence_id")
@@ -222,6 +234,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_topk, legal_sparse, lexical_topk, cosine_topk, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
     ndcg10, answer_containment, pair_redundancy, failure_class, failure_counts, pearson_metrics, arm_comparison, discovery_arm, win_tie_loss, bootstrap_ci, ltr_features, admission_budget,
     bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage, set_metrics, set_failure_counts, set_report, set_correlations, failure_overlaps,
+    fusion_features,
 )}
 
 # ---- SQL counterparts ----
