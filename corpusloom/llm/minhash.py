@@ -83,6 +83,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key of each band of a signature: ROWS minima or ROWS maxima of different permutations, whose agreements are independent.
+
+    Minimum and maximum of one permutation are in different bands: as they seldom agree together in small sets, they would thin out a band's
+    agreements, but two such bands make it likelier that one of them agrees.
+    """
+    rows = values.reshape(PERMUTATIONS, 2).T.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = _mixed(key * _MIX[0] + rows[:, i])
+    return key
+
+
 def _signatures(width: int):
     def run(batches):
         names = ["doc_id", "set_id", "n_shingles", "bands", "sketch"]
@@ -96,10 +109,7 @@ def _signatures(width: int):
                     continue
                 v = signature(s)
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
-                key = np.arange(BANDS, dtype=np.uint64)
-                for i in range(ROWS):
-                    key = _mixed(key * _MIX[0] + v.reshape(BANDS, ROWS)[:, i])
-                bands.append(key.view(np.int64))
+                bands.append(band_keys(v).view(np.int64))
                 sketches.append(np.packbits(_mixed(v) >> np.uint64(63) == 1).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=names)
 
