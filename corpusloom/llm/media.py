@@ -9,7 +9,8 @@ and streams in the form above by unpacking all blocks at once.
 
 Shots are detected on histograms of the decoded pixels: a cut lies where the difference between neighbouring frames
 exceeds the mean of the last differences by DEVIATIONS of their standard deviation, and FLOOR. Clips are the
-runs between cuts, with their times.
+runs between cuts, with their times. Blocks that fill up the last frame count in no histogram where the file states its payload's.
+A frame holds 2,048 payload bytes, so a shot has that many at least, or what the last frame holds.
 
 Null text is an empty payload of 64 zero bytes; payloads are padded with zero bytes to a multiple of 64.
 Every row is handled by itself, so equal texts give equal values and repeated rows are repeated.
@@ -288,20 +289,26 @@ def read_avi(raw: bytes) -> tuple[list[bytes], float, int | None]:
 
 
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
-    """Frame ranges between cuts."""
+    """Frame ranges between cuts.
+
+    A step is judged by the last MEMORY steps that were no cuts, of its own shot and, at its beginning, of those before; with fewer than two of
+    them by FLOOR alone. So a cut may stand after any frame, and a shot may have one.
+    """
     if not len(histograms):
         return []
     share = histograms / np.maximum(1, histograms.sum(axis=1, keepdims=True))
     steps = (np.abs(np.diff(share, axis=0)).sum(axis=1) / 2).tolist()
-    cuts, begin = [0], 0
+    cuts, calm = [0], []
     for i, d in enumerate(steps):
-        last = steps[max(begin, i - MEMORY) : i]
+        last = calm[-MEMORY:]
+        bound = FLOOR
         if len(last) >= 2:
             mean = sum(last) / len(last)
-            dev = (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5
-            if d > max(FLOOR, mean + DEVIATIONS * dev):
-                cuts.append(i + 1)
-                begin = i + 1
+            bound = max(FLOOR, mean + DEVIATIONS * (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5)
+        if d > bound:
+            cuts.append(i + 1)
+        else:
+            calm.append(d)
     return list(zip(cuts, [*cuts[1:], len(histograms)]))
 
 
@@ -312,6 +319,7 @@ def decode_video(raw: bytes) -> tuple[bytes, list[tuple[int, int]], float, np.nd
     pixels = (coefficients * quant).astype(np.float32) @ _IDCT
     bins = np.clip((pixels + 128) * (BINS / 256), 0, BINS - 1).astype(np.int64)
     bins += np.repeat(np.arange(len(sizes)) * BINS, sizes)[:, None]
+    bins = bins[:blocks]
     histograms = np.bincount(bins.ravel(), minlength=len(sizes) * BINS).reshape(len(sizes), BINS)
     payload = (coefficients - _RAISED).astype(np.uint8).tobytes()
     return payload if blocks is None else payload[: BLOCK * blocks], shots(histograms), rate, histograms
