@@ -8,7 +8,8 @@ A phrase query takes the two rarest terms of each window of WINDOW consecutive t
 these terms, moved back by their offset in the item, meet on (document, item, diagonal); only diagonals on
 which two lists agree are candidates, which leaves out nearly all chance hits. Candidates are then
 confirmed word by word on whole items and yield all windows that occur. A proximity query asks that
-all terms of a window stand within a reach of its rarest term's posting, in any order.
+all words of a window stand within a reach of its rarest term's posting, in any order; it is a function on its own
+(proximity_matches), not on the path of op3, keep_clean or the pipeline, whose results are exact phrases.
 
 Null texts have no words. An item of fewer than WINDOW words, but at least one, is one window of its own.
 Repeated rows are each answered; th, the hash of the text, tells rows of one doc_id apart. Items that share
@@ -78,15 +79,16 @@ def phrase_candidates(postings: DataFrame, tokens: DataFrame, width: int = WINDO
 
 
 def proximity_matches(postings: DataFrame, tokens: DataFrame, width: int = WINDOW, reach: int = 2 * WINDOW) -> DataFrame:
-    """Rows (doc_id, th, row_id, start, pos): all terms of a window stand within reach words of its rarest term at pos."""
+    """Rows (doc_id, th, row_id, start, pos): all words of a window, as often as it has them, stand within reach words of its rarest term at pos."""
     per = _windows(tokens, width)
     many = per.groupBy("row_id", "start").agg(F.countDistinct("tid").alias("terms"), F.min(F.struct("freq", "ipos", "tid")).alias("r"), F.min("freq").alias("least"))
     many = many.where("least > 0").select("row_id", "start", "terms", F.col("r.tid").alias("rare"))
     at = postings.join(_small(many), postings.tid == many.rare).select("doc_id", "th", "row_id", "start", "terms", "pos")
-    members = per.select("row_id", "start", "tid").distinct()
+    members = per.groupBy("row_id", "start", "tid").agg(F.count("*").alias("times"))
     near = postings.withColumnRenamed("pos", "other")
     found = at.join(members, ["row_id", "start"]).join(near, ["doc_id", "th", "tid"]).where(F.abs(F.col("other") - F.col("pos")) <= reach)
-    found = found.groupBy("doc_id", "th", "row_id", "start", "pos", "terms").agg(F.countDistinct("tid").alias("seen"))
+    found = found.groupBy("doc_id", "th", "row_id", "start", "pos", "terms", "tid", "times").agg(F.countDistinct("other").alias("stands")).where("stands >= times")
+    found = found.groupBy("doc_id", "th", "row_id", "start", "pos", "terms").agg(F.count("*").alias("seen"))
     return found.where("seen = terms").select("doc_id", "th", "row_id", "start", "pos")
 
 
