@@ -18,6 +18,9 @@ and only the dictionary of phrases and the parse need a suffix order:
    Hashes with more than HOT phrases are compared string by string in a plain aggregation instead, so
    no shard grows with the popularity of a passage.
 
+No suffix array of the parse and no order of the corpus are built: step 1 finds repeated phrases by equal hashes, step 2 is winnowing, and the
+ranks of step 3 serve for equality alone, which is all that the smallest doc_id of a string needs.
+
 The result is exact. A null text is empty. Documents with a null doc_id neither remove nor lose bytes.
 Rows that share a doc_id are one document for the comparison: none removes another's bytes, and each row is answered.
 """
