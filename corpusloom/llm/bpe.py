@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import in_arrow, slices, table
 
 LONG = 48
 _NONE = 1 << 62
 #: Entries of a worker's cache of chunks and words; emptied when full.
-CACHE = 200_000
+CACHE = 100_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 # fixed value: the word pattern of the tokenizer file, with white space spelled out
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -142,13 +142,12 @@ class Lexicon:
         symbols = byte_symbols()
         self.plain = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.suffix] for s in symbols]
-        self.merges = {}
-        for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         if len(self.tokens) > 1 << 17:
             raise ValueError("ids must stay under 131072")
         #: pair of ids -> rank and new id, both as one integer, so the least of them is the next merge
-        self.steps = {a << 17 | b: rank << 17 | new for (a, b), (rank, new) in self.merges.items()}
+        self.steps: dict[int, int] = {}
+        for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
+            self.steps.setdefault(vocab[a] << 17 | vocab[b], rank << 17 | vocab[a + b])
         byte_of = {s: b for b, s in enumerate(symbols)}
         frequent = {bytes(byte_of[c] for c in t.removesuffix(self.suffix)) for t in vocab if t.endswith(self.suffix) and len(t) > len(self.suffix)}
         frequent |= {w.encode("utf-8") for w in words}
@@ -183,9 +182,9 @@ class Lexicon:
         return ids
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
-        n, get = len(ids), self.merges.get
+        n, get = len(ids), self.steps.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, a, b, m[1]) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := get((a, b)))]
+        heap = [(step >> 17, i, a, b, step & 0x1FFFF) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (step := get(a << 17 | b)) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -196,10 +195,10 @@ class Lexicon:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                if (step := get(new << 17 | ids[k])) is not None:
+                    heapq.heappush(heap, (step >> 17, i, new, ids[k], step & 0x1FFFF))
+            if (h := before[i]) >= 0 and (step := get(ids[h] << 17 | new)) is not None:
+                heapq.heappush(heap, (step >> 17, h, ids[h], new, step & 0x1FFFF))
         return [x for x in ids if x >= 0]
 
 
@@ -268,22 +267,9 @@ class Encoder:
         return " ".join(map(self.lexicon.tokens.__getitem__, ids))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    if shared.value.__class__ is not Lexicon:
-        raise TypeError("a broadcast lexicon is expected")
-    key = id(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
-
-
 def _coded(shared, rows: int):
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)  # with caches that end with the task
         for b in slices(batches, rows):
             ids = [encoder.encode(t) for t in b.column("text").to_pylist()]
             flat = np.concatenate([np.frombuffer(x, np.uint32) for x in ids] or [np.empty(0, np.uint32)])
@@ -314,7 +300,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, words: list[str] = (
     shared = lexicon_for(docs.sparkSession, path, words)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(_coded(shared, 128), f"doc_id {kind}, ids array<int>, ids_sha256 string, decoded string")
+    return in_arrow(d, _coded(shared, 128), f"doc_id {kind}, ids array<int>, ids_sha256 string, decoded string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

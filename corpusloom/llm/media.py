@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import in_arrow, slices, table
 
 BLOCK, FRAME, RATE = 64, 32, 25
 BINS, MEMORY, DEVIATIONS, FLOOR = 16, 8, 2.5, 0.1
@@ -360,7 +360,7 @@ def to_media(docs: DataFrame, with_media: bool = False, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     clip = "array<struct<first_frame:long,end_frame:long,start_s:double,end_s:double>>"
     kind = f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {clip}, media binary"
-    return d.mapInArrow(_stored(with_media), kind)
+    return in_arrow(d, _stored(with_media), kind)
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
