@@ -85,6 +85,28 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_under_one_doc_id_are_one_node(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(20)) for x in "abc"}
+    rows = [(3, texts["a"]), (5, texts["a"]), (5, texts["b"]), (9, texts["b"]), (11, texts["c"]), (11, None), (12, texts["c"])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 11, False)}
+
+
+def test_prints_bound_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (3, 100, 511, 700, 5000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.8], rng.integers(0, 2**64, n // 6, dtype=np.uint64)]))
+            (i, a), (j, b) = minhash.set_print(x), minhash.set_print(y)
+            if i == j:
+                under = lambda s: {int(h) for h in s if i == 0 or int(h) >> (64 - i) == 0}
+                differ = sum(int(w).bit_count() for w in (a ^ b).view(np.uint64))
+                assert differ <= len(under(x) ^ under(y))
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(0)
     import numpy as np
@@ -125,6 +147,15 @@ def test_repeats_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_of_one_doc_id_with_several_texts(spark):
+    long, other = "0123456789" * 12, "".join(map(chr, range(33, 120)))
+    rows = [(5, long), (5, other), (4, other), (6, long + other)]
+    got = {(r.doc_id, r.n_bytes, len(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 120, 120), (5, 87, 0), (4, 87, 87), (6, 207, 0)}
+    kept = suffix_dedup.without_repeats(spark.createDataFrame([(i, t, 7) for i, t in [*rows, (9, None), (None, "x")]], "doc_id long, text string, n_chars int"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, long, 7), (4, other, 7), (9, None, 7), (None, "x", 7)], key=str)
+
+
 def test_suffix_ranks_order_suffixes():
     import numpy as np
 
