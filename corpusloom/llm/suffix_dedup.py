@@ -7,19 +7,22 @@ and only the dictionary of phrases and the parse need a suffix order:
 
 1. Coarse phrases begin where a rolling hash hits a trigger value and overlap the next one by
    LENGTH - 1 bytes, so each string of LENGTH bytes starts in exactly one of them. The smallest doc_id
-   that has a phrase owns it; every other document's occurrence is a repeat as a whole. What stays is the
-   dictionary: each phrase in its owner.
-2. Within the dictionary, fine phrases are the runs of strings whose smallest rolling hash is the same.
+   that has a phrase owns it; every other document's occurrence is a repeat as a whole, and nothing else needs its strings,
+   since the smallest document that has a string has it in a phrase of its own.
+2. The other strings are cut into fine phrases, the runs of strings whose smallest rolling hash is the same.
    Equal strings have equal smallest hashes, and each string has one, so only hashes that occur in two
-   documents can hold a repeat. They are found by a partial and a final aggregation over hash values.
-3. The fine phrases under such hashes go to shards by their hash. A shard sorts the suffixes of its
-   distinct phrases by prefix doubling up to LENGTH bytes; equal ranks in that order, combined with the
-   parse (which documents hold a phrase), give the smallest doc_id of each string.
-   Hashes with more than HOT phrases are compared string by string in a plain aggregation instead, so
-   no shard grows with the popularity of a passage.
-
-No suffix array of the parse and no order of the corpus are built: step 1 finds repeated phrases by equal hashes, step 2 is winnowing, and the
-ranks of step 3 serve for equality alone, which is all that the smallest doc_id of a string needs.
+   documents can hold a repeat. They are found by 32 bits of each hash, which meet in shards by the hash, after each batch of documents
+   has found its own.
+3. The parse is the table of fine phrases under such hashes, the dictionary its distinct phrases with the smallest document of each.
+   The dictionary goes to shards by hash; a shard orders the suffixes of its phrases by their first LENGTH bytes, and equal ranks give the
+   smallest document of each string. The parse joined with that gives the runs: a phrase in another document than its
+   owner goes as a whole, in the owner go the strings that a smaller document has.
+   Copies of a passage are one row of the dictionary. A hash with more than HOT distinct phrases, such as the last bytes of a popular
+   passage before texts that differ, is cut again, by the smallest hash of longer strings: of those so long that LENGTH has hardly room for
+   two, so that few phrases can share one.
+
+The parse is not put in suffix order: phrases overlap by LENGTH - 1 bytes, so the dictionary's order decides every string of LENGTH bytes, and
+the parse's order would only rank equal ones, which the smallest document settles.
 
 The result is exact. A null text is empty. Documents with a null doc_id neither remove nor lose bytes.
 Rows that share a doc_id are one document for the comparison: none removes another's bytes, and each row is answered.
@@ -28,21 +31,23 @@ Rows that share a doc_id are one document for the comparison: none removes anoth
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import slices, table
-from corpusloom.plans.materialize import release, written
+from corpusloom.llm.common import in_arrow, slices, table
+from corpusloom.plans.materialize import bucketed, forget, written
 
 LENGTH = 50
 GRAM = 24
-TRIGGER = 256
-#: Bytes of a text that are hashed at once, rows of a shard, rows of one hash from which it is split, strings of a fine phrase.
+TRIGGER = 128
+#: Bytes of a text that are hashed at once, phrases of a shard, phrases of one hash from which it is cut again, strings of a fine phrase.
 PIECE, SHARD, HOT, RUN = 1 << 20, 20_000, 20_000, 128
+#: Bytes of text whose keys a shard meets, about: a key for each 14 of them.
+KEYS = 16 << 20
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _U = [np.uint64(x) for x in (8, 16, 32, 29)]
@@ -61,13 +66,15 @@ def _scattered(x: np.ndarray, by: int) -> np.ndarray:
     return x ^ (x >> _U[3])
 
 
-def minima(t: np.ndarray, length: int = LENGTH):
-    """Yields (offset, smallest gram hash of each string of length bytes that starts from there on), piece by piece."""
-    wide = length - GRAM + 1
+def minima(t: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Yields (offset, smallest hash of gram bytes in each string of length bytes that starts from there on), piece by piece."""
+    wide, steps = length - gram + 1, gram // 8
     for at in range(0, max(0, len(t) - length + 1), PIECE):
         h = _scattered(_octets(t[at : at + PIECE + length - 1]), 0)
-        m = _scattered(h[:-16] * _M[1] + h[8:-8], 2)  # of 16 bytes, then of GRAM
-        m = _scattered(m * _M[1] + h[16:], 2)
+        n = len(h) - 8 * (steps - 1)
+        m = h[:n]
+        for i in range(1, steps):
+            m = _scattered(m * _M[1] + h[8 * i : 8 * i + n], 2)
         span = 1
         while 2 * span <= wide:
             m = np.minimum(m[:-span], m[span:])
@@ -87,127 +94,242 @@ def coarse_cuts(t: np.ndarray) -> np.ndarray:
     return np.concatenate(cuts)
 
 
-def _bytes(texts) -> list[bytes]:
-    return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts]
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def _coarse(length: int):
     def run(batches):
         for b in slices(batches):
             where, keys, index = [], [], []
-            for i, raw in enumerate(_bytes(b.column("text").to_pylist())):
-                if len(raw) < length:
-                    continue
+            for i, raw in enumerate(_bytes(b.column("text"))):
                 cuts = coarse_cuts(np.frombuffer(raw, np.uint8)).tolist()
                 last = len(raw) - length
                 for k, (s, e) in enumerate(zip(cuts, [*cuts[1:], len(raw)])):
                     if s <= last:
                         keys.append(xxhash.xxh3_128_digest(raw[s : e + length - 1]))
                         where.append(i), index.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("doc_id").take(pa.array(where, pa.int64())), b.column("th").take(pa.array(where, pa.int64())), pa.array(index, pa.int32())], names=["key", "doc_id", "th", "idx"])
+            at = pa.array(where, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("doc_id").take(at), b.column("th").take(at), pa.array(index, pa.int32())], names=["key", "doc_id", "th", "idx"])
 
     return run
 
 
-def _anchors(length: int):
+def _owned(t: np.ndarray, foreign: list[int] | None, length: int) -> np.ndarray:
+    """Whether each string of a text starts in a coarse phrase that no other document owns."""
+    own = np.ones(len(t) - length + 1, bool)
+    if foreign:
+        cuts = np.append(coarse_cuts(t), len(t))
+        for k in foreign:
+            own[cuts[k] : cuts[k + 1]] = False
+    return own
+
+
+def _runs(t: np.ndarray, own: np.ndarray, length: int):
+    """Yields (starts, ends, smallest hashes) of the fine phrases of a text's own strings, piece by piece."""
+    for at, m in minima(t, length):
+        o = own[at : at + len(m)]
+        edge = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (o[1:] != o[:-1]))))
+        ends = np.append(edge[1:], len(m))
+        keep = o[edge]
+        yield edge[keep] + at, ends[keep] + at, m[edge[keep]]
+
+
+def _keys(v: np.ndarray, shards: int) -> np.ndarray:
+    """Smallest hashes as keys: a shard, and 32 bits that tell most hashes of a shard apart."""
+    h = _scattered(v, 1)
+    return ((h >> _U[2]) % np.uint64(shards) << _U[2]) | (h & np.uint64(0xFFFFFFFF))
+
+
+_MET = "shard int, docs binary, prints binary, places binary, twice binary, doc_id long, key long"
+
+
+def _postings(length: int, shards: int):
+    """Which keys the documents of a batch have.
+
+    A row for each shard has each key of the batch once, with the place of one of its documents and whether it has more. Those keys that have
+    more are known to be shared, so these documents need no answer: they follow as rows of doc_id and key. So a shard meets a
+    popular key once a batch.
+    """
+
     def run(batches):
-        for b in slices(batches):
-            where, values = [], []
-            for i, raw in enumerate(_bytes(b.column("text").to_pylist())):
-                if len(raw) >= length:
-                    t = np.frombuffer(raw, np.uint8)
-                    v = np.unique(np.concatenate([m[np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))] for _, m in minima(t, length)]))
-                    values.append(v), where.append(np.full(len(v), i))
-            if values:
-                at = pa.array(np.concatenate(where))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), b.column("doc_id").take(at)], names=["v", "doc_id"])
+        for b in batches:
+            own = []
+            for raw, foreign in zip(_bytes(b.column("text")), b.column("foreign").to_pylist()):
+                t = np.frombuffer(raw, np.uint8)
+                own.append(np.unique(_keys(np.concatenate([v for _, _, v in _runs(t, _owned(t, foreign, length), length)]), shards)))
+            keys, doc = np.concatenate(own or [np.empty(0, np.uint64)]), np.repeat(np.arange(len(own)), [len(k) for k in own])
+            order = np.argsort(keys, kind="stable")
+            keys, doc, ids = keys[order], doc[order], b.column("doc_id").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+            count = np.diff(np.append(first, len(keys)))
+            known = np.repeat(count > 1, count)
+            key, place, twice = keys[first], doc[first], count > 1
+            shard = (key >> _U[2]).astype(np.int64)
+            edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+            parts = list(zip(edge, [*edge[1:], len(shard)]))
+            cut = lambda x: pa.array([x[s:e].tobytes() for s, e in parts], pa.binary())  # noqa: B023, E731
+            none = lambda kind, n: pa.nulls(n, kind)
+            names = ["shard", "docs", "prints", "places", "twice", "doc_id", "key"]
+            few = np.int16 if len(own) < 1 << 15 else np.int32
+            columns = [pa.array(shard[edge] if parts else [], pa.int32()), pa.array([ids.tobytes()] * len(parts), pa.binary()), cut(key.astype(np.uint32)), cut(place.astype(few)), cut(twice.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), len(parts)), none(pa.int64(), len(parts))], names=names)
+            n = int(known.sum())
+            yield pa.RecordBatch.from_arrays([none(pa.int32(), n), *[none(pa.binary(), n)] * 4, pa.array(ids[doc[known]], pa.int64()), pa.array(keys[known].view(np.int64))], names=names)
 
     return run
 
 
-def _fine(length: int):
+def _shared(group: pa.Table) -> pa.Table:
+    """Of a shard: the documents and keys of which another batch, or another document of some batch, has the key too."""
+    shard = group.column("shard")[0].as_py()
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
+    prints, twice = np.concatenate(read("prints", np.uint32)), np.concatenate(read("twice", np.uint8)).astype(bool)
+    places = [np.frombuffer(x, np.int16 if len(x) == 2 * n else np.int32) for x, n in zip(group.column("places").to_pylist(), map(len, read("prints", np.uint32)))]
+    ids = np.concatenate([docs[at] for docs, at in zip(read("docs", np.int64), places)])
+    order = np.argsort(prints, kind="stable")
+    prints, twice, ids = prints[order], twice[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+    count = np.diff(np.append(first, len(prints)))
+    shared = np.repeat((count > 1) | np.logical_or.reduceat(twice, first), count) & ~twice
+    return pa.table({"doc_id": ids[shared], "key": prints[shared].astype(np.int64) | (shard << 32)})
+
+
+_PARSE = "v long, ph binary, doc_id long, th long, start long, phrase binary"
+
+
+class _Parse:
+    """Rows of a parse that are being gathered: of each a hash, the row it comes from, its start, and its bytes."""
+
+    def __init__(self):
+        self.v, self.row, self.start, self.phrase = [], [], [], []
+
+    def add(self, raw: bytes, row: int, starts, ends, values, length: int) -> None:
+        for s, e, v in zip(starts.tolist(), ends.tolist(), values.view(np.int64).tolist()):
+            for x in range(s, e, RUN):
+                self.v.append(v), self.row.append(row), self.start.append(x), self.phrase.append(raw[x : min(x + RUN, e) + length - 1])
+
+    def batch(self, b: pa.RecordBatch, doc: str, place: str) -> pa.RecordBatch:
+        at = pa.array(self.row, pa.int64())
+        keys = pa.array(map(xxhash.xxh3_128_digest, self.phrase), pa.binary())
+        columns = [pa.array(self.v, pa.int64()), keys, b.column(doc).take(at), b.column(place).take(at), pa.array(self.start, pa.int64()), pa.array(self.phrase, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["v", "ph", "doc_id", place, "start", "phrase"])
+
+
+def _fine(length: int, shards: int):
     """Fine phrases under shared hashes, without the strings of coarse phrases that another document owns."""
 
     def run(batches):
         for b in slices(batches, 256):
-            out = [[], [], [], []]
-            rows = zip(_bytes(b.column("text").to_pylist()), b.column("shared").to_pylist(), b.column("foreign").to_pylist())
+            found = _Parse()
+            rows = zip(_bytes(b.column("text")), b.column("shared").to_pylist(), b.column("foreign").to_pylist())
             for i, (raw, shared, foreign) in enumerate(rows):
-                if len(raw) < length or not shared:
-                    continue
                 t, shared = np.frombuffer(raw, np.uint8), np.sort(np.array(shared, np.int64).view(np.uint64))
-                own = np.ones(len(raw) - length + 1, bool)
-                if foreign:
-                    cuts = np.append(coarse_cuts(t), len(raw))
-                    for k in foreign:
-                        own[cuts[k] : cuts[k + 1]] = False
-                for at, m in minima(t, length):
-                    o = own[at : at + len(m)]
-                    edge = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (o[1:] != o[:-1]))))
-                    ends = np.append(edge[1:], len(m))
-                    v = m[edge]
-                    keep = o[edge] & (shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v)
-                    for s, e, key in zip((edge[keep] + at).tolist(), (ends[keep] + at).tolist(), v[keep].view(np.int64).tolist()):
-                        for x in range(s, e, RUN):
-                            out[0].append(key), out[1].append(i), out[2].append(x), out[3].append(raw[x : min(x + RUN, e) + length - 1])
-            at = pa.array(out[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), b.column("doc_id").take(at), b.column("th").take(at), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["v", "doc_id", "th", "start", "phrase"])
+                for s, e, v in _runs(t, _owned(t, foreign, length), length):
+                    key = _keys(v, shards)
+                    keep = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
+                    found.add(raw, i, s[keep], e[keep], v[keep], length)
+            yield found.batch(b, "doc_id", "th")
+
+    return run
+
+
+def _cut_again(length: int):
+    """Phrases of the dictionary cut by the smallest hash of strings nearly as long as length; ph becomes their place."""
+
+    def run(batches):
+        for b in slices(batches, 1024):
+            found = _Parse()
+            for i, raw in enumerate(b.column("phrase").to_pylist()):
+                t = np.frombuffer(raw, np.uint8)
+                for at, m in minima(t, length, length // 8 * 8):
+                    edge = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+                    found.add(raw, i, edge + at, np.append(edge[1:], len(m)) + at, m[edge], length)
+            b = b.rename_columns(["whole" if c == "ph" else c for c in b.schema.names])
+            yield found.batch(b, "owner", "whole")
 
     return run
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Rank of the suffix at each start among all, by its first length bytes: equal strings, equal ranks. Starts must have length bytes after them."""
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
-    rank, span = _octets(padded).byteswap()[: len(data)], 8
-    while 2 * span <= length:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-        after = np.concatenate([rank[span:], np.zeros(span, np.uint64)])
-        rank, span = rank * np.uint64(len(data) + 1) + after, 2 * span
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    both = rank[starts] * np.uint64(len(data) + 1) + rank[starts + (length - span)]
-    return np.unique(both, return_inverse=True)[1]
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts])
+    coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(strings), [None, pa.py_buffer(strings)]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()]
+
+
+_TOLD = "ph binary, owner long, cuts array<struct<lo: int, hi: int>>"
 
 
 def _ordered(length: int):
+    """Of the phrases of a shard of the dictionary: what is to go from them in their owner's text, as runs of strings."""
+
     def run(group: pa.Table) -> pa.Table:
-        phrases = group.column("phrase").to_pylist()
-        docs = group.column("doc_id").to_numpy()
-        place: dict[bytes, int] = {}
-        parse = np.fromiter((place.setdefault(p, len(place)) for p in phrases), np.int64, len(phrases))
-        owner = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(owner, parse, docs)
-        n = np.fromiter(map(len, place), np.int64, len(place))
-        begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-        many = n - length + 1
-        of = np.repeat(np.arange(len(n)), many)
-        first = np.concatenate(([0], np.cumsum(many)))
-        starts = begin[of] + np.arange(len(of)) - first[of]
-        rank = suffix_ranks(np.frombuffer(b"".join(place), np.uint8), starts, length)
-        least = np.full(rank.max() + 1 if len(rank) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, owner[of])
-        least = least[rank]
-        rows, lows, highs = [], [], []
-        begins = group.column("start").to_numpy()
-        for i, (p, d, s) in enumerate(zip(parse.tolist(), docs.tolist(), begins.tolist())):
-            gone = least[first[p] : first[p + 1]] < d
-            if gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                for x, y in edge.reshape(-1, 2).tolist():
-                    rows.append(i), lows.append(s + x), highs.append(s + y)
+        group = group.combine_chunks()
+        owner = group.column("owner").to_numpy()
+        _, of_hash, met = np.unique(group.column("v").to_numpy(), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(met[of_hash] > 1)  # a phrase alone under its hash shares no string
+        cuts: dict[int, list] = {}
+        if len(several):
+            phrases = group.column("phrase").take(pa.array(several)).to_pylist()
+            n = np.fromiter(map(len, phrases), np.int64, len(phrases))
+            begin, many = np.cumsum(n) - n, n - length + 1
+            first = np.cumsum(many) - many
+            of = np.repeat(np.arange(len(n)), many)
+            rank = suffix_ranks(np.frombuffer(b"".join(phrases), np.uint8), begin[of] + np.arange(len(of)) - first[of], length)
+            least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, rank, owner[several][of])
+            gone = least[rank] < owner[several][of]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (gone[1:] != gone[:-1])
+            edge = np.flatnonzero(new)
+            ends = np.append(edge[1:], len(of))
+            kept = gone[edge]
+            for p, lo, hi in zip(of[edge[kept]].tolist(), edge[kept].tolist(), ends[kept].tolist()):
+                cuts.setdefault(int(several[p]), []).append({"lo": lo - int(first[p]), "hi": hi - int(first[p])})
+        tell = np.flatnonzero(group.column("top").to_numpy() > owner)
+        rows = sorted({*tell.tolist(), *cuts})
         at = pa.array(rows, pa.int64())
-        return pa.table({"doc_id": group.column("doc_id").take(at), "th": group.column("th").take(at), "lo": pa.array(lows, pa.int64()), "hi": pa.array(highs, pa.int64())})
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        return pa.table({"ph": group.column("ph").take(at), "owner": group.column("owner").take(at), "cuts": pa.array([cuts.get(i, []) for i in rows], kind)})
 
     return run
 
 
-def _cut(length: int):
-    """The final rows: removed spans and the bytes that stay."""
+def _resolved(parse: DataFrame, place: str, length: int, again: bool = True) -> DataFrame:
+    """Rows (doc_id, place, lo, hi): strings of the phrases of a parse that start in a smaller document too."""
+    words = parse.groupBy("ph").agg(F.min("v").alias("v"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.first("phrase").alias("phrase"))
+    words = written(words, "pfp-dictionary")
+    shards = max(1, -(-words.count() // SHARD))
+    popular = written(words.groupBy("v").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("v"), "pfp-popular") if again else None
+    cut = popular is not None and not popular.isEmpty()
+    plain = words.join(popular, "v", "left_anti") if cut else words
+    told = plain.groupBy(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard")).applyInArrow(_ordered(length), _TOLD)
+    if cut:
+        hot = words.join(popular, "v", "left_semi")
+        finer = written(in_arrow(hot.select("ph", "owner", "phrase"), _cut_again(length), _PARSE.replace("th long", "whole binary")), "pfp-finer")
+        runs = _resolved(finer, "whole", length, again=False).groupBy(F.col("whole").alias("ph"))
+        runs = runs.agg(F.collect_set(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("cuts"))
+        told = told.unionByName(hot.select("ph", "owner").join(runs, "ph", "left").select("ph", "owner", F.coalesce("cuts", F.array().cast("array<struct<lo: int, hi: int>>")).alias("cuts")))
+    told = written(told, "pfp-told")
+    forget(words, *([popular] if again else []))
+    n = (F.length("phrase") - length + 1).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), n.alias("hi")))
+    runs = parse.select("ph", "doc_id", place, "start", n.alias("n"), whole.alias("all")).join(told, "ph")
+    runs = runs.select("doc_id", place, "start", F.inline(F.when(F.col("doc_id") > F.col("owner"), F.col("all")).otherwise(F.col("cuts"))))
+    return runs.select("doc_id", place, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+
+
+def _cut(length: int, decoded: bool):
+    """The final rows: removed spans and the bytes that stay, or the text that stays."""
 
     def run(batches):
         for b in slices(batches, 256):
             n, spans, kept = [], [], []
-            for raw, foreign, runs in zip(_bytes(b.column("text").to_pylist()), b.column("foreign").to_pylist(), b.column("runs").to_pylist()):
+            for raw, foreign, runs in zip(_bytes(b.column("text")), b.column("foreign").to_pylist(), b.column("runs").to_pylist()):
                 n.append(len(raw))
                 if not foreign and not runs:
                     spans.append([]), kept.append(raw)
@@ -229,74 +351,77 @@ def _cut(length: int):
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2])))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            text = b.column("text")
             b = b.drop_columns(["text", "foreign", "runs"])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*b.schema.names, "n_bytes", "spans", "kept"])
+            if decoded:  # an untouched text stays as it is, null or empty
+                left = pa.array([x.decode("utf-8", "ignore") if s else None for x, s in zip(kept, spans)], pa.string())
+                left = pc.if_else(pa.array([bool(s) for s in spans], pa.bool_()), left, text)
+            else:
+                left = pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(spans, kind), left], names=[*b.schema.names, "n_bytes", "spans", "text" if decoded else "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, whole: bool = False) -> DataFrame:
-    """Rows (doc_id, n_bytes, spans, kept), one for each row of docs; with whole also the row itself, as the struct row.
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
-    spans are the maximal removed runs as byte offsets, kept is what stays. The text's 64-bit hash
-    tells rows of one doc_id apart. Strings are judged on the input, not on what is left.
-    length must be at least 48 bytes. Empty tables give empty results; other columns are not read.
-    """
+
+def _removed(d: DataFrame, length: int, decoded: bool) -> DataFrame:
+    """d, of columns doc_id, text and any others, with n_bytes, spans and kept (or text, if decoded) in place of text."""
     if length < 2 * GRAM:
         raise ValueError("length must be at least 48 bytes")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *([F.struct("*").alias("row")] if whole else []))
-    told = d.select("doc_id", "text", "th").where("doc_id IS NOT NULL AND length(text) > 0")
-    coarse = told.mapInArrow(_coarse(length), "key binary, doc_id long, th long, idx int")
+    takes_part = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length), F.lit(False))
+    texts = bucketed(d.where(takes_part).withColumn("th", F.xxhash64("text")).withColumn("bytes", F.octet_length("text").cast("long")), "pfp-texts", "doc_id")
+    told = texts.select("doc_id", "th", "text")
+    coarse = written(in_arrow(told, _coarse(length), "key binary, doc_id long, th long, idx int"), "pfp-coarse")
     owned = coarse.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("key", "owner")
-    foreign = coarse.join(owned, "key").where("doc_id > owner").groupBy("doc_id", "th").agg(F.collect_set("idx").alias("foreign"))
+    foreign = coarse.join(owned, "key").where("doc_id > owner").groupBy("doc_id").agg(F.collect_set(F.struct("th", "idx")).alias("f"))
     foreign = written(foreign, "pfp-foreign")
-    # a filter only, so rows of one doc_id may share their hashes
-    anchors = told.select("doc_id", "text").mapInArrow(_anchors(length), "v long, doc_id long")
-    shared = anchors.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
-    shared = written(shared, "pfp-repeated")
-    flags = anchors.join(shared, "v", "left_semi").groupBy("doc_id").agg(F.collect_set("v").alias("shared"))
+    forget(coarse)
+    its_own = lambda lists: F.filter(lists, lambda x: x["th"] == F.col("th"))
+    told = told.join(foreign, "doc_id", "left").withColumn("foreign", F.transform(its_own("f"), lambda x: x["idx"])).drop("f")
+    # a filter only, so rows of one doc_id may share their hashes, and two hashes a key
+    shards = 1 + (texts.agg(F.sum("bytes")).first()[0] or 0) // KEYS
+    met = written(in_arrow(told.select("doc_id", "text", "foreign"), _postings(length, shards), _MET), "pfp-keys")
+    flags = met.where("shard IS NOT NULL").select("shard", "docs", "prints", "places", "twice").groupBy("shard").applyInArrow(_shared, "doc_id long, key long")
+    flags = flags.unionByName(met.where("shard IS NULL").select("doc_id", "key")).groupBy("doc_id").agg(F.collect_set("key").alias("shared"))
     flags = written(flags, "pfp-shared")
-    # both lists meet first, so that texts are shuffled once
-    lists = flags.join(foreign.groupBy("doc_id").agg(F.collect_list(F.struct("th", "foreign")).alias("f")), "doc_id", "left")
-    own = F.try_element_at(F.filter("f", lambda x: x["th"] == F.col("th")), F.lit(1))["foreign"]
-    told = told.join(lists, "doc_id").withColumn("foreign", own).drop("f")
-    fine = written(told.mapInArrow(_fine(length), "v long, doc_id long, th long, start long, phrase binary"), "pfp-fine")
-    sizes = fine.groupBy("v").agg(F.count("*").alias("n"))
-    popular = written(sizes.where(f"n > {HOT}").select("v"), "pfp-popular")
-    shards = max(1, -(-fine.count() // SHARD))
-    cold = fine if popular.isEmpty() else fine.join(popular, "v", "left_anti")
-    cold = cold.groupBy(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard")).applyInArrow(_ordered(length), "doc_id long, th long, lo long, hi long")
-    hot = fine.join(popular, "v", "left_semi")
-    hot = hot.select("doc_id", "th", "start", "phrase", F.explode(F.expr(f"sequence(0, length(phrase) - {length})")).alias("i"))
-    hot = hot.select("doc_id", "th", (F.col("start") + F.col("i")).alias("lo"), F.expr(f"substring(phrase, i + 1, {length})").alias("string"))
-    first = hot.groupBy("string").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("string", "owner")
-    hot = hot.join(first, "string").where("doc_id > owner").select("doc_id", "th", "lo", (F.col("lo") + 1).alias("hi"))
-    runs = cold.unionByName(hot).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    forget(met)
+    parse = written(in_arrow(told.join(flags, "doc_id"), _fine(length, shards), _PARSE), "pfp-parse")
+    runs = _resolved(parse, "th", length).groupBy("doc_id").agg(F.collect_list(F.struct("th", "lo", "hi")).alias("r"))
     runs = written(runs, "pfp-runs")
-    out = d.join(runs, ["doc_id", "th"], "left").join(foreign, ["doc_id", "th"], "left")
-    release(docs.sparkSession)
-    out = out.select("doc_id", "text", "foreign", "runs", *(["row"] if whole else []))
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    kind = [f for f in out.schema.fields if f.name in ("doc_id", "row")]
-    kind += [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]
-    return out.mapInArrow(_cut(length), T.StructType(kind))
+    forget(parse, flags)
+    out = texts.join(foreign, "doc_id", "left").join(runs, "doc_id", "left")
+    out = out.withColumn("foreign", F.transform(its_own("f"), lambda x: x["idx"])).withColumn("runs", F.transform(its_own("r"), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))
+    out = out.select(*d.columns, "foreign", "runs")
+    idle = d.where(~takes_part).select(*d.columns, F.lit(None).cast("array<int>").alias("foreign"), F.lit(None).cast("array<struct<lo: bigint, hi: bigint>>").alias("runs"))
+    kind = [f for f in d.schema.fields if f.name != "text"]
+    kind += [T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("text", T.StringType()) if decoded else T.StructField("kept", T.BinaryType())]
+    return in_arrow(out.unionByName(idle), _cut(length, decoded), T.StructType(kind))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the kept text of each row in its place, and its length in n_chars where there is such a column.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (doc_id, n_bytes, spans, kept), one for each row of docs.
 
-    A character that a cut splits goes as a whole. Rows whose text is removed altogether are dropped.
+    spans are the maximal removed runs as byte offsets, kept is what stays. The text's 64-bit hash
+    tells rows of one doc_id apart. Strings are judged on the input, not on what is left.
+    length must be at least 48 bytes. Empty tables give empty results; other columns are not read.
     """
-    found = remove_repeats(docs, length=length, whole=True)
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(_decoded(F.col("kept")))
-    found = found.withColumn("text", text).where((F.size("spans") == 0) | (F.length("text") > 0))
-    put = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return found.select(*[put.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return _removed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), length, decoded=False)
+
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the kept text of each row in its place, and its length in n_chars where there is such a column.
 
-@F.pandas_udf(T.StringType())
-def _decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+    A character that a cut splits goes as a whole. Rows whose text is removed altogether are dropped; rows that had no text stay.
+    """
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    found = _removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("row")), length, decoded=True)
+    found = found.where((F.size("spans") == 0) | (F.length("text") > 0))
+    put = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(F.size("spans") == 0, F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[put[c].alias(c) if c in put else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
