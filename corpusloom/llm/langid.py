@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import in_arrow, slices, table
 
 #: The bound of the training sample: so many rows per language, those with the smallest hash of doc_id.
 SAMPLE = 250
@@ -31,10 +31,13 @@ ROUNDS = 4
 SMOOTH = 0.02
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
-#: Longer words are scored one by one, with rescaling.
-LONG = 32
+#: So many bytes of text per language at most enter it, unless the first text alone has more.
+SAMPLE_BYTES = 4 << 20
+#: Longer words are scored with rescaling, and those over WIDE letters one by one in logarithms, STRETCH letters at a time. Where the fit meets
+#: a word of more than STRETCH letters, it takes each stretch as a word.
+LONG, WIDE, STRETCH = 32, 512, 1 << 13
 #: Words whose scores a task keeps.
-CACHE = 400_000
+CACHE = 100_000
 MARK = "▁"
 UND = "und"
 
@@ -52,17 +55,19 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 @dataclass
-class Model:
-    """Languages, and a trie over an alphabet whose nodes carry each language's probability of the piece that ends there.
+class Trie:
+    """A trie over an alphabet as a double array: the edge of a node by a letter is in slot base[node] + letter, if that slot's owner is the node.
 
-    Node 0 is dead, node 1 the root; letter 0 is any character outside the alphabet.
+    Its size is that of the edges and the alphabet, not of their product. Node 0 is dead, node 1 the root; letter 0 is any character
+    outside the alphabet.
     """
 
-    langs: list[str]
     alphabet: np.ndarray
-    child: np.ndarray
-    prob: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
     depth: int
+    size: int
 
     def letters(self, text: str) -> np.ndarray:
         """Alphabet places of a text's characters."""
@@ -70,9 +75,23 @@ class Model:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == codes, at + 1, 0)
 
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The children of nodes by letters; letters under 1 have none."""
+        slot = self.base[node] + np.maximum(letter, 0)
+        return np.where((self.owner[slot] == node) & (letter > 0), self.target[slot], 0)
+
+
+@dataclass
+class Model:
+    """Languages, the trie of pieces, and each language's probability of the piece that ends at a node."""
+
+    langs: list[str]
+    trie: Trie
+    prob: np.ndarray
+
 
-def trie(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Alphabet, child table, node of each piece and longest piece."""
+def trie(pieces: list[str]) -> tuple[Trie, np.ndarray]:
+    """The trie of pieces and the node of each."""
     alphabet = np.array(sorted({ord(c) for p in pieces for c in p} or {ord(MARK)}), np.uint32)
     place = {chr(c): i + 1 for i, c in enumerate(alphabet)}
     nodes: list[dict[int, int]] = [{}, {}]
@@ -84,37 +103,62 @@ def trie(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
             if at == len(nodes):
                 nodes.append({})
         ends.append(at)
-    child = np.zeros((len(nodes), len(alphabet) + 1), np.int32)
-    for i, edges in enumerate(nodes):
-        for c, to in edges.items():
-            child[i, c] = to
-    return alphabet, child, np.array(ends, np.int64), max(map(len, pieces), default=1)
-
-
-def _classes(text: np.ndarray, n: np.ndarray):
+    # slots before the first are for letters that no edge has; nodes of many edges come first
+    wide, size = len(alphabet) + 1, 4 * (len(alphabet) + 1)
+    owner, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    base, free = np.full(len(nodes), wide, np.int64), 2 * wide
+    for i in sorted(range(1, len(nodes)), key=lambda i: -len(nodes[i])):
+        if not (edges := nodes[i]):
+            continue
+        letters = np.fromiter(edges, np.int64, len(edges))
+        at, span = None, 64
+        while at is None:
+            while free < len(owner) and owner[free]:
+                free += 1
+            while free + span + 2 * wide > len(owner):
+                owner, target = np.concatenate([owner, np.zeros_like(owner)]), np.concatenate([target, np.zeros_like(target)])
+            # the first base, of a span of them, where no edge meets another node's
+            bases = np.arange(span) + (free - letters.min())
+            fits = np.ones(span, bool)
+            for c in letters:
+                fits &= owner[bases + c] == 0
+            at, span = (int(bases[fits.argmax()]) if fits.any() else None), 4 * span
+        base[i] = at
+        owner[at + letters], target[at + letters] = i, np.fromiter(edges.values(), np.int64, len(edges))
+    used = int(base.max()) + wide
+    owner, target = owner[:used], target[:used]
+    table = Trie(alphabet, base, owner, target, max(map(len, pieces), default=1), len(nodes))
+    return table, np.array(ends, np.int64)
+
+
+_SHORT = ((1, 4), (5, 7), (8, 10), (11, 14), (15, 20), (21, LONG))
+_LONGER = ((LONG + 1, 64), (65, 128), (129, 256), (257, WIDE))
+
+
+def _classes(text: np.ndarray, n: np.ndarray, bounds=None):
     """Words by length class: their places and a matrix of letters, padded with -1. text holds the letters of all words, n their lengths."""
     begin = np.cumsum(n) - n
-    for lo, hi in ((1, 4), (5, 7), (8, 10), (11, 14), (15, 20), (21, LONG)):
+    for lo, hi in bounds or _SHORT:
         rows = np.flatnonzero((n >= lo) & (n <= hi))
-        for at in range(0, len(rows), 16384):
-            own = rows[at : at + 16384]
+        step = 16384 * LONG // max(hi, LONG)
+        for at in range(0, len(rows), step):
+            own = rows[at : at + step]
             spot = np.arange(n[own].max())
             inside = spot < n[own, None]
             yield own, np.where(inside, text[np.where(inside, begin[own, None] + spot, 0)], -1), n[own]
 
 
-def _edges(model: Model, m: np.ndarray, i: int):
+def _edges(trie: Trie, m: np.ndarray, i: int):
     """Yields (end, node) of the pieces that may begin at position i, for all words at once."""
     node = np.ones(len(m), np.int64)
-    for j in range(i, min(m.shape[1], i + model.depth)):
-        letter = m[:, j]
-        node = np.where(letter >= 0, model.child[node, letter], 0)
+    for j in range(i, min(m.shape[1], i + trie.depth)):
+        node = trie.step(node, m[:, j])
         if not node.any():
             break
         yield j + 1, node
 
 
-def _forward(model: Model, m: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def _forward(trie: Trie, m: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """alpha[position, word, language]."""
     alpha = np.zeros((m.shape[1] + 1, len(m), prob.shape[1]))
     alpha[0] = 1
@@ -122,31 +166,87 @@ def _forward(model: Model, m: np.ndarray, prob: np.ndarray) -> np.ndarray:
         bare = m[:, i] == 0
         if bare.any():
             alpha[i + 1, bare] += alpha[i, bare] * UNKNOWN
-        for end, node in _edges(model, m, i):
+        for end, node in _edges(trie, m, i):
             alpha[end] += alpha[i] * prob[node]
     return alpha
 
 
-def _long_word(model: Model, letters: np.ndarray) -> np.ndarray:
-    """Log probability of one long word, rescaled at every position."""
-    n, k = len(letters), model.prob.shape[1]
-    alpha = np.zeros((model.depth + 1, k))  # a ring of the next positions
-    alpha[0], log = 1, np.zeros(k)
-    for i in range(n):
-        here = alpha[i % len(alpha)].copy()
-        alpha[i % len(alpha)] = 0
-        scale = np.maximum(here, 1e-300)
-        log += np.log(scale)
-        alpha /= scale
-        node = 1
-        if letters[i] == 0:
-            alpha[(i + 1) % len(alpha)] += UNKNOWN
-        for j in range(i, min(n, i + model.depth)):
-            node = model.child[node, letters[j]]
-            if not node:
-                break
-            alpha[(j + 1) % len(alpha)] += model.prob[node]
-    return log + np.log(np.maximum(alpha[n % len(alpha)], 1e-300))
+def _scaled(trie: Trie, m: np.ndarray, n: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Log probability of each word, in each language, by the same sums rescaled at every eighth position."""
+    alpha, log = np.zeros((m.shape[1] + 1, len(m), prob.shape[1])), np.zeros((len(m), prob.shape[1]))
+    out = np.empty_like(log)
+    alpha[0] = 1
+    for i in range(m.shape[1] + 1):
+        if (done := n == i).any():
+            out[done] = log[done] + np.log(np.maximum(alpha[i, done], 1e-300))
+        if i == m.shape[1]:
+            break
+        if i % 8 == 0:
+            top = alpha[i : i + trie.depth].max(axis=0)
+            top[top == 0] = 1
+            alpha[i : i + trie.depth] /= top
+            log += np.log(top)
+        bare = m[:, i] == 0
+        if bare.any():
+            alpha[i + 1, bare] += alpha[i, bare] * UNKNOWN
+        for end, node in _edges(trie, m, i):
+            alpha[end] += alpha[i] * prob[node]
+    return out
+
+
+def _long_edges(trie: Trie, letters: np.ndarray, prob: np.ndarray):
+    """Nodes and log probabilities of the pieces of each length (row) that end at each position (1 to n) of a long word."""
+    n = len(letters)
+    depth = min(trie.depth, n)
+    nodes = np.zeros((depth, n + 1), np.int64)
+    node = np.ones(n, np.int64)
+    for d in range(depth):
+        node = trie.step(node[: n - d], letters[d:])
+        nodes[d, d + 1 :] = node
+    with np.errstate(divide="ignore"):
+        logs = np.log(prob[nodes])
+    logs[0, 1:][letters == 0] = np.log(UNKNOWN)
+    return nodes, logs
+
+
+def _long_counts(trie: Trie, letters: np.ndarray, prob: np.ndarray, weight: float, total: np.ndarray) -> None:
+    """Adds the expected piece counts of a long word, under one language's probabilities, to total."""
+    nodes, logs = _long_edges(trie, letters, prob)
+    n = len(letters)
+    there = _long_on(logs, np.zeros((1, 1)))[:, 0]
+    # the same sums from the end: a piece of length d + 1 that starts at i ends at i + d + 1
+    back = np.full_like(logs, -np.inf)
+    for d in range(len(logs)):
+        back[d, d + 1 :] = logs[d, d + 1 :][::-1]
+    left = _long_on(back, np.zeros((1, 1)))[::-1, 0]
+    for d in range(len(logs)):
+        with np.errstate(invalid="ignore"):
+            flow = np.exp(there[: n - d] + logs[d, d + 1 :, 0] + left[d + 1 :] - there[n])
+        total += np.bincount(nodes[d, d + 1 :], weight * np.nan_to_num(flow), len(total))
+
+
+def _long_score(model: Model, letters: np.ndarray) -> np.ndarray:
+    """Log probability of a long word in each language, piece of it by piece, so that memory stays bounded."""
+    depth, sums = model.trie.depth, np.zeros((1, len(model.langs)))
+    for at in range(0, len(letters), STRETCH):
+        # the pieces that end in this stretch, and the sums before it that they need
+        before = min(at, depth - 1)
+        _, logs = _long_edges(model.trie, letters[at - before : at + STRETCH], model.prob)
+        sums = _long_on(logs, sums[len(sums) - 1 - before :])
+    return sums[-1]
+
+
+def _long_on(logs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Forward sums of a stretch whose first ones are known."""
+    depth, n = logs.shape[0], logs.shape[1] - 1
+    sums = np.full((n + 1, logs.shape[2]), -np.inf)
+    sums[: len(known)] = known
+    for j in range(len(known), n + 1):
+        k = min(depth, j)
+        x = logs[:k, j] + sums[j - k : j][::-1]
+        top = np.maximum(x.max(axis=0), -1e300)
+        sums[j] = top + np.log(np.maximum(np.exp(x - top).sum(axis=0), 1e-300))
+    return sums
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
@@ -154,66 +254,72 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(model.langs)))
     if not words:
         return out
-    text = model.letters(MARK + MARK.join(words))
+    text = model.trie.letters(MARK + MARK.join(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     for own, m, n in _classes(text, sizes):
-        alpha = _forward(model, m, model.prob)
+        alpha = _forward(model.trie, m, model.prob)
         out[own] = np.log(np.maximum(alpha[n, np.arange(len(own))], 1e-300))
+    for own, m, n in _classes(text, sizes, _LONGER):
+        out[own] = _scaled(model.trie, m, n, model.prob)
     ends = np.cumsum(sizes)
-    for i in np.flatnonzero(sizes > LONG):
-        out[i] = _long_word(model, text[ends[i] - sizes[i] : ends[i]])
+    for i in np.flatnonzero(sizes > WIDE):
+        out[i] = _long_score(model, text[ends[i] - sizes[i] : ends[i]])
     return out
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str]) -> Model:
-    """Expectation maximisation of piece probabilities from word counts per language.
+    """Expectation maximisation of piece probabilities from word counts per language, long words included.
 
-    Words over LONG characters are left out of the fit. Pieces that no language uses are dropped from
-    the trie at the end; single characters always stay, so that every text has a segmentation.
+    Pieces that no language uses are dropped from the trie at the end; single characters always stay, so that every text has a segmentation.
     """
     langs = sorted(counts)
     seen = {c for words in counts.values() for w in words for c in w} | {MARK}
     pieces = sorted({p for p in pieces if set(p) <= seen} | seen)
-    alphabet, child, ends, depth = trie(pieces)
-    model = Model(langs, alphabet, child, np.zeros((len(child), 1)), depth)
+    table, ends = trie(pieces)
     used = np.zeros((len(pieces), len(langs)))
     for l, lang in enumerate(langs):
-        words = [w for w in counts[lang] if len(w) < LONG]
+        words = list(counts[lang])
         weight = np.array([counts[lang][w] for w in words], float)
-        text, sizes = model.letters("".join(MARK + w for w in words)), np.fromiter(map(len, words), np.int64, len(words)) + 1
-        prob = np.zeros((len(child), 1))
+        text, sizes = table.letters("".join(MARK + w for w in words)), np.fromiter(map(len, words), np.int64, len(words)) + 1
+        long, starts = np.flatnonzero(sizes > LONG), np.cumsum(sizes) - sizes
+        prob = np.zeros((table.size, 1))
         prob[ends, 0] = 1 / len(pieces)
         for _ in range(ROUNDS):
-            total = np.zeros(len(child))
+            total = np.zeros(table.size)
             for own, m, n in _classes(text, sizes):
-                alpha = _forward(model, m, prob)[:, :, 0]
+                alpha = _forward(table, m, prob)[:, :, 0]
                 z = np.maximum(alpha[n, np.arange(len(own))], 1e-300)
                 beta = np.zeros_like(alpha)
                 beta[n, np.arange(len(own))] = weight[own] / z
                 for i in range(m.shape[1] - 1, -1, -1):
-                    for end, node in _edges(model, m, i):
+                    for end, node in _edges(table, m, i):
                         flow = prob[node, 0] * beta[end]
-                        total += np.bincount(node, alpha[i] * flow, len(child))
+                        total += np.bincount(node, alpha[i] * flow, table.size)
                         beta[i] += flow
+            for i in long:
+                for at in range(0, sizes[i], STRETCH):
+                    _long_counts(table, text[starts[i] + at : starts[i] + min(at + STRETCH, sizes[i])], prob, weight[i], total)
             total[0] = 0
             prob[ends, 0] = (total[ends] + SMOOTH) / (total[ends].sum() + SMOOTH * len(pieces))
         used[:, l] = total[ends]
     keep = (used.max(axis=1, initial=0) > 0.01) | np.fromiter((len(p) == 1 for p in pieces), bool, len(pieces))
     kept = [p for p, k in zip(pieces, keep) if k]
-    alphabet, child, ends, depth = trie(kept)
-    prob = np.zeros((len(child), len(langs)))
+    table, ends = trie(kept)
+    prob = np.zeros((table.size, len(langs)))
     prob[ends] = (used[keep] + SMOOTH) / (used[keep].sum(axis=0) + SMOOTH * len(kept)) if langs else 0
-    return Model(langs, alphabet, child, prob, depth)
+    return Model(langs, table, prob)
 
 
 def training_counts(docs: DataFrame, learn: Column, per_lang: int = SAMPLE) -> dict[str, dict[str, int]]:
-    """Word counts per language of the sample: per_lang rows of each, whole texts. Repeated rows of a picked doc_id all count.
+    """Word counts per language of the sample: of the per_lang rows with the smallest hashes of doc_id, whole texts, those up to which
+    there are SAMPLE_BYTES of text, and the first in any case. Repeated rows of a picked doc_id all count.
 
     The ids are picked first and fetch the texts by a broadcast, which the bound keeps small, so no text is shuffled.
     """
     told = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = told.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes")
+    picked = told.select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    picked = picked.withColumn("all", F.sum("bytes").over(Window.partitionBy("lang").orderBy("n"))).where((F.col("all") <= SAMPLE_BYTES) | (F.col("n") == 1))
     sample = told.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+")).alias("w")).where("w <> ''")
     counts: dict[str, dict[str, int]] = {}
@@ -233,7 +339,9 @@ class _Places(dict):
         return n
 
 
-def _predict(shared):
+def _predict(shared, keep: float | None):
+    """Rows with lang_pred and score in place of text; with keep the rows, text and all, whose language has a score of at least that."""
+
     def run(batches):
         model = shared.value
         place = _Places()
@@ -260,6 +368,9 @@ def _predict(shared):
                 share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(letter):
                     langs[i], scores[i] = model.langs[top[i]], float(share[i])
+            if keep is not None:
+                yield b.filter(pa.array([l != UND and x >= keep for l, x in zip(langs, scores)], pa.bool_()))
+                continue
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(c for c in b.schema.names if c != "text"), "lang_pred", "score"])
 
     return run
@@ -269,12 +380,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _predicted(rows: DataFrame, docs: DataFrame, path: str | None, per_lang: int) -> DataFrame:
-    """rows, which have a column text, with lang_pred and score in its place; learned from docs."""
+def _predicted(rows: DataFrame, docs: DataFrame, path: str | None, per_lang: int, keep: float | None = None) -> DataFrame:
+    """rows, which have a column text, with lang_pred and score in its place, or those that keep lets pass; learned from docs."""
     model = fit(training_counts(docs, ~held_out(F.col("doc_id")), per_lang), vocabulary(path))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(shared), kind)
+    kind = kind if keep is None else rows.schema
+    return in_arrow(rows, _predict(shared, keep), kind)
 
 
 def identify(docs: DataFrame, path: str | None = None, per_lang: int = SAMPLE) -> DataFrame:
@@ -289,9 +401,9 @@ def identify(docs: DataFrame, path: str | None = None, per_lang: int = SAMPLE) -
 
 def keep_identified(docs: DataFrame, least: float = 0.5, path: str | None = None, per_lang: int = SAMPLE) -> DataFrame:
     """The rows of docs, all columns, whose text has a language with a share of at least least."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = _predicted(rows, docs.select("doc_id", "text", "lang"), path, per_lang)
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = _predicted(rows, docs.select("doc_id", "text", "lang"), path, per_lang, keep=least)
+    return found.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,24 +72,87 @@ def test_language_of_odd_rows(spark, documents, odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def _piece_probabilities(m, pieces):
+    out = {}
+    for p in pieces:
+        at = np.array([1])
+        for letter in m.trie.letters(p):
+            at = m.trie.step(at, np.array([letter]))
+        out[p] = m.prob[at[0], 0] if at[0] else 0.0
+    return out
+
+
 def test_forward_sums_all_segmentations():
+    from functools import cache
+
     pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"]
     m = langid.fit({"x": {"ab": 3, "ba": 1, "aab": 2}}, pieces)
-    prob = dict(zip(sorted({p for p in pieces}), [0] * 9))
-    alphabet, child, ends, _ = langid.trie(sorted(pieces))
-    for p in prob:
-        at = 1
-        for c in p:
-            at = m.child[at, int(np.searchsorted(m.alphabet, ord(c))) + 1] if at else 0
-        prob[p] = m.prob[at, 0] if at else 0.0
+    prob = _piece_probabilities(m, pieces)
 
+    @cache
     def total(s):
-        return 1.0 if not s else sum(prob.get(s[:i], 0.0) * total(s[i:]) for i in range(1, len(s) + 1))
-
-    words = ["ab", "abab", "b", "abba" * 6]
-    assert np.allclose(np.exp(langid.word_scores(m, words))[:, 0], [total("▁" + w) for w in words])
-    text = m.letters("▁" + "abba" * 6)
-    assert np.allclose(langid._long_word(m, text), langid.word_scores(m, ["abba" * 6])[0])
+        return 1.0 if not s else sum(prob.get(s[:i], 0.0) * total(s[i:]) for i in range(1, min(4, len(s)) + 1)) + (langid.UNKNOWN * total(s[1:]) if s[0] == "z" else 0)
+
+    words = ["ab", "abab", "b", "abba" * 6, "abba" * 9 + "z", "ba" * 40 + "a", "abz" * 33]
+    assert np.allclose(np.exp(langid.word_scores(m, words))[:, 0], [total("▁" + w) for w in words], rtol=1e-9, atol=0)
+    for w in ("abba" * 6, "ab" * 200, "ba" * 7000):  # the same in logarithms, and over stretches
+        assert np.allclose(langid._long_score(m, m.trie.letters("▁" + w)), langid.word_scores(m, [w])[0])
+    whole, stretched = m.trie.letters("▁" + "abab" * 40), langid.STRETCH
+    want = langid._long_score(m, whole)
+    try:
+        langid.STRETCH = 7
+        assert np.allclose(langid._long_score(m, whole), want)
+    finally:
+        langid.STRETCH = stretched
+
+
+def test_fit_equals_brute_force(monkeypatch):
+    pieces, words = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"], {"ab": 3, "ba": 1, "aab": 2, "abbabab": 4}
+
+    def cuts(s):
+        if not s:
+            yield ()
+        for p in pieces:
+            if s.startswith(p):
+                for rest in cuts(s[len(p) :]):
+                    yield (p, *rest)
+
+    prob = dict.fromkeys(pieces, 1 / len(pieces))
+    for _ in range(langid.ROUNDS):
+        used = dict.fromkeys(pieces, 0.0)
+        for w, n in words.items():
+            ways = [(c, np.prod([prob[p] for p in c])) for c in cuts("▁" + w)]
+            for c, x in ways:
+                for p in c:
+                    used[p] += n * x / sum(y for _, y in ways)
+        sums = sum(used.values()) + langid.SMOOTH * len(pieces)
+        prob = {p: (used[p] + langid.SMOOTH) / sums for p in pieces}
+    for long in (langid.LONG, 4):  # also with words that count as long
+        monkeypatch.setattr(langid, "LONG", long)
+        monkeypatch.setattr(langid, "_SHORT", ((1, long),))
+        got = _piece_probabilities(langid.fit({"x": words}, pieces), pieces)
+        assert np.allclose([got[p] for p in pieces], [prob[p] for p in pieces])
+
+
+def test_languages_of_one_script_without_spaces(spark):
+    rng = random.Random(4)
+    often = {"p": (6, 3, 2, 1), "q": (1, 2, 3, 6)}
+    rows = [(i, "".join(rng.choices("天地人水", often[l], k=rng.randint(40, 900))), l) for i, l in enumerate("pq" * 60)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(got) > 20
+    told = {i: l for i, _, l in rows}
+    assert sum(told[r.doc_id] == r.lang_pred for r in got) / len(got) > 0.9
+
+
+def test_trie_is_sparse():
+    pieces = [chr(0x4E00 + i) + chr(0x4E00 + i * 7 % 3000) for i in range(3000)] + [chr(0x4E00 + i) for i in range(3000)]
+    t, ends = langid.trie(pieces)
+    assert len(t.owner) < 5 * len(pieces)
+    node = np.ones(len(pieces), np.int64)
+    letters = [t.letters(p) for p in pieces]
+    for d in range(2):
+        node = np.where([len(x) > d for x in letters], t.step(node, np.array([x[d] if len(x) > d else 0 for x in letters])), node)
+    assert (node == ends).all() and len(set(ends.tolist())) == len(pieces)
 
 
 def test_chat_round_trip(spark):
