@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import slices, table
+from corpusloom.llm.common import in_arrow, slices, table
 
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -56,6 +56,14 @@ def pattern_rule(text: str, verdict: str, regex: str, tokens: tuple[str, ...]) -
 CONTRACT_RULES = [host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow")]
 
 
+#: Pages of no use to a corpus, by host and path. Host rules come before them, and the first of them that fits decides.
+PATTERN_RULES = [
+    pattern_rule("mobile mirror", "block", r"m\.[^/]+/.*", ("m",)),
+    pattern_rule("blog page as a file", "block", r"blog\.[^/]+/(?:.*/)?[0-9]+\.html$", ("blog", "html")),
+    *(pattern_rule(f"{word} page", "block", rf"[^/]+/(?:.*/)?{word}(?:[/.].*)?$", (word,)) for word in ("login", "signup", "cart", "search")),
+]
+
+
 class RuleIndex:
     """Rules by their rarest token. Its size is that of the rule list."""
 
@@ -111,19 +119,24 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     """
     p = pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url")
     kind = dict(p.dtypes)["page_id"]
-    return p.mapInArrow(_judged(RuleIndex(rules)), f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
+    return in_arrow(p, _judged(RuleIndex(rules)), f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
 
 
 def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages"), CONTRACT_RULES + PATTERN_RULES)
 
 
+_WORDS = " ".join(f"WHEN regexp_matches(host || path, '^[^/]+/(.*/)?{w}([/.].*)?$', 's') THEN '{w} page'" for w in ("login", "signup", "cart", "search"))
 ORACLE = rf"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
 u AS (SELECT page_id, translate(raw, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 r(rule, verdict, rhost, rpath) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 f AS (SELECT u.page_id, u.host, u.path, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS n
-  FROM u LEFT JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1
+  FROM u LEFT JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath)),
+g AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
+    WHEN regexp_matches(host || path, '^m\.[^/]+/') THEN 'mobile mirror'
+    WHEN regexp_matches(host || path, '^blog\.[^/]+/(.*/)?[0-9]+\.html$', 's') THEN 'blog page as a file'
+    {_WORDS} END AS pattern FROM f WHERE n = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern FROM g
 """
