@@ -2,7 +2,8 @@
 
 Documents of equal text form a group that must stay together; groups sorted by size go, largest first, to
 the least-loaded shard. That rule sees only sizes: so the driver schedules the histogram of group sizes, not
-the groups. The distinct sizes are few, at most about the square root of twice the corpus's bytes, and a run of
+the groups. The distinct sizes are at most about the square root of twice the corpus's bytes; they reach the driver one by one in
+their order and leave it as a table, PLANNED rows at a time, so it holds the loads and no histogram. A run of
 equal sizes is dealt by one computation on the heap's loads, which gives each shard as many groups as the
 heap would have. Groups then take their shard from their rank within their size, and ranks and
 slots are built from counts per cell, so no task ever numbers more than a cell.
@@ -13,6 +14,7 @@ A null text is empty. Repeated rows are separate rows of one group. An empty tab
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.llm.common import table
-from corpusloom.plans.materialize import written
+from corpusloom.plans.materialize import fresh_path, written
 
 SHARDS = 16
 #: Rows that one task numbers at most, about.
 CELL = 50_000
+#: Sizes whose shares the driver writes at once.
+PLANNED = 100_000
 
 
 def deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -66,6 +70,22 @@ def numbered(df: DataFrame, by: list[str], order: list[str], cells: int, name: s
     return df.withColumn("within", within).join(offsets, [*by, "cell"]).withColumn(name, F.col("before") + F.col("within")).drop("cell", "within", "before")
 
 
+def planned(sizes: DataFrame, shards: int) -> DataFrame:
+    """Rows (gsize, ends) of the histogram (gsize, n): of the groups of a size, those of rank under ends[i], and not under ends[i - 1], go to shard i."""
+    spark, path = sizes.sparkSession, fresh_path(sizes.sparkSession, "lpt-plan")
+    kind = T.StructType([T.StructField("gsize", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    loads, plan = [0] * shards, []
+    spark.createDataFrame(plan, kind).write.parquet(path)
+    for row in sizes.orderBy(F.desc("gsize")).toLocalIterator():
+        plan.append((row["gsize"], list(accumulate(deal(loads, row["gsize"], row["n"])))))
+        if len(plan) == PLANNED:
+            spark.createDataFrame(plan, kind).write.mode("append").parquet(path)
+            plan = []
+    if plan:
+        spark.createDataFrame(plan, kind).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each row of docs; law is always `bytes`.
 
@@ -77,19 +97,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     key = ["h", "text_crc32", "size"]
     groups = d.groupBy(*key).agg((F.count("*") * F.col("size")).alias("gsize"))
     groups = written(groups, "lpt-groups")
-    sizes = groups.groupBy("gsize").agg(F.count("*").alias("n")).collect()
-    loads, plan = [0] * shards, []
-    for row in sorted(sizes, reverse=True):
-        got = deal(loads, row["gsize"], row["n"])
-        ends = [sum(got[: i + 1]) for i in range(shards)]
-        plan.append((row["gsize"], ends))
-    kind = T.StructType([T.StructField("gsize", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, kind)
-    most = max((r["n"] for r in sizes), default=0)
+    sizes = written(groups.groupBy("gsize").agg(F.count("*").alias("n")).orderBy(F.desc("gsize")), "lpt-sizes")
+    plan = planned(sizes, shards)
+    most, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    most, rows = most or 0, rows or 0
     ranked = numbered(groups, ["gsize"], key[:2], max(1, -(-most // CELL)), "rank")
     placed = ranked.join(plan, "gsize").select(*key, F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
-    rows = sum(r["n"] for r in sizes)
     out = written(d.join(placed, key), "lpt-placed")
     rows = max(rows, out.count())
     out = numbered(out, ["shard"], ["doc_id", "h"], max(1, -(-rows // (CELL * shards))), "slot")
