@@ -14,6 +14,9 @@ A frame holds 2,048 payload bytes, so a shot has that many at least, or what the
 
 Null text is an empty payload of 64 zero bytes; payloads are padded with zero bytes to a multiple of 64.
 Every row is handled by itself, so equal texts give equal values and repeated rows are repeated.
+
+to_media makes the media column and read_media reads one, by the stored bytes alone; between the two stands a table, or, as in the query, whose
+disk is bounded below the files' size, a column that goes from one Python stage to the next.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import in_arrow, slices, table
 
@@ -325,50 +329,54 @@ def decode_video(raw: bytes) -> tuple[bytes, list[tuple[int, int]], float, np.nd
     return payload if blocks is None else payload[: BLOCK * blocks], shots(histograms), rate, histograms
 
 
-def _stored(with_media: bool):
-    clip = pa.struct([("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
-
-    def run(batches):
-        for b in slices(batches, 64):
-            n, payloads, sizes, hashes, tails, clips, media = [], [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                file = write_avi(padded(raw))
-                payload, found, rate, _ = decode_video(file)
-                n.append(len(raw))
-                payloads.append((len(payload), hashlib.sha256(payload).hexdigest()))
-                tails.append(zlib.crc32(payload[-BLOCK:]))
-                sizes.append(len(file))
-                hashes.append(hashlib.sha256(file).hexdigest())
-                clips.append([{"first_frame": s, "end_frame": e, "start_s": s / rate, "end_s": e / rate} for s, e in found])
-                media.append(file if with_media else None)
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, long), pa.array([p for p, _ in payloads], long), pa.array([h for _, h in payloads]), pa.array(tails, long),
-                 pa.array(sizes, long), pa.array(hashes), pa.array(clips, pa.list_(clip)), pa.array(media, pa.binary())],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips", "media"],
-            )
-
-    return run
-
-
-def to_media(docs: DataFrame, with_media: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, clips, media), one for each row of docs.
-
-    Payload figures and clips are those read back from the stored file; media is the file itself if asked for.
-    """
+def _encoded(batches):
+    for b in slices(batches, 64):
+        raws = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, raws), pa.int64()), pa.array([write_avi(padded(x)) for x in raws], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+_CLIP = pa.struct([("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def _described(batches):
+    for b in slices(batches, 64):
+        sizes, hashes, tails, lengths, names, clips = [], [], [], [], [], []
+        for file in b.column("media").to_pylist():
+            if file is None:
+                for column in (sizes, hashes, tails, lengths, names, clips):
+                    column.append(None)
+                continue
+            payload, found, rate, _ = decode_video(file)
+            sizes.append(len(payload)), hashes.append(hashlib.sha256(payload).hexdigest()), tails.append(zlib.crc32(payload[-BLOCK:]))
+            lengths.append(len(file)), names.append(hashlib.sha256(file).hexdigest())
+            clips.append([{"first_frame": s, "end_frame": e, "start_s": s / rate, "end_s": e / rate} for s, e in found])
+        rest = b.drop_columns(["media"])
+        long = pa.int64()
+        columns = [pa.array(sizes, long), pa.array(hashes, pa.string()), pa.array(tails, long), pa.array(lengths, long), pa.array(names, pa.string()), pa.array(clips, pa.list_(_CLIP))]
+        yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"])
+
+
+def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, n_bytes, media), one for each row of docs: the media column, to be written where it is kept, or read at once."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    clip = "array<struct<first_frame:long,end_frame:long,start_s:double,end_s:double>>"
-    kind = f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {clip}, media binary"
-    return in_arrow(d, _stored(with_media), kind)
+    return in_arrow(d, _encoded, f"doc_id {dict(d.dtypes)['doc_id']}, n_bytes long, media binary")
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """media, a table with a column media of stored files, with what these hold in that column's place: payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256 and clips. A null file has nulls; a damaged one raises MediaError."""
+    rest = T.StructType([f for f in media.schema.fields if f.name != "media"])
+    clip = T.StructType([T.StructField("first_frame", T.LongType()), T.StructField("end_frame", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
+    kinds = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "clips": T.ArrayType(clip)}
+    return in_arrow(media, _described, T.StructType([*rest.fields, *(T.StructField(n, k) for n, k in kinds.items())]))
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """Timed clip rows (doc_id, clip, first_frame, end_frame, start_s, end_s) of to_media's output."""
+    """Timed clip rows (doc_id, clip, first_frame, end_frame, start_s, end_s) of read_media's output."""
     return media.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.*")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = to_media(table(spark, sf_dir, "documents"))
+    out = read_media(to_media(table(spark, sf_dir, "documents")))
     feature = F.concat(F.lit("clips="), F.concat_ws(",", F.transform("clips", lambda c: F.concat(c["first_frame"].cast("string"), F.lit("-"), c["end_frame"].cast("string")))))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -260,7 +260,7 @@ def test_media_round_trip(spark, documents, odd):
         texts = {}
         for r in d.collect():
             texts.setdefault(r.doc_id, set()).add(hashlib.sha256(media.padded((r.text or "").encode())).hexdigest())
-        for r in media.to_media(d).collect():
+        for r in media.read_media(media.to_media(d)).collect():
             assert r.payload_sha256 in texts[r.doc_id] and r.payload_bytes % 64 == 0
 
 
