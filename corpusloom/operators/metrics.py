@@ -69,23 +69,6 @@ def pair_redundancy(ranking: DataFrame, spans: DataFrame, k: int = 3) -> DataFra
     return out.select("question_id", "pairs", rate("d").alias("duplicate_rate"), rate("o").alias("overlap_rate"), rate("p").alias("parent_rate"), (F.col("distinct") / F.col("n")).alias("diversity"))
 
 
-def failure_class(per: Column | None = None, **c: Column) -> Column:
-    """The primary class of a question at depth 10 from its signals, first that holds; set_metrics has the eight classes at depth 3."""
-    return (
-        F.when(c["relevant"] == 0, "UNEVALUABLE").when(c["first"].isNull(), "DISCOVERY_MISS").when(c["first"] > 10, "RANKING_MISS")
-        .when(c["hits"] < c["relevant"], "INCOMPLETE_SET").when(c["first"] > 1, "POOR_TOP_RANK").otherwise("SUCCESS")
-    )
-
-
-def failure_taxonomy(ranking: DataFrame, labels: DataFrame, questions: DataFrame) -> DataFrame:
-    """Rows (question_id, class)."""
-    lab = labels.where(F.col("grade") > 0).select("question_id", "chunk_id").distinct()
-    counts = lab.groupBy("question_id").agg(F.count("*").alias("relevant"))
-    hits = ranking.join(lab, ["question_id", "chunk_id"]).groupBy("question_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 10).alias("hits"))
-    q = questions.select("question_id").distinct().join(counts, "question_id", "left").join(hits, "question_id", "left").fillna(0, ["relevant", "hits"])
-    return q.select("question_id", failure_class(relevant=F.col("relevant"), first=F.col("first"), hits=F.col("hits")).alias("class"))
-
-
 #: Per-question columns that are correlated with answer scores.
 SET_METRICS = [
     "precision_at_1", "precision_at_3", "set_recall_at_3", "ndcg_at_10", "required_coverage_at_1", "required_coverage_at_3", "duplicate_rate", "overlap_rate", "parent_rate", "diversity",

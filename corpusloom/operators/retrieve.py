@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.plans.materialize import bucketed
 
 K1, B, SCALE = 1.2, 0.75, 6
 #: Query terms or vectors up to which the query side is broadcast; more are joined by a shuffle, or searched in blocks.
@@ -25,20 +26,30 @@ def ranked(scores: DataFrame, k: int, by: str = "question_id", score: str = "sco
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Rows (term, chunk_id, tf, dl) of chunks (chunk_id, text); of the terms in vocabulary (term) only, if given.
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """The index table (chunk_id, dl, t) of chunks (chunk_id, text): each chunk's terms in order, written once and bucketed by chunk.
 
-    A chunk's tokens stay in its task, so the partial aggregation has most of the work and the shuffle few rows.
+    All that a ranking needs of the corpus is read from it: statistics from dl, document frequencies from t, and scores, which are
+    summed per question and chunk without a shuffle, as a chunk's terms are in one bucket.
     """
-    tokens = chunks.select("chunk_id", tx.terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return bucketed(chunks.select("chunk_id", tx.terms(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "index", "chunk_id")
+
+
+def _indexed(chunks: DataFrame) -> DataFrame:
+    return chunks if {"t", "dl"} <= set(chunks.columns) else tokenised(chunks)
+
+
+def postings(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Rows (term, chunk_id, tf, dl) of an index; of the terms in vocabulary (term) only, if given."""
+    tokens = index.select("chunk_id", "dl", F.explode("t").alias("term"))
     if vocabulary is not None:
         tokens = tokens.join(vocabulary, "term", "left_semi")
     return tokens.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row (n, avgdl)."""
-    return chunks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tx.terms(F.col("text")))).alias("avgdl"))
+    return index.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -46,20 +57,26 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(tx.terms(F.col("question")))).alias("term"))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """table, with the hint to broadcast it where it has few rows of short values."""
+    return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
+
+
 def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Rows (question_id, chunk_id, score) with a score over 0; unique query terms, idf = log1p((n - df + .5) / (df + .5))."""
-    asked = query_terms(questions)
-    vocabulary = asked.select("term").distinct()
-    if vocabulary.count() <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    post = postings(chunks, vocabulary)
-    stats = corpus_stats(chunks).first()
+    """Rows (question_id, chunk_id, score) with a score over 0; unique query terms, idf = log1p((n - df + .5) / (df + .5)).
+
+    chunks is an index, or (chunk_id, text), which is tokenised then.
+    """
+    index, asked = _indexed(chunks), query_terms(questions)
+    vocabulary = _small(asked.select("term").distinct())
+    stats = corpus_stats(index).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    df = index.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    hits = asked.join(df.select("term", idf.alias("idf")), "term").join(post, "term")
-    return hits.groupBy("question_id", "chunk_id").agg(F.sum(weight).alias("score")).where("score > 0")
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    weighted = _small(asked.join(df.select("term", idf.alias("idf")), "term"))
+    hits = postings(index, vocabulary).withColumn("weight", weight).join(weighted, "term")
+    return hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).where("score > 0")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 12) -> DataFrame:
@@ -68,13 +85,12 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 12) -> DataFrame:
 
 
 def lexical(chunks: DataFrame, questions: DataFrame, k: int = 50) -> DataFrame:
-    """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores."""
+    """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores. chunks as for bm25_scores."""
     asked = query_terms(questions)
-    sets = chunks.select("chunk_id", F.array_distinct(tx.terms(F.col("text"))).alias("t"))
-    vocabulary = asked.select("term").distinct()
-    post = sets.select("chunk_id", F.size("t").alias("nc"), F.explode("t").alias("term")).join(F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary, "term", "left_semi")
-    nq = asked.groupBy("question_id").agg(F.count("*").alias("nq"))
-    hits = asked.join(post, "term").groupBy("question_id", "chunk_id", "nc").agg(F.count("*").alias("both")).join(nq, "question_id")
+    sets = _indexed(chunks).select("chunk_id", F.array_distinct("t").alias("t"))
+    weighted = _small(asked.join(asked.groupBy("question_id").agg(F.count("*").alias("nq")), "question_id"))
+    hits = sets.select("chunk_id", F.size("t").alias("nc"), F.explode("t").alias("term")).join(weighted, "term")
+    hits = hits.groupBy("question_id", "chunk_id", "nc", "nq").agg(F.count("*").alias("both"))
     return ranked(hits.withColumn("score", F.col("both") / (F.col("nc") + F.col("nq") - F.col("both"))), k).select("question_id", "rank", "chunk_id", "score")
 
 

@@ -29,12 +29,18 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
 
 
-def sparse(spark, d, k=DEPTH):
-    return written(retrieve.bm25(chunks(spark, d), questions(spark, d), k), "bm25")
+def sparse(spark, d, k=DEPTH, index=None):
+    return written(retrieve.bm25(index or chunks(spark, d), questions(spark, d), k), "bm25")
 
 
-def second(spark, d, k=DEPTH):
-    return written(retrieve.lexical(chunks(spark, d), questions(spark, d), k), "lexical")
+def second(spark, d, k=DEPTH, index=None):
+    return written(retrieve.lexical(index or chunks(spark, d), questions(spark, d), k), "lexical")
+
+
+def rankings(spark, d):
+    """Both rankings over one index."""
+    index = retrieve.tokenised(chunks(spark, d))
+    return sparse(spark, d, index=index), second(spark, d, index=index)
 
 
 def labels(spark, d):
@@ -66,12 +72,17 @@ def cosine_topk(spark, d):
 
 
 def vector_audit(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    return retrieve.audit_vectors(retrieve.normalized_vectors(e), e.select("chunk_id"))
+    """The vectors as a store would hold them after a bad run: a seventh is missing, an eleventh twice, others not normalised, zero or not finite."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    store = retrieve.normalized_vectors(e).where("vec_id % 7 <> 0")
+    spoiled = F.when(F.col("vec_id") % 13 == 0, F.transform("embedding", lambda x: x * 2)).when(F.col("vec_id") % 17 == 0, F.transform("embedding", lambda x: x * 0))
+    spoiled = spoiled.when(F.col("vec_id") % 19 == 0, F.transform("embedding", lambda x: x + float("inf"))).otherwise(F.col("embedding"))
+    store = store.withColumn("embedding", spoiled)
+    return retrieve.audit_vectors(store.unionByName(store.where("vec_id % 11 = 0")).select("chunk_id", "embedding"), e.select("chunk_id"))
 
 
 def rrf_fusion(spark, d):
-    return r6(fuse.reciprocal_rank_fusion([sparse(spark, d), second(spark, d)]), "score", digits=9)
+    return r6(fuse.reciprocal_rank_fusion([*rankings(spark, d)]), "score", digits=9)
 
 
 def union_rank(spark, d):
@@ -79,11 +90,11 @@ def union_rank(spark, d):
 
 
 def sparse_dense_diagnosis(spark, d):
-    return fuse.diagnose(sparse(spark, d), second(spark, d), labels(spark, d))
+    return fuse.diagnose(*rankings(spark, d), labels(spark, d))
 
 
 def union_coverage(spark, d):
-    return r6(fuse.union_coverage([sparse(spark, d), second(spark, d)], labels(spark, d)), "recall", "set_recall", "assignment_recall", "mean_pool")
+    return r6(fuse.union_coverage([*rankings(spark, d)], labels(spark, d)), "recall", "set_recall", "assignment_recall", "mean_pool")
 
 
 def ranking_parity(spark, d):
@@ -111,7 +122,7 @@ def pair_redundancy(spark, d):
 
 
 def failure_class(spark, d):
-    return metrics.failure_taxonomy(sparse(spark, d), labels(spark, d), questions(spark, d))
+    return set_metrics(spark, d).select("question_id", "class")
 
 
 def failure_counts(spark, d):
@@ -130,7 +141,7 @@ def set_metrics(spark, d):
 
 
 def set_failure_counts(spark, d):
-    return set_metrics(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+    return failure_counts(spark, d)
 
 
 def set_report(spark, d):
@@ -152,7 +163,7 @@ def failure_overlaps(spark, d):
 
 def arm_comparison(spark, d):
     lab = labels(spark, d)
-    return r6(metrics.compare_arms(metrics.discovery_arm(sparse(spark, d), lab), metrics.discovery_arm(second(spark, d), lab)), "delta_hit_10", "delta_hit_50", "delta_mrr")
+    return r6(metrics.compare_arms(*(metrics.discovery_arm(r, lab) for r in rankings(spark, d))), "delta_hit_10", "delta_hit_50", "delta_mrr")
 
 
 def discovery_arm(spark, d):
@@ -161,7 +172,7 @@ def discovery_arm(spark, d):
 
 def win_tie_loss(spark, d):
     lab = labels(spark, d)
-    a, b = (metrics.discovery_arm(r, lab).select("question_id", F.col("rr").alias(n)) for r, n in ((sparse(spark, d), "base"), (second(spark, d), "new")))
+    a, b = (metrics.discovery_arm(r, lab).select("question_id", F.col("rr").alias(n)) for r, n in zip(rankings(spark, d), ("base", "new")))
     return r6(metrics.win_tie_loss(a.join(b, "question_id"), "base", "new"), "mean_delta")
 
 
@@ -169,12 +180,12 @@ def bootstrap_ci(spark, d):
     from corpusloom.operators.rouge import bootstrap
 
     lab = labels(spark, d)
-    a, b = (metrics.discovery_arm(r, lab).select(F.col("question_id").alias("id"), F.col("rr").alias(n)) for r, n in ((sparse(spark, d), "base"), (second(spark, d), "new")))
+    a, b = (metrics.discovery_arm(r, lab).select(F.col("question_id").alias("id"), F.col("rr").alias(n)) for r, n in zip(rankings(spark, d), ("base", "new")))
     return bootstrap(a.join(b, "id"), "paired")
 
 
 def ltr_features(spark, d):
-    return r6(fuse.ltr_features(sparse(spark, d), second(spark, d), questions(spark, d), chunks(spark, d), labels(spark, d)), "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
+    return r6(fuse.ltr_features(*rankings(spark, d), questions(spark, d), chunks(spark, d), labels(spark, d)), "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
 
 
 def fusion_features(spark, d):
@@ -182,7 +193,8 @@ def fusion_features(spark, d):
     passages = queries_corpus._passages(spark, d)
     c = written(corpus.chunked(passages).select("chunk_id", "context_id", "path", F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), F.col("retrieval_text").alias("text")), "fusion-chunks")
     q = questions(spark, d)
-    s, l = written(retrieve.bm25(c, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(c, q, DEPTH), "fusion-lexical")
+    index = retrieve.tokenised(c.select("chunk_id", "text"))
+    s, l = written(retrieve.bm25(index, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(index, q, DEPTH), "fusion-lexical")
     found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
     exact = queries_corpus._resolved(q, passages, c.withColumn("hierarchy_path", F.col("path")))
     out = fuse.fusion_features(s, l, q, c, found.withColumnRenamed("needle_id", "question_id"), exact, queries_corpus._aliases(passages), queries_corpus._laws(passages))
@@ -282,6 +294,11 @@ _CAL = """, mk AS (SELECT question_id, round(CASE WHEN first_value(score) OVER w
     cal AS (SELECT th.ratio AS threshold, CAST(coalesce(sum(p), 0) AS BIGINT) AS tp, count(p) AS selected, any_value(positives) AS positives FROM th LEFT JOIN mk ON mk.ratio >= th.ratio CROSS JOIN tot GROUP BY th.ratio),
     calr AS (SELECT round(threshold, 6) AS threshold, tp, selected, round(coalesce(tp / nullif(selected, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(positives, 0), 0.0), 6) AS recall, round(CASE WHEN selected + positives > 0 THEN 2 * tp / (selected + positives) ELSE 0.0 END, 6) AS f1 FROM cal)"""
 
+# labels cover every document, so a relevant one that is not ranked was not discovered; with that, no question is left to the later classes
+_CLASS = """, m3 AS (SELECT question_id, count(*) AS ranked, count(*) FILTER (rank <= 3) AS h3 FROM bm JOIN lab USING (question_id, chunk_id) GROUP BY 1),
+    fc AS (SELECT q.question_id, CASE WHEN coalesce(relevant, 0) = 0 THEN 'UNRESOLVED_LABEL_OR_GOLD' WHEN coalesce(ranked, 0) < relevant THEN 'DISCOVERY_MISS' WHEN h3 = 0 THEN 'RANKING_MISS'
+      WHEN h3 < relevant THEN 'SET_COVERAGE_MISS' ELSE 'NO_FAILURE' END AS class FROM q LEFT JOIN pos USING (question_id) LEFT JOIN m3 USING (question_id))"""
+
 ORACLES = {
     "bm25_topk": _BASE + "SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM bm WHERE rank <= 12",
     "legal_sparse": _BASE + f""", sh AS (SELECT bm.question_id, bm.chunk_id, 0.75 * score / max(score) OVER (PARTITION BY bm.question_id) + 0.25 * len(list_intersect(list_distinct(qtoks), {_TOK.format("source || ' ' || lang")})) / len(list_distinct(qtoks)) AS score FROM bm JOIN q USING (question_id) JOIN c USING (chunk_id))
@@ -290,7 +307,10 @@ ORACLES = {
     "cosine_topk": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
       s AS (SELECT CAST(a.vec_id AS VARCHAR) AS question_id, CAST(b.vec_id AS VARCHAR) AS chunk_id, list_cosine_similarity(a.v, b.v) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
       SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
-    "vector_audit": "SELECT count(*) AS rows, count(*) - count(DISTINCT vec_id) AS duplicate_ids, CAST(0 AS BIGINT) AS non_finite, CAST(0 AS BIGINT) AS zero, CAST(0 AS BIGINT) AS non_unit, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM embeddings",
+    "vector_audit": """WITH e AS (SELECT vec_id, 1 + CAST(vec_id % 11 = 0 AS INT) AS times FROM embeddings WHERE vec_id % 7 <> 0),
+      k AS (SELECT *, vec_id % 13 = 0 AS longer, vec_id % 13 <> 0 AND vec_id % 17 = 0 AS none, vec_id % 13 <> 0 AND vec_id % 17 <> 0 AND vec_id % 19 = 0 AS wild FROM e)
+      SELECT CAST(sum(times) AS BIGINT) AS rows, CAST(sum(times) - count(*) AS BIGINT) AS duplicate_ids, CAST(sum(times) FILTER (wild) AS BIGINT) AS non_finite, CAST(sum(times) FILTER (none) AS BIGINT) AS zero,
+        CAST(sum(times) FILTER (longer OR none OR wild) AS BIGINT) AS non_unit, (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0) AS missing, CAST(0 AS BIGINT) AS extra FROM k""",
     "rrf_fusion": _BASE + ", f AS (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT question_id, chunk_id, rank FROM bm UNION ALL SELECT question_id, chunk_id, rank FROM lx) GROUP BY ALL) SELECT question_id, rank, chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f) WHERE rank <= 50",
     "union_rank": _BASE + ", u AS (SELECT question_id, chunk_id, bool_or(exact) AS exact, max(score) AS score FROM (SELECT question_id, chunk_id, true AS exact, NULL AS score FROM lab UNION ALL SELECT question_id, chunk_id, false, score FROM bm) GROUP BY ALL) SELECT question_id, rank, chunk_id, exact, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY exact DESC, round(score, 6) DESC NULLS LAST, chunk_id) AS rank FROM u) WHERE rank <= 12",
     "sparse_dense_diagnosis": _BASE + "SELECT b.question_id, b.first AS sparse_rank, l.first AS dense_rank, CASE WHEN b.first IS NOT NULL AND l.first IS NOT NULL THEN 'BOTH' WHEN b.first IS NOT NULL THEN 'SPARSE_ONLY' WHEN l.first IS NOT NULL THEN 'DENSE_ONLY' ELSE 'NEITHER' END AS outcome, l.first - b.first AS rank_delta FROM arm b JOIN arm l USING (question_id) WHERE b.arm = 'bm' AND l.arm = 'lx'",
@@ -311,8 +331,9 @@ ORACLES = {
     "arm_comparison": _BASE + """, v AS (SELECT b.question_id, CAST(b.n10 > 0 AS DOUBLE) AS b10, CAST(b.n50 > 0 AS DOUBLE) AS b50, CAST(coalesce(1.0 / b.first, 0.0) AS DOUBLE) AS br, CAST(l.n10 > 0 AS DOUBLE) AS l10, CAST(l.n50 > 0 AS DOUBLE) AS l50, CAST(coalesce(1.0 / l.first, 0.0) AS DOUBLE) AS lr FROM arm b JOIN arm l USING (question_id) WHERE b.arm = 'bm' AND l.arm = 'lx')
       SELECT count(*) AS questions, round(avg(l10) - avg(b10), 6) AS delta_hit_10, round(avg(l50) - avg(b50), 6) AS delta_hit_50, round(avg(lr) - avg(br), 6) AS delta_mrr, count(*) FILTER (l50 > 0 AND b50 = 0) AS novel, count(*) FILTER (l50 = 0 AND b50 > 0) AS lost, avg(l10) >= avg(b10) AND avg(l50) >= avg(b50) AND avg(lr) >= avg(br) AS non_regressing FROM v""",
     "win_tie_loss": _BASE + ", v AS (SELECT CAST(coalesce(1.0 / l.first, 0.0) AS DOUBLE) - CAST(coalesce(1.0 / b.first, 0.0) AS DOUBLE) AS d FROM arm b JOIN arm l USING (question_id) WHERE b.arm = 'bm' AND l.arm = 'lx') SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, round(avg(d), 6) AS mean_delta FROM v",
-    "failure_class": _BASE + "SELECT q.question_id, CASE WHEN coalesce(relevant, 0) = 0 THEN 'UNEVALUABLE' WHEN first IS NULL THEN 'DISCOVERY_MISS' WHEN first > 10 THEN 'RANKING_MISS' WHEN h10 < relevant THEN 'INCOMPLETE_SET' WHEN first > 1 THEN 'POOR_TOP_RANK' ELSE 'SUCCESS' END AS class FROM q LEFT JOIN pos USING (question_id) LEFT JOIN hit USING (question_id)",
-    "failure_counts": _BASE + "SELECT CASE WHEN coalesce(relevant, 0) = 0 THEN 'UNEVALUABLE' WHEN first IS NULL THEN 'DISCOVERY_MISS' WHEN first > 10 THEN 'RANKING_MISS' WHEN h10 < relevant THEN 'INCOMPLETE_SET' WHEN first > 1 THEN 'POOR_TOP_RANK' ELSE 'SUCCESS' END AS class, count(*) AS n FROM q LEFT JOIN pos USING (question_id) LEFT JOIN hit USING (question_id) GROUP BY 1",
+    "failure_class": _BASE + _CLASS + " SELECT question_id, class FROM fc",
+    "failure_counts": _BASE + _CLASS + " SELECT class, count(*) AS n FROM fc GROUP BY class",
+    "set_failure_counts": _BASE + _CLASS + " SELECT class, count(*) AS n FROM fc GROUP BY class",
     "pearson_metrics": _BASE + r""", w AS (SELECT per.*, CAST(len(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')) AS DOUBLE) AS words FROM per JOIN q USING (question_id)),
       l AS (SELECT 'words' AS x, 'mrr_at_10' AS y, CAST(words AS DOUBLE) AS a, CAST(mrr_at_10 AS DOUBLE) AS b FROM w UNION ALL SELECT 'words', 'recall_at_1', words, recall_at_1 FROM w UNION ALL SELECT 'relevant', 'recall_at_10', relevant, recall_at_10 FROM w)
       SELECT x, y, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, round(CASE WHEN min(a) FILTER (b IS NOT NULL) = max(a) FILTER (b IS NOT NULL) OR min(b) = max(b) THEN NULL ELSE corr(a, b) END, 6) AS r, CASE WHEN count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) < 2 THEN 'INSUFFICIENT_PAIRS' WHEN min(a) FILTER (b IS NOT NULL) = max(a) FILTER (b IS NOT NULL) OR min(b) = max(b) THEN 'ZERO_VARIANCE' END AS reason FROM l GROUP BY x, y""",
