@@ -6,6 +6,8 @@ ties go to the smaller id in UTF-8 order, so an order never depends on the order
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -193,10 +195,10 @@ def resolve_exact(references: DataFrame, aliases: DataFrame, chunks: DataFrame)
     """Rows (question_id, chunk_id, diagnostic): the one chunk of each parsed reference, or why there is none.
 
     references (question_id, document_key, article, clause, point), aliases (document_key, context_id), chunks
-    (chunk_id, context_id, hierarchy_path, hierarchy_kind, hierarchy_ordinal). All joins are on keys.
+    (chunk_id, context_id, hierarchy_path, hierarchy_kind, hierarchy_ordinal). A reference with a document_key is looked for in the one context of
+    that key, one without in all contexts. Groups give their smallest and largest id only, so a key of many contexts and a
+    coordinate of many chunks cost no more than others; all joins are on keys, and equal coordinates are looked for once.
     """
-    contexts = references.join(aliases.distinct(), "document_key", "left").groupBy("question_id", "article", "clause", "point").agg(F.collect_set("context_id").alias("c"))
-    one = contexts.withColumn("context_id", F.when(F.size("c") == 1, F.col("c")[0]))
 
     def member(label: str, value: Column) -> Column:
         return value.isNull() | F.exists("hierarchy_path", lambda p: F.lower(p) == F.concat(F.lit(label), value))
@@ -204,9 +206,20 @@ def resolve_exact(references: DataFrame, aliases: DataFrame, chunks: DataFrame)
     kind = F.when(F.col("point").isNotNull(), "point").when(F.col("clause").isNotNull(), "clause").otherwise("article")
     leaf = F.coalesce("point", "clause", "article")
     fits = (F.col("hierarchy_kind") == kind) & (F.col("hierarchy_ordinal") == leaf) & member("điều ", F.col("article")) & member("khoản ", F.col("clause"))
-    matched = one.join(chunks, "context_id", "left").groupBy("question_id", "c").agg(F.collect_set(F.when(fits, F.col("chunk_id"))).alias("found"))
-    diagnostic = (
-        F.when(F.size("c") == 0, "DOCUMENT_UNRESOLVED").when(F.size("c") > 1, "DOCUMENT_AMBIGUOUS")
-        .when(F.size("found") == 0, "COORDINATE_UNRESOLVED").when(F.size("found") > 1, "COORDINATE_MULTI_CHUNK")
-    )
-    return matched.select("question_id", F.when(diagnostic.isNull(), F.col("found")[0]).alias("chunk_id"), diagnostic.alias("diagnostic"))
+    ends = [F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last")]
+    place = chunks.select("chunk_id", F.col("context_id").alias("place"), "hierarchy_path", "hierarchy_kind", "hierarchy_ordinal")
+    coordinate = ["article", "clause", "point"]
+
+    numbered = references.where("document_key IS NOT NULL").join(aliases.distinct(), "document_key", "left")
+    numbered = numbered.groupBy("question_id", *coordinate).agg(F.min("context_id").alias("lo"), F.max("context_id").alias("hi"))
+    numbered = numbered.join(place, (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("place")) & fits, "left").groupBy("question_id", "lo", "hi").agg(*ends)
+    state = F.when(F.col("lo").isNull(), "EXACT_DOCUMENT_UNRESOLVED").when(F.col("lo") < F.col("hi"), "EXACT_DOCUMENT_AMBIGUOUS")
+
+    free = references.where("document_key IS NULL").select("question_id", *coordinate)
+    hits = place.join(_small(free.select(*coordinate).distinct()), fits).groupBy(*coordinate).agg(*ends)
+    hits = hits.select(*[F.col(c).alias(f"at_{c}") for c in coordinate], "first", "last")
+    free = free.join(hits, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in coordinate]), "left")
+
+    matched = numbered.select("question_id", "first", "last", state.alias("state")).unionByName(free.select("question_id", "first", "last", F.lit(None).cast("string").alias("state")))
+    diagnostic = F.coalesce("state", F.when(F.col("first").isNull(), "EXACT_COORDINATE_UNRESOLVED").when(F.col("first") < F.col("last"), "EXACT_COORDINATE_MULTI_CHUNK"))
+    return matched.select("question_id", F.when(diagnostic.isNull(), F.col("first")).alias("chunk_id"), diagnostic.alias("diagnostic"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
-from corpusloom.operators import corpus, metrics, retrieve, rouge, split, training
+from corpusloom.operators import corpus, index, metrics, retrieve, rouge, split, training
 from corpusloom.plans.materialize import written
 from corpusloom.sources import sinks
 from corpusloom.streaming import remaining
@@ -240,10 +240,7 @@ def question_resolution(spark, d):
 
 
 def _resolved(questions, contexts, chunks=None):
-    q = questions.select("question_id", legal.reference_of(F.col("question")).alias("r")).select("question_id", "r.*")
-    good = q.where("diagnostic IS NULL").select("question_id", tx.document_number_key(F.col("document_number")).alias("document_key"), "article", "clause", "point")
-    found = retrieve.resolve_exact(good, _aliases(contexts), _legal_chunks(contexts) if chunks is None else chunks)
-    return found.unionByName(q.where("diagnostic IS NOT NULL").select("question_id", F.lit(None).cast("string").alias("chunk_id"), "diagnostic"))
+    return index.resolved(questions, _aliases(contexts), _legal_chunks(contexts) if chunks is None else chunks)
 
 
 def hierarchy_chunks(spark, d):

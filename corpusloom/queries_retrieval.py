@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries_corpus
 from corpusloom.functions import text as tx
-from corpusloom.operators import corpus, fuse, metrics, retrieve, rouge, select
-from corpusloom.plans.materialize import written
+from corpusloom.operators import corpus, fuse, index, metrics, retrieve, rouge, select
+from corpusloom.plans.materialize import fresh_path, written
 
 DEPTH = 50
 
@@ -81,6 +81,27 @@ def vector_audit(spark, d):
     return retrieve.audit_vectors(store.unionByName(store.where("vec_id % 11 = 0")).select("chunk_id", "embedding"), e.select("chunk_id"))
 
 
+def persisted(spark, d):
+    """The documents' index, written and opened again."""
+    path = fresh_path(spark, "persisted")
+    nothing = F.lit(None).cast("string")
+    found = chunks(spark, d).select("chunk_id", "context_id", F.col("path").alias("hierarchy_path"), nothing.alias("hierarchy_kind"), nothing.alias("hierarchy_ordinal"), "text")
+    index.build_index(found, path)
+    return index.open_index(spark, path)
+
+
+def question_retrieval(spark, d):
+    """Parsed, resolved and searched over an opened index; documents are chunks without headings."""
+    aliases = queries_corpus._aliases(queries_corpus._passages(spark, d))
+    ranking, _ = index.retrieve_questions(persisted(spark, d), questions(spark, d), aliases)
+    return r6(ranking, "score")
+
+
+def context_chunks(spark, d):
+    """What an opened index has of each source, found by its context."""
+    return persisted(spark, d).groupBy("context_id").agg(F.count("*").alias("chunks"), F.sum("dl").alias("terms"), F.min("chunk_id").alias("first"), F.max("dl").alias("longest"))
+
+
 def rrf_fusion(spark, d):
     return r6(fuse.reciprocal_rank_fusion([*rankings(spark, d)]), "score", digits=9)
 
@@ -246,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_topk, legal_sparse, lexical_topk, cosine_topk, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
     ndcg10, answer_containment, pair_redundancy, failure_class, failure_counts, pearson_metrics, arm_comparison, discovery_arm, win_tie_loss, bootstrap_ci, ltr_features, admission_budget,
     bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage, set_metrics, set_failure_counts, set_report, set_correlations, failure_overlaps,
-    fusion_features,
+    fusion_features, question_retrieval, context_chunks,
 )}
 
 # ---- SQL counterparts ----
@@ -300,6 +321,9 @@ _CLASS = """, m3 AS (SELECT question_id, count(*) AS ranked, count(*) FILTER (ra
       WHEN h3 < relevant THEN 'SET_COVERAGE_MISS' ELSE 'NO_FAILURE' END AS class FROM q LEFT JOIN pos USING (question_id) LEFT JOIN m3 USING (question_id))"""
 
 ORACLES = {
+    # no benchmark text has a coordinate, so a citation resolves nothing here; tests have those that do
+    "question_retrieval": _BASE + "SELECT question_id, rank, chunk_id, false AS exact, round(score, 6) AS score FROM bm WHERE rank <= 12",
+    "context_chunks": f"SELECT source AS context_id, count(*) AS chunks, CAST(sum(len(t)) AS BIGINT) AS terms, min(id) AS first, max(len(t)) AS longest FROM (SELECT source, CAST(doc_id AS VARCHAR) AS id, {_TOK.format('text')} AS t FROM documents) GROUP BY source",
     "bm25_topk": _BASE + "SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM bm WHERE rank <= 12",
     "legal_sparse": _BASE + f""", sh AS (SELECT bm.question_id, bm.chunk_id, 0.75 * score / max(score) OVER (PARTITION BY bm.question_id) + 0.25 * len(list_intersect(list_distinct(qtoks), {_TOK.format("source || ' ' || lang")})) / len(list_distinct(qtoks)) AS score FROM bm JOIN q USING (question_id) JOIN c USING (chunk_id))
       SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sh) WHERE rank <= 12""",
