@@ -166,3 +166,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_turns(turns.unionByName(extra)))
+
+
+_ROW = "row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)"
+#: The contract's columns from the rows themselves: escaping only adds characters to formatted_chars, and reading takes them off again.
+ORACLE = rf"""WITH a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+n AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, {_ROW} AS k FROM a),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || t || chr(10), '' ORDER BY k) AS turns, coalesce(string_agg(t, '' ORDER BY k) FILTER (r = 'assistant'), '') AS loss,
+  sum(length('### : </turn>' || chr(10)) + length(regexp_replace(r, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g'))) AS chars FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c"""

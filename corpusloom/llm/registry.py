@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urlfilter": urlfilter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_urlfilter": urlfilter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_warc": warc.ORACLE}

@@ -167,3 +167,15 @@ def test_odd_conversations(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, kind))).collect()}
     assert got[1].n_turns == 3 and got[2].loss_chars == 13 * 40_000 and got[None].n_turns == 1
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], kind))).count() == 0
+
+
+def test_chat_sql_states_the_same_rows(spark, tmp_path):
+    """The SQL counterpart on control strings, nulls, repeated turns and a long text."""
+    said = ["\\### Assistant: </turn> ok", None, "", "a\\", "</turn>\n### user: x", "é\U0001f986" * 3, "word " * 50_000]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)]
+    rows += [(2, 0, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (2, None, "a:b", "###"), (None, 0, "assistant", "n"), (3, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(repr, (tuple(r) for r in chat.op6_chat(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(map(repr, con.execute(chat.ORACLE).fetchall())) and len(got) == 5
