@@ -8,7 +8,9 @@ and only the dictionary of phrases and the parse need a suffix order:
 1. Coarse phrases begin where a rolling hash hits a trigger value and overlap the next one by
    LENGTH - 1 bytes, so each string of LENGTH bytes starts in exactly one of them. The smallest doc_id
    that has a phrase owns it; every other document's occurrence is a repeat as a whole, and nothing else needs its strings,
-   since the smallest document that has a string has it in a phrase of its own.
+   since the smallest document that has a string has it in a phrase of its own. Occurrences meet their owner in a join by phrase, but for popular
+   phrases, which would fill a task each: their owners, bounded in number by their share of all occurrences, go out to the tasks, which
+   list a document's occurrences in one row.
 2. The other strings are cut into fine phrases, the runs of strings whose smallest rolling hash is the same.
    Equal strings have equal smallest hashes, and each string has one, so only hashes that occur in two
    documents can hold a repeat. They are found by 32 bits of each hash, which meet in shards by the hash, after each batch of documents
@@ -46,6 +48,8 @@ GRAM = 24
 TRIGGER = 128
 #: Bytes of a text that are hashed at once, phrases of a shard, phrases of one hash from which it is cut again, strings of a fine phrase.
 PIECE, SHARD, HOT, RUN = 1 << 20, 20_000, 20_000, 128
+#: Coarse phrases with at least one in so many of all occurrences are popular; there are so many of them at most.
+POPULAR = 20_000
 #: Bytes of text whose keys a shard meets, about: a key for each 14 of them.
 KEYS = 16 << 20
 
@@ -144,6 +148,27 @@ def _keys(v: np.ndarray, shards: int) -> np.ndarray:
 _MET = "shard int, docs binary, prints binary, places binary, twice binary, doc_id long, key long"
 
 
+def _popular(owners: list):
+    """Rows (doc_id, th, places): the occurrences of popular phrases (key, owner) in a text whose document is not the owner, one row for each text of a batch."""
+    keys = pa.array([bytes(r["key"]) for r in owners], pa.binary())
+    owner_of = np.array([r["owner"] for r in owners], np.int64)
+
+    def run(batches):
+        for b in batches:
+            found = pc.index_in(b.column("key"), value_set=keys)
+            at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            doc, th, idx = (b.column(c).to_numpy(zero_copy_only=False)[at] for c in ("doc_id", "th", "idx"))
+            later = doc > owner_of[found.drop_null().to_numpy(zero_copy_only=False)]
+            doc, th, idx = doc[later], th[later], idx[later]
+            order = np.lexsort((idx, th, doc))
+            doc, th, idx = doc[order], th[order], idx[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(idx, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(th[first], pa.int64()), places], names=["doc_id", "th", "places"])
+
+    return run
+
+
 def _postings(length: int, shards: int):
     """Which keys the documents of a batch have.
 
@@ -374,12 +399,17 @@ def _removed(d: DataFrame, length: int, decoded: bool) -> DataFrame:
     texts = bucketed(d.where(takes_part).withColumn("th", F.xxhash64("text")).withColumn("bytes", F.octet_length("text").cast("long")), "pfp-texts", "doc_id")
     told = texts.select("doc_id", "th", "text")
     coarse = written(in_arrow(told, _coarse(length), "key binary, doc_id long, th long, idx int"), "pfp-coarse")
-    owned = coarse.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").select("key", "owner")
-    foreign = coarse.join(owned, "key").where("doc_id > owner").groupBy("doc_id").agg(F.collect_set(F.struct("th", "idx")).alias("f"))
-    foreign = written(foreign, "pfp-foreign")
-    forget(coarse)
+    owned = coarse.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("owner < top")
+    owned = written(owned.select("key", "owner", "n"), "pfp-owned")
+    often = coarse.count() / POPULAR
+    popular = owned.where(F.col("n") >= often).select("key", "owner").collect()
+    rare = coarse.join(owned.where(F.col("n") < often).select("key", "owner"), "key").where("doc_id > owner").select("doc_id", "th", F.array("idx").alias("places"))
+    foreign = rare.unionByName(in_arrow(coarse, _popular(popular), "doc_id long, th long, places array<int>"))
+    foreign = written(foreign.groupBy("doc_id").agg(F.collect_set(F.struct("th", "places")).alias("f")), "pfp-foreign")
+    forget(coarse, owned)
     its_own = lambda lists: F.filter(lists, lambda x: x["th"] == F.col("th"))
-    told = told.join(foreign, "doc_id", "left").withColumn("foreign", F.transform(its_own("f"), lambda x: x["idx"])).drop("f")
+    places = F.flatten(F.transform(its_own("f"), lambda x: x["places"]))
+    told = told.join(foreign, "doc_id", "left").withColumn("foreign", places).drop("f")
     # a filter only, so rows of one doc_id may share their hashes, and two hashes a key
     shards = 1 + (texts.agg(F.sum("bytes")).first()[0] or 0) // KEYS
     met = written(in_arrow(told.select("doc_id", "text", "foreign"), _postings(length, shards), _MET), "pfp-keys")
@@ -392,7 +422,7 @@ def _removed(d: DataFrame, length: int, decoded: bool) -> DataFrame:
     runs = written(runs, "pfp-runs")
     forget(parse, flags)
     out = texts.join(foreign, "doc_id", "left").join(runs, "doc_id", "left")
-    out = out.withColumn("foreign", F.transform(its_own("f"), lambda x: x["idx"])).withColumn("runs", F.transform(its_own("r"), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))
+    out = out.withColumn("foreign", places).withColumn("runs", F.transform(its_own("r"), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))
     out = out.select(*d.columns, "foreign", "runs")
     idle = d.where(~takes_part).select(*d.columns, F.lit(None).cast("array<int>").alias("foreign"), F.lit(None).cast("array<struct<lo: bigint, hi: bigint>>").alias("runs"))
     kind = [f for f in d.schema.fields if f.name != "text"]

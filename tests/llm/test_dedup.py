@@ -131,9 +131,11 @@ def repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeats_equal_brute_force(docs, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, popular", [(20_000, 20_000), (2, 500), (20_000, 1)])
+def test_repeats_equal_brute_force(docs, rows, monkeypatch, hot, popular):
+    """With popular phrases only, with popular and rare ones, and with rare ones only."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "POPULAR", popular)
     monkeypatch.setattr(suffix_dedup, "SHARD", 50)
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == repeats(rows)
