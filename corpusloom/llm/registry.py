@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, decontaminate, fim, langid, media, minhash, sharding, suffix_dedup, tokencount, urlfilter, warc
+from corpusloom.llm import bpe, chat, decontaminate, fim, hotjoin, langid, media, minhash, sharding, suffix_dedup, tokencount, urlfilter, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_media": media.op10_media,
         "op11_tokencount": tokencount.op11_tokencount,
+        "op12_hotjoin": hotjoin.op12_hotjoin,
         "op13_fim": fim.op13_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urlfilter": urlfilter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_warc": warc.ORACLE, "op13_fim": fim.ORACLE}
+    return {"op1_urlfilter": urlfilter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_warc": warc.ORACLE, "op12_hotjoin": hotjoin.ORACLE, "op13_fim": fim.ORACLE}
