@@ -11,7 +11,8 @@ hash join: none of them can fill a task. Of a hot key
 3. at the leaves the pairs meet the rows: `rows` fetches both sublists, each a bounded list, and writes out their pairs; `totals` needs for each row only what
    its partners add up to, so it fetches what a sublist adds up to, and no pair of a hot key is ever written out.
 
-Nothing that grows with the input goes through one task, the driver or a broadcast: hot keys are a table, and Spark broadcasts it only below its own threshold.
+Nothing that grows with the input goes through one task, the driver or a broadcast: hot keys are a table, and Spark broadcasts it only below its own threshold; leaves and
+sublists always meet in shuffles.
 Hot rows are written once with their sublists, so a lost executor cannot deal them differently.
 
 Null keys match nothing. Repeated rows all take part. An empty side leaves the other without partners. Columns of the two sides stay apart, so clashing names are harmless.
@@ -73,7 +74,7 @@ class TreeJoin:
         cold = self.cold["left"].withColumnRenamed("row", "left").join(self.cold["right"].withColumnRenamed("row", "right").hint("shuffle_hash"), "key")
         found = self.leaves()
         for name, at in (("left", "l"), ("right", "r")):
-            sublists = self.dealt[name].groupBy("key", F.col("list").alias(at)).agg(F.collect_list("row").alias(f"{name}s"))
+            sublists = self.dealt[name].groupBy("key", F.col("list").alias(at)).agg(F.collect_list("row").alias(f"{name}s")).hint("shuffle_hash")
             found = found.join(sublists, ["key", at])
         pairs = found.select("key", F.explode("lefts").alias("left"), "rights").select("key", "left", F.explode("rights").alias("right"))
         return cold.select("key", "left", "right").unionByName(pairs)
@@ -105,8 +106,8 @@ class TreeJoin:
         cold = self.cold[side].select("key", own.alias("of")).join(met, "key", "left").groupBy("key", "of")
         cold = cold.agg(F.count("one").alias("partners"), F.count("*").alias("outer"), F.coalesce(F.sum("what"), none).alias("total")).drop("key")
         mine, there = ("l", "r") if side == "left" else ("r", "l")
-        sublists = self.dealt[other].groupBy("key", F.col("list").alias(there)).agg(F.count("*").alias("n"), F.sum(theirs).alias("s"))
-        sums = self.leaves().join(sublists, ["key", there]).groupBy("key", F.col(mine).alias("list")).agg(F.sum("n").alias("partners"), F.sum("s").alias("total"))
+        sublists = self.dealt[other].groupBy("key", F.col("list").alias(there)).agg(F.count("*").alias("n"), F.sum(theirs).alias("s")).hint("shuffle_hash")
+        sums = self.leaves().join(sublists, ["key", there]).groupBy("key", F.col(mine).alias("list")).agg(F.sum("n").alias("partners"), F.sum("s").alias("total")).hint("shuffle_hash")
         hot = self.dealt[side].select("key", "list", own.alias("of")).join(sums, ["key", "list"], "left")
         hot = hot.select("of", F.coalesce("partners", none).alias("partners"), F.greatest(F.coalesce("partners", none), F.lit(1)).alias("outer"), F.coalesce("total", none).alias("total"))
         return null.unionByName(cold).unionByName(hot)
