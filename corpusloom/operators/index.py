@@ -1,8 +1,8 @@
 """A persistent sparse index, and retrieval of questions over it.
 
 An index is a folder with the table `chunks`, read by column: what a chunk is, its terms in order and their number,
-and the table `manifest`, one row with all that makes two indexes alike. It is written once, never changed, and verified
-when it is opened. An opened index is what `retrieve.bm25` and `retrieve.lexical` take, so no query tokenises the corpus again.
+the table `postings`, blocks laid out by term (see `blockmax`), and the table `manifest`, one row with all that makes two indexes alike. It is written once, never changed, and
+verified when it is opened. Opened postings are what `retrieve.bm25` and `retrieve.lexical` take, so no query tokenises the corpus or counts terms again.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
-from corpusloom.operators import fuse, retrieve
+from corpusloom.operators import blockmax, fuse, retrieve
 
 VERSION = "index.v1"
 COLUMNS = ["chunk_id", "context_id", "hierarchy_path", "hierarchy_kind", "hierarchy_ordinal", "text", "t", "dl"]
@@ -27,6 +27,13 @@ def _summary(index: DataFrame) -> DataFrame:
     )
 
 
+def _laid(blocks: DataFrame) -> DataFrame:
+    """One row: blocks, pairs of a chunk and a term, and a checksum of the blocks that does not depend on their order."""
+    pairs = F.coalesce(F.sum(F.octet_length("at") / 4), F.lit(0)).cast("long").alias("pairs")
+    heads = F.coalesce(F.sum(F.xxhash64("names", "dl", "own").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    return blocks.agg(F.count("*").alias("blocks"), pairs, (heads + F.coalesce(F.sum(F.xxhash64("term", "at", "tf").cast("decimal(38,0)")), F.lit(0))).cast("string").alias("laid"))
+
+
 def _parameters() -> dict:
     return {"version": VERSION, "token": tx.TOKEN, "k1": retrieve.K1, "b": retrieve.B}
 
@@ -42,7 +49,9 @@ def build_index(chunks: DataFrame, path: str) -> None:
     if bad:
         raise ValueError(f"chunk ids must be unique and not null: {bad[0].chunk_id}")
     told.withColumn("t", tx.terms(F.col("text"))).withColumn("dl", F.size("t")).write.parquet(f"{path}/chunks")
-    summary = _summary(chunks.sparkSession.read.parquet(f"{path}/chunks"))
+    whole = chunks.sparkSession.read.parquet(f"{path}/chunks")
+    blockmax.laid_out(whole).write.parquet(f"{path}/postings")
+    summary = _summary(whole).crossJoin(_laid(chunks.sparkSession.read.parquet(f"{path}/postings")))  # two tables of one row
     summary.select("*", *[F.lit(v).alias(k) for k, v in _parameters().items()]).write.parquet(f"{path}/manifest")
 
 
@@ -60,6 +69,16 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return index
 
 
+def open_postings(spark: SparkSession, path: str) -> blockmax.Postings:
+    """The postings of the index at path; a ValueError where its blocks are not those that were written."""
+    manifest = spark.read.parquet(f"{path}/manifest").first().asDict()
+    blocks = spark.read.parquet(f"{path}/postings")
+    for name, value in _laid(blocks).first().asDict().items():
+        if manifest[name] != value:
+            raise ValueError(f"the index is damaged: {name} is {value}, not {manifest[name]}")
+    return blockmax.of(blocks)
+
+
 def chunks_of_context(index: DataFrame, context_id: str) -> DataFrame:
     """The chunks of a context; the filter reaches the scan."""
     return index.where(F.col("context_id") == context_id)
@@ -94,13 +113,13 @@ def resolved(questions: DataFrame, aliases: DataFrame, chunks: DataFrame) -> Dat
     return found.unionByName(parsed.where("diagnostic IS NOT NULL").select("question_id", F.lit(None).cast("string").alias("chunk_id"), "diagnostic"))
 
 
-def retrieve_questions(index: DataFrame, questions: DataFrame, aliases: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
+def retrieve_questions(index: DataFrame, questions: DataFrame, aliases: DataFrame, k: int = 12, postings: blockmax.Postings | None = None) -> tuple[DataFrame, DataFrame]:
     """Parses, resolves and searches questions (question_id, question): a ranking (question_id, rank, chunk_id, exact, score) and (question_id, diagnostic).
 
     The cited chunk, if it is one alone, comes first; the first k of BM25 follow. The ranking has no row of a question that finds nothing; the
-    second table has a row of each question, its diagnostic null where its citation is resolved.
+    second table has a row of each question, its diagnostic null where its citation is resolved. Without postings they are built of the index.
     """
     exact = resolved(questions, aliases, index)
-    sparse = retrieve.bm25(index, questions, k)
+    sparse = retrieve.bm25(postings or index, questions, k)
     ranking = fuse.union_rank(exact.where("chunk_id IS NOT NULL").select("question_id", "chunk_id"), sparse.select("question_id", "chunk_id", "score"), k)
     return ranking, exact.select("question_id", "diagnostic")

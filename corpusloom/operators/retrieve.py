@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import blockmax
+from corpusloom.operators.blockmax import B, K1, SCALE, Postings
 from corpusloom.plans.materialize import bucketed
 
-K1, B, SCALE = 1.2, 0.75, 6
 #: Query terms or vectors up to which the query side is broadcast; more are joined by a shuffle, or searched in blocks.
 BROADCAST_TERMS, BLOCK_VECTORS = 100_000, 4096
 
@@ -65,7 +66,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Rows (question_id, chunk_id, score) with a score over 0; unique query terms, idf = log1p((n - df + .5) / (df + .5)).
+    """All scores: rows (question_id, chunk_id, score) with a score over 0; unique query terms, idf = log1p((n - df + .5) / (df + .5)). Rankings take `bm25`, which has no row of each pair.
 
     chunks is an index, or (chunk_id, text), which is tokenised then.
     """
@@ -81,19 +82,18 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).where("score > 0")
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = 12) -> DataFrame:
-    """BM25 ranking."""
-    return ranked(bm25_scores(chunks, questions), k).select("question_id", "rank", "chunk_id", "score")
+def _postings(chunks: DataFrame | Postings) -> Postings:
+    return chunks if isinstance(chunks, Postings) else blockmax.build(chunks)
 
 
-def lexical(chunks: DataFrame, questions: DataFrame, k: int = 50) -> DataFrame:
-    """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores. chunks as for bm25_scores."""
-    asked = query_terms(questions)
-    sets = _indexed(chunks).select("chunk_id", F.array_distinct("t").alias("t"))
-    weighted = _small(asked.join(asked.groupBy("question_id").agg(F.count("*").alias("nq")), "question_id"))
-    hits = sets.select("chunk_id", F.size("t").alias("nc"), F.explode("t").alias("term")).join(weighted, "term")
-    hits = hits.groupBy("question_id", "chunk_id", "nc", "nq").agg(F.count("*").alias("both"))
-    return ranked(hits.withColumn("score", F.col("both") / (F.col("nc") + F.col("nq") - F.col("both"))), k).select("question_id", "rank", "chunk_id", "score")
+def bm25(chunks: DataFrame | Postings, questions: DataFrame, k: int = 12) -> DataFrame:
+    """BM25 ranking. chunks is (chunk_id, text), (chunk_id, t) with terms in order, or postings that blockmax has built of them; ids must be unique."""
+    return blockmax.bm25(_postings(chunks), questions, k)
+
+
+def lexical(chunks: DataFrame | Postings, questions: DataFrame, k: int = 50) -> DataFrame:
+    """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores. chunks as for bm25."""
+    return blockmax.lexical(_postings(chunks), questions, k)
 
 
 def legal_sparse(discovered: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 50, body: float = 0.75) -> DataFrame:

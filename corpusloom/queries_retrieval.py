@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries_corpus
 from corpusloom.functions import text as tx
-from corpusloom.operators import corpus, fuse, index, metrics, retrieve, rouge, select
+from corpusloom.operators import blockmax, corpus, fuse, index, metrics, retrieve, rouge, select
 from corpusloom.plans.materialize import fresh_path, written
 
 DEPTH = 50
@@ -39,7 +39,7 @@ def second(spark, d, k=DEPTH, index=None):
 
 def rankings(spark, d):
     """Both rankings over one index."""
-    index = retrieve.tokenised(chunks(spark, d))
+    index = blockmax.build(chunks(spark, d))
     return sparse(spark, d, index=index), second(spark, d, index=index)
 
 
@@ -87,19 +87,20 @@ def persisted(spark, d):
     nothing = F.lit(None).cast("string")
     found = chunks(spark, d).select("chunk_id", "context_id", F.col("path").alias("hierarchy_path"), nothing.alias("hierarchy_kind"), nothing.alias("hierarchy_ordinal"), "text")
     index.build_index(found, path)
-    return index.open_index(spark, path)
+    return index.open_index(spark, path), index.open_postings(spark, path)
 
 
 def question_retrieval(spark, d):
     """Parsed, resolved and searched over an opened index; documents are chunks without headings."""
     aliases = queries_corpus._aliases(queries_corpus._passages(spark, d))
-    ranking, _ = index.retrieve_questions(persisted(spark, d), questions(spark, d), aliases)
+    opened, postings = persisted(spark, d)
+    ranking, _ = index.retrieve_questions(opened, questions(spark, d), aliases, postings=postings)
     return r6(ranking, "score")
 
 
 def context_chunks(spark, d):
     """What an opened index has of each source, found by its context."""
-    return persisted(spark, d).groupBy("context_id").agg(F.count("*").alias("chunks"), F.sum("dl").alias("terms"), F.min("chunk_id").alias("first"), F.max("dl").alias("longest"))
+    return persisted(spark, d)[0].groupBy("context_id").agg(F.count("*").alias("chunks"), F.sum("dl").alias("terms"), F.min("chunk_id").alias("first"), F.max("dl").alias("longest"))
 
 
 def rrf_fusion(spark, d):
@@ -119,7 +120,7 @@ def union_coverage(spark, d):
 
 
 def ranking_parity(spark, d):
-    return fuse.parity(sparse(spark, d), retrieve.bm25(chunks(spark, d).repartition(7), questions(spark, d), DEPTH), 1e-9).select("rows", "same_order", "equal")
+    return fuse.parity(sparse(spark, d), retrieve.ranked(retrieve.bm25_scores(chunks(spark, d).repartition(7), questions(spark, d)), DEPTH), 1e-9).select("rows", "same_order", "equal")
 
 
 def per_question_metrics(spark, d):
@@ -214,7 +215,7 @@ def fusion_features(spark, d):
     passages = queries_corpus._passages(spark, d)
     c = written(corpus.chunked(passages).select("chunk_id", "context_id", "path", F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), F.col("retrieval_text").alias("text")), "fusion-chunks")
     q = questions(spark, d)
-    index = retrieve.tokenised(c.select("chunk_id", "text"))
+    index = blockmax.build(c)
     s, l = written(retrieve.bm25(index, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(index, q, DEPTH), "fusion-lexical")
     found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
     exact = queries_corpus._resolved(q, passages, c.withColumn("hierarchy_path", F.col("path")))
