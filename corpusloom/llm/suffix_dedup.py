@@ -19,7 +19,7 @@ and only the dictionary of phrases and the parse need a suffix order:
    The dictionary goes to shards by hash; a shard orders the suffixes of its phrases by their first LENGTH bytes, and equal ranks give the
    smallest document of each string. The parse joined with that gives the runs: a phrase in another document than its
    owner goes as a whole, in the owner go the strings that a smaller document has.
-   Copies of a passage are one row of the dictionary. A hash with more than HOT distinct phrases, such as the last bytes of a popular
+   Copies of a passage are one row of the dictionary. A hash whose distinct phrases have more than SHARD strings, such as the last bytes of a popular
    passage before texts that differ, is cut again, by the smallest hash of longer strings: of those so long that LENGTH has hardly room for
    two, so that few phrases can share one.
 
@@ -46,8 +46,9 @@ from corpusloom.plans.materialize import bucketed, forget, written
 LENGTH = 50
 GRAM = 24
 TRIGGER = 128
-#: Bytes of a text that are hashed at once, phrases of a shard, phrases of one hash from which it is cut again, strings of a fine phrase.
-PIECE, SHARD, HOT, RUN = 1 << 20, 20_000, 20_000, 128
+#: Bytes of a text that are hashed at once, strings of a dictionary shard and most strings of one hash (of more, the phrases are cut again), strings
+#: that are written out and put in order at once, strings of a fine phrase.
+PIECE, SHARD, SLICE, RUN = 1 << 20, 1 << 20, 1 << 17, 128
 #: Coarse phrases with at least one in so many of all occurrences are popular; there are so many of them at most.
 POPULAR = 20_000
 #: Bytes of text whose keys a shard meets, about: a key for each 14 of them.
@@ -172,8 +173,8 @@ def _popular(owners: list):
 def _postings(length: int, shards: int):
     """Which keys the documents of a batch have.
 
-    A row for each shard has each key of the batch once, with the place of one of its documents and whether it has more. Those keys that have
-    more are known to be shared, so these documents need no answer: they follow as rows of doc_id and key. So a shard meets a
+    A row for each shard has each key of the batch once, with one of its documents, as a place among the ids that the row's own keys have, and whether
+    it has more; so a row's size depends on its keys alone, however many shards there are. Those keys that have more are known to be shared, so these documents need no answer: they follow as rows of doc_id and key. So a shard meets a
     popular key once a batch.
     """
 
@@ -196,8 +197,11 @@ def _postings(length: int, shards: int):
             cut = lambda x: pa.array([x[s:e].tobytes() for s, e in parts], pa.binary())  # noqa: B023, E731
             none = lambda kind, n: pa.nulls(n, kind)
             names = ["shard", "docs", "prints", "places", "twice", "doc_id", "key"]
-            few = np.int16 if len(own) < 1 << 15 else np.int32
-            columns = [pa.array(shard[edge] if parts else [], pa.int32()), pa.array([ids.tobytes()] * len(parts), pa.binary()), cut(key.astype(np.uint32)), cut(place.astype(few)), cut(twice.astype(np.uint8))]
+            used, places = [], []
+            for s, e in parts:
+                of, at = np.unique(place[s:e], return_inverse=True)
+                used.append(ids[of].tobytes()), places.append(at.astype(np.int16 if len(of) < 1 << 15 else np.int32).tobytes())
+            columns = [pa.array(shard[edge] if parts else [], pa.int32()), pa.array(used, pa.binary()), cut(key.astype(np.uint32)), pa.array(places, pa.binary()), cut(twice.astype(np.uint8))]
             yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), len(parts)), none(pa.int64(), len(parts))], names=names)
             n = int(known.sum())
             yield pa.RecordBatch.from_arrays([none(pa.int32(), n), *[none(pa.binary(), n)] * 4, pa.array(ids[doc[known]], pa.int64()), pa.array(keys[known].view(np.int64))], names=names)
@@ -286,6 +290,23 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return rank[coded.indices.to_numpy()]
 
 
+def _later(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each start has an equal one with a smaller owner. Strings are put in order by slices of about SLICE; equal ones fall into one slice."""
+    gone = np.zeros(len(starts), bool)
+    slices_ = -(-len(starts) // SLICE)
+    if slices_ > 1:
+        h = _octets(data)
+        deal = ((_scattered(h[starts] * _M[1] + h[starts + length - 8], 2) >> _U[2]) % np.uint64(slices_)).astype(np.int32)
+    for i in range(slices_):
+        at = np.flatnonzero(deal == i) if slices_ > 1 else np.arange(len(starts))
+        if len(at):
+            rank = suffix_ranks(data, starts[at], length)
+            least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, rank, owner[at])
+            gone[at] = least[rank] < owner[at]
+    return gone
+
+
 _TOLD = "ph binary, owner long, cuts array<struct<lo: int, hi: int>>"
 
 
@@ -303,11 +324,9 @@ def _ordered(length: int):
             n = np.fromiter(map(len, phrases), np.int64, len(phrases))
             begin, many = np.cumsum(n) - n, n - length + 1
             first = np.cumsum(many) - many
-            of = np.repeat(np.arange(len(n)), many)
-            rank = suffix_ranks(np.frombuffer(b"".join(phrases), np.uint8), begin[of] + np.arange(len(of)) - first[of], length)
-            least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, rank, owner[several][of])
-            gone = least[rank] < owner[several][of]
+            of = np.repeat(np.arange(len(n), dtype=np.int32), many)
+            starts = begin[of] + np.arange(len(of)) - first[of]
+            gone = _later(np.frombuffer(b"".join(phrases), np.uint8), starts, owner[several][of], length)
             new = np.ones(len(of), bool)
             new[1:] = (of[1:] != of[:-1]) | (gone[1:] != gone[:-1])
             edge = np.flatnonzero(new)
@@ -328,8 +347,9 @@ def _resolved(parse: DataFrame, place: str, length: int, again: bool = True) ->
     """Rows (doc_id, place, lo, hi): strings of the phrases of a parse that start in a smaller document too."""
     words = parse.groupBy("ph").agg(F.min("v").alias("v"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.first("phrase").alias("phrase"))
     words = written(words, "pfp-dictionary")
-    shards = max(1, -(-words.count() // SHARD))
-    popular = written(words.groupBy("v").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("v"), "pfp-popular") if again else None
+    strings = F.sum(F.length("phrase") - length + 1)
+    shards = 1 + 2 * (words.agg(strings).first()[0] or 0) // SHARD
+    popular = written(words.groupBy("v").agg(strings.alias("n")).where(f"n > {SHARD}").select("v"), "pfp-popular") if again else None
     cut = popular is not None and not popular.isEmpty()
     plain = words.join(popular, "v", "left_anti") if cut else words
     told = plain.groupBy(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard")).applyInArrow(_ordered(length), _TOLD)

@@ -131,12 +131,12 @@ def repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot, popular", [(20_000, 20_000), (2, 500), (20_000, 1)])
-def test_repeats_equal_brute_force(docs, rows, monkeypatch, hot, popular):
-    """With popular phrases only, with popular and rare ones, and with rare ones only."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("shard, popular", [(4000, 20_000), (150, 500), (4000, 1)])
+def test_repeats_equal_brute_force(docs, rows, monkeypatch, shard, popular):
+    """With popular phrases only, with popular and rare ones, and with rare ones only; with and without hashes that are cut again."""
     monkeypatch.setattr(suffix_dedup, "POPULAR", popular)
-    monkeypatch.setattr(suffix_dedup, "SHARD", 50)
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 100)
     got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == repeats(rows)
 
@@ -158,6 +158,32 @@ def test_repeats_of_one_doc_id_with_several_texts(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, long, 7), (4, other, 7), (9, None, 7), (None, "x", 7)], key=str)
 
 
+def test_posting_bytes_do_not_grow_with_the_shards(rows):
+    import pyarrow as pa
+
+    texts = [t for _, t in rows if t and len(t.encode()) >= 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([None] * len(texts), pa.list_(pa.int32()))], names=["doc_id", "text", "foreign"])
+    size, most = {}, 0
+    for shards in (4, 64, 1024, 16_384):
+        found = next(suffix_dedup._postings(50, shards)([batch]))
+        keys = sum(len(x) // 4 for x in found.column("prints").to_pylist())
+        size[shards] = sum(len(x) for c in ("docs", "prints", "places", "twice") for x in found.column(c).to_pylist())
+        most = max(most, size[shards] / keys)
+    assert most <= 8 + 4 + 2 + 1 and size[16_384] < 2.2 * size[4]
+
+
+def test_slices_of_a_dictionary_agree(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    data = np.frombuffer(bytes(rng.choices(b"ab", k=60)) * 40 + bytes(rng.choices(b"abc", k=3000)), np.uint8)
+    starts = np.arange(len(data) - 50)
+    owner = np.array(rng.choices(range(50), k=len(starts)))
+    whole = suffix_dedup._later(data, starts, owner, 50)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 64)
+    assert (suffix_dedup._later(data, starts, owner, 50) == whole).all() and 0 < whole.sum() < len(whole)
+
+
 def test_suffix_ranks_order_suffixes():
     import numpy as np
 
