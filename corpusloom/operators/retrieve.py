@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,10 +15,11 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as tx
 from corpusloom.operators import blockmax
 from corpusloom.operators.blockmax import B, K1, SCALE, Postings
+from corpusloom.operators.dense import cosine  # noqa: F401  one of the rankings
 from corpusloom.plans.materialize import bucketed
 
-#: Query terms or vectors up to which the query side is broadcast; more are joined by a shuffle, or searched in blocks.
-BROADCAST_TERMS, BLOCK_VECTORS = 100_000, 4096
+#: Query terms up to which the query side is broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def ranked(scores: DataFrame, k: int, by: str = "question_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -110,59 +109,6 @@ def legal_sparse(discovered: DataFrame, chunks: DataFrame, questions: DataFrame,
     return ranked(joined.withColumn("score", score), k).select("question_id", "rank", "chunk_id", "score")
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    if not np.isfinite(matrix).all() or (norms == 0).any():
-        raise ValueError("vectors must be finite and not zero")
-    return matrix / norms
-
-
-def _search(ids: list, queries: np.ndarray, k: int, own: bool):
-    """The best k of each block of vectors for each query, boundary ties included in id order."""
-
-    def run(batches):
-        for b in batches:
-            rows = b.column("embedding")
-            if not b.num_rows:
-                continue
-            m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            if m.shape[1] != queries.shape[1]:
-                raise ValueError("vectors differ in dimension")
-            names = np.array(b.column("chunk_id").to_pylist(), object)
-            scores = queries @ _unit(m).T
-            out = [[], [], []]
-            for i, row in enumerate(scores):
-                keys = np.round(row, SCALE)
-                if not own:
-                    keys[names == ids[i]] = -np.inf
-                near = np.flatnonzero(keys >= (np.partition(keys, -k)[-k] if len(keys) > k else -np.inf))
-                best = sorted(near[np.isfinite(keys[near])], key=lambda j: (-keys[j], names[j].encode()))[:k]
-                out[0] += [ids[i]] * len(best)
-                out[1] += names[best].tolist()
-                out[2] += row[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["question_id", "chunk_id", "score"])
-
-    return run
-
-
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, own: bool = True) -> DataFrame:
-    """Exact cosine top k of vectors (chunk_id, embedding) for queries (question_id, embedding); blocked products, then a merge.
-
-    own tells whether a vector may find itself. Queries go out in blocks of BLOCK_VECTORS, so what a task holds is bounded.
-    """
-    found = None
-    asked = queries.select(F.col("question_id").cast("string").alias("question_id"), "embedding")
-    for row in asked.select("question_id").groupBy(F.pmod(F.xxhash64("question_id"), F.lit(max(1, -(-asked.count() // BLOCK_VECTORS)))).alias("block")).agg(F.count("*")).select("block").collect():
-        blocks = max(1, -(-asked.count() // BLOCK_VECTORS))
-        part = sorted(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == row["block"]).collect())
-        matrix = _unit(np.array([r["embedding"] for r in part], np.float64))
-        hits = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding").mapInArrow(_search([r["question_id"] for r in part], matrix, k, own), "question_id string, chunk_id string, score double")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "question_id string, chunk_id string, score double")
-    return ranked(found, k).select("question_id", "rank", "chunk_id", "score")
-
-
 def audit_vectors(vectors: DataFrame, expected: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """One row of counts: missing, extra, duplicate, non-finite, zero and non-unit vectors against expected (chunk_id)."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

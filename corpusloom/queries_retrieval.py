@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries_corpus
 from corpusloom.functions import text as tx
-from corpusloom.operators import blockmax, corpus, fuse, index, metrics, retrieve, rouge, select
+from corpusloom.operators import blockmax, corpus, dense, fuse, index, metrics, retrieve, rouge, select
 from corpusloom.plans.materialize import fresh_path, written
 
 DEPTH = 50
@@ -71,6 +71,26 @@ def cosine_topk(spark, d):
     return r6(retrieve.cosine(e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), asked, 10), "score")
 
 
+def _store(spark, d):
+    """The vectors as a half-precision store whose build stops after a wave and is resumed, and what asks for them."""
+    e = table(spark, d, "embeddings")
+    vectors, path, identity = e.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), fresh_path(spark, "dense"), {"model": "given vectors"}
+    if dense.build_store(vectors, path, identity, parts=8, wave=3, most_waves=1) != "INCOMPLETE" or dense.build_store(vectors, path, identity, parts=8, wave=3) != "COMPLETE":
+        raise RuntimeError("a build of three waves does not stop after its first and end when resumed")
+    return dense.open_store(spark, path, identity), vectors, e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("question_id"), "embedding")
+
+
+def dense_store_topk(spark, d):
+    stored, vectors, asked = _store(spark, d)
+    return r6(dense.search(stored, asked, 10, exact=vectors), "score")
+
+
+def dense_drift(spark, d):
+    stored, vectors, asked = _store(spark, d)
+    bound = stored.agg(F.max("error")).first()[0] or 0.0
+    return dense.drift(dense.search(stored, asked, 10), dense.cosine(vectors, asked, 10), bound).select("questions", "rows", "within")
+
+
 def vector_audit(spark, d):
     """The vectors as a store would hold them after a bad run: a seventh is missing, an eleventh twice, others not normalised, zero or not finite."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
@@ -265,7 +285,7 @@ def answer_coverage(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, legal_sparse, lexical_topk, cosine_topk, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
+    bm25_topk, legal_sparse, lexical_topk, cosine_topk, dense_store_topk, dense_drift, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
     ndcg10, answer_containment, pair_redundancy, failure_class, failure_counts, pearson_metrics, arm_comparison, discovery_arm, win_tie_loss, bootstrap_ci, ltr_features, admission_budget,
     bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage, set_metrics, set_failure_counts, set_report, set_correlations, failure_overlaps,
     fusion_features, question_retrieval, context_chunks,
@@ -371,3 +391,4 @@ ORACLES = {
     "packing_threshold": _BASE + _CAL + " SELECT threshold, f1 FROM calr ORDER BY f1 DESC, threshold DESC LIMIT 1",
     "answer_coverage": _BASE + "SELECT question_id, chunk_id, round(len(list_intersect(list_distinct(qtoks), list_distinct(toks))) / len(list_distinct(qtoks)), 6) AS coverage FROM bm JOIN q USING (question_id) JOIN c USING (chunk_id) WHERE rank <= 3",
 }
+ORACLES["dense_store_topk"] = ORACLES["cosine_topk"]
