@@ -101,11 +101,23 @@ def checksum(payload: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(payload.cast("binary"), 256))
 
 
+def canonical(text: Column) -> Column:
+    """NFC, runs of white space as one space, none at the ends."""
+    composed = F.when(text.rlike(r"[^\x00-\x7F]"), nfc_exact(text)).otherwise(text)
+    return F.trim(F.regexp_replace(composed, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
 def compacted(text: Column, limit: int) -> Column:
-    """The whole text if it has at most limit words, else its longest prefix of whole sentences within them, else the text."""
-    words = F.regexp_extract(text, rf"^\s*(?:\S+\s+){{0,{limit - 1}}}\S+", 0)
-    prefix = F.regexp_extract(words, r"(?s)^.*[.!?](?=\s|$)", 0)
-    return F.when(word_count(text) <= limit, text).when(prefix != "", prefix).otherwise(text)
+    """The canonical text if it has at most limit words, else its longest prefix of whole sentences within them, else all of it."""
+    whole = canonical(text)
+    words = F.regexp_extract(whole, rf"^(?:[^ ]+ ){{0,{limit - 1}}}[^ ]+", 0)
+    prefix = F.regexp_extract(words, r"(?s)^.*[.!?](?= |$)", 0)
+    return F.when(words == whole, whole).when(prefix != "", prefix).otherwise(whole)
+
+
+def deletion_only(before: Column, after: Column) -> Column:
+    """Whether a canonical answer was only cut short at the end of a sentence, or left alone: so no claim was added or reworded."""
+    return F.coalesce(F.startswith(before, after) & ((before == after) | F.substring(after, -1, 1).isin(".", "?", "!")), F.lit(False))
 
 
 # fixed values: forbidden content and its replacement

@@ -130,3 +130,16 @@ def extractive_answer(display: Column) -> Column:
 def with_refusals(questions: DataFrame) -> DataFrame:
     """The fixed-refusal baseline."""
     return questions.select("question_id", F.lit(REFUSAL).alias("answer"))
+
+
+def length_policy(answers: DataFrame, column: str = "answer", quantile: float = 0.5) -> DataFrame:
+    """One row (rows, maximum): how many answers there are, and the nearest-rank quantile of their words, which no compacted answer may exceed. Blank answers are an error."""
+    told = answers.select(tx.canonical(F.col(column)).alias("a"))
+    words = F.when(F.coalesce(F.col("a"), F.lit("")) == "", F.raise_error(F.lit("ANSWER_COMPACTION_SOURCE_INVALID")).cast("int")).otherwise(F.size(F.split("a", " ")))
+    return told.select(words.alias("n")).agg(F.count("*").alias("rows"), F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY n)").cast("long").alias("maximum"))
+
+
+def deletion_proof(answers: DataFrame) -> DataFrame:
+    """One row (answers, changed, removed_characters, passed) of answers (before, after), both canonical: passed if every change is a cut at the end of a sentence."""
+    cut = F.length("before") - F.length("after")
+    return answers.agg(F.count("*").alias("answers"), F.count_if(F.col("before") != F.col("after")).alias("changed"), F.coalesce(F.sum(cut), F.lit(0)).alias("removed_characters"), F.coalesce(F.bool_and(tx.deletion_only(F.col("before"), F.col("after"))), F.lit(True)).alias("passed"))

@@ -174,6 +174,14 @@ def compaction(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.compacted(F.col("text"), 30).alias("answer"))
 
 
+def compaction_proof(spark, d):
+    """Assistant turns cut to the median of their words, and the proof that nothing was added."""
+    a = table(spark, d, "conversations").where("role = 'assistant' AND trim(text) <> ''").select("text")
+    policy = corpus.length_policy(a, "text").first()
+    cut = corpus.deletion_proof(a.select(tx.canonical(F.col("text")).alias("before"), tx.compacted(F.col("text"), policy["maximum"] or 1).alias("after")))
+    return cut.select("*", F.lit(policy["maximum"]).alias("maximum"))
+
+
 def answer_forms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.sentence_count(F.col("text")).alias("sentences"), corpus.opening(F.col("text")).alias("opening"), corpus.closing(F.col("text")).alias("closing"), tx.has_forbidden(F.col("text")).alias("forbidden"))
 
@@ -313,7 +321,7 @@ def hard_negatives(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     token_stats, token_windows, window_report, largest_documents, length_summary, hash_split, group_split, char_5gram_neardup, components, split_manifest, cross_overlaps, stratified_sample,
-    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, compaction, answer_forms, extractive_answers, fixed_refusal,
+    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
     forensics_summary, legal_patterns, containment_pairs, submission_check, resume_remaining, param_audit, dataset_policy, alias_headers, exact_resolve, hierarchy_chunks, hierarchy_warnings,
     citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, question_resolution, document_warnings, answer_citations, answer_supervision,
     question_types,
@@ -349,7 +357,22 @@ def _rouge(n: int) -> str:
 
 _DISC = lambda p: f"CAST(quantile_disc(n, {p}) AS BIGINT)"
 
+# white space as Unicode has it, and the four separators besides
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _compact(source: str, columns: str, limit: str) -> str:
+    """CTEs: cut has the columns, the canonical text t and what is left of it within limit words."""
+    return f"""cw AS (SELECT {columns}t, string_split(t, ' ') AS ws, {limit} AS most FROM (SELECT *, trim(regexp_replace(nfc_normalize(text), '{_SPACES}', ' ', 'g')) AS t FROM {source})),
+    ce AS (SELECT *, list_max(list_filter(range(1, CAST(most AS BIGINT) + 1), lambda i: regexp_matches(coalesce(ws[i], ''), '[.!?]$'))) AS e FROM cw),
+    cut AS (SELECT {columns}t, most, CASE WHEN len(ws) <= most OR e IS NULL THEN t ELSE array_to_string(ws[1:e], ' ') END AS answer FROM ce)"""
+
+
 ORACLES = {
+    "compaction": f"WITH {_compact('conversations', 'conv_id, turn, ', '30')} SELECT conv_id, turn, answer FROM cut",
+    "compaction_proof": f"""WITH a AS (SELECT text FROM conversations WHERE role = 'assistant' AND trim(text) <> ''),
+    m AS (SELECT quantile_disc(len(string_split(trim(regexp_replace(nfc_normalize(text), '{_SPACES}', ' ', 'g')), ' ')), 0.5) AS most FROM a), {_compact('a', '', '(SELECT most FROM m)')}
+    SELECT count(*) AS answers, count(*) FILTER (t <> answer) AS changed, CAST(sum(length(t) - length(answer)) AS BIGINT) AS removed_characters, bool_and(starts_with(t, answer)) AS passed, CAST(max(most) AS BIGINT) AS maximum FROM cut""",
     "token_stats": f"WITH t AS (SELECT lang, len({_TOK}) AS n FROM documents) SELECT lang, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS total, {_DISC(0.5)} AS p50, {_DISC(0.95)} AS p95, {_DISC(0.99)} AS p99, max(n) AS longest FROM t GROUP BY lang",
     "token_windows": _WINDOWS + "SELECT id, CAST(s / 448 AS BIGINT) AS window_no, s AS first_token, len(w) AS tokens, sha256(array_to_string(w, ' ')) AS checksum FROM x",
     "window_report": _WINDOWS + f", t2 AS (SELECT CAST(s = 0 AS BIGINT) AS first, len(w) AS n FROM x) SELECT first, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS total, {_DISC(0.5)} AS p50, {_DISC(0.95)} AS p95, {_DISC(0.99)} AS p99, max(n) AS longest FROM t2 GROUP BY first",

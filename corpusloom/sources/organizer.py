@@ -18,35 +18,88 @@ CHUNK = "chunk_id string, context_id string, source_url string, hierarchy_path a
 ALIAS = "schema_version string, document_number string, document_number_key string, context_id string, source_kind string, canonical_start int, canonical_end int, review_state string"
 
 
-def json_problem(data: bytes | None) -> str | None:
-    """The code of what is wrong with a JSON document, null if nothing: encoding, syntax, duplicate members, non-finite numbers."""
+class _Problem(Exception):
+    pass
+
+
+def _decoded(data: bytes | None):
+    """The value of a JSON document, objects as lists of pairs; a _Problem for its encoding, syntax, repeated members and numbers that are not finite."""
     try:
         text = (data or b"").decode("utf-8-sig")
     except UnicodeDecodeError:
-        return "DATA_ENCODING"
-
-    def members(pairs):
-        if len({k for k, _ in pairs}) != len(pairs):
-            raise KeyError
-        return dict(pairs)
+        raise _Problem("DATA_UTF8_INVALID") from None
 
     def constant(_):
-        raise ArithmeticError
+        raise _Problem("DATA_NON_FINITE")
+
+    def pairs(found):
+        names = [k for k, _ in found]
+        if len(set(names)) < len(names):
+            raise _Problem(f"DATA_DUPLICATE_KEY {next(k for i, k in enumerate(names) if k in names[:i])}")
+        return dict(found)
 
     try:
-        json.loads(text, object_pairs_hook=members, parse_constant=constant)
-    except KeyError:
-        return "DATA_DUPLICATE_KEY"
-    except ArithmeticError:
-        return "DATA_NON_FINITE"
+        return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
     except ValueError:
-        return "DATA_JSON"
+        raise _Problem("DATA_JSON") from None
+
+
+def _fields(row, at: str, needed: set, allowed: set) -> None:
+    if not isinstance(row, dict):
+        raise _Problem(f"DATA_ROOT_TYPE {at}")
+    for code, names in (("DATA_FIELD_MISSING", needed - row.keys()), ("DATA_FIELD_UNKNOWN", row.keys() - allowed)):
+        if names:
+            raise _Problem(f"{code} {at}.{min(names)}")
+
+
+def _typed(ok: bool, code: str, at: str) -> None:
+    if not ok:
+        raise _Problem(f"{code} {at}")
+
+
+def question_problem(data: bytes | None, kind: str = "train") -> str | None:
+    """What is wrong with an object of questions, as a code and the place, null if nothing. Train answers are filled strings, public ones null."""
+    try:
+        value = _decoded(data)
+        _typed(isinstance(value, dict), "DATA_ROOT_TYPE", "$")
+        for name, row in value.items():
+            at = f"$[{json.dumps(name, ensure_ascii=False)}]"
+            _fields(row, at, {"question", "answer"}, {"question", "answer"})
+            _typed(isinstance(row["question"], str) and bool(row["question"].strip()), "DATA_QUESTION_TYPE", f"{at}.question")
+            answer = row["answer"]
+            _typed(isinstance(answer, str) and bool(answer.strip()) if kind == "train" else answer is None, "DATA_ANSWER_TYPE", f"{at}.answer")
+    except _Problem as problem:
+        return str(problem)
+    return None
+
+
+def context_problem(data: bytes | None, name: str | None) -> str | None:
+    """What is wrong with the context of a file, null if nothing: the id is the JSON integer of the file's name, name is optional."""
+    try:
+        row = _decoded(data)
+        _fields(row, "$", {"id", "link", "passage"}, {"id", "link", "passage", "name"})
+        _typed(type(row["id"]) is int and f"context_{row['id']}.json" == name, "DATA_CONTEXT_ID_TYPE", "$.id")
+        _typed(isinstance(row["link"], str), "DATA_CONTEXT_LINK_INVALID", "$.link")
+        _typed(isinstance(row["passage"], str), "DATA_CONTEXT_PASSAGE_TYPE", "$.passage")
+        _typed(isinstance(row.get("name", ""), str), "DATA_CONTEXT_NAME_TYPE", "$.name")
+    except _Problem as problem:
+        return str(problem)
     return None
 
 
 @F.pandas_udf(T.StringType())
-def json_problem_of(data: pd.Series) -> pd.Series:
-    return data.map(json_problem)
+def question_problem_of(data: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([question_problem(d, k) for d, k in zip(data, kind)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def context_problem_of(data: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([context_problem(d, n) for d, n in zip(data, name)], dtype=object)
+
+
+def _sound(df: DataFrame) -> DataFrame:
+    """df, whose column problem is null; the first problem that is not is raised."""
+    return df.where(F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(F.lit(True))).drop("problem")
 
 
 def _require(df: DataFrame, ok: Column, code: str) -> DataFrame:
@@ -54,33 +107,33 @@ def _require(df: DataFrame, ok: Column, code: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str, kind: str = "train") -> DataFrame:
-    """Rows (question_id, source_position, question, answer, answer_state) of a JSON object keyed by id; train answers are filled, public ones null."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    raw = raw.withColumn("problem", json_problem_of("content"))
-    raw = raw.where(F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(F.lit(True)))
-    obj = F.from_json(F.col("content").cast("string"), "map<string,map<string,string>>")
-    rows = raw.select(F.posexplode(F.map_entries(obj)).alias("source_position", "e")).select("source_position", F.col("e.key").alias("question_id"), F.col("e.value").alias("v"))
-    rows = _require(rows, F.array_sort(F.map_keys("v")) == F.array(F.lit("answer"), F.lit("question")), "DATA_FIELDS")
-    rows = rows.select("question_id", "source_position", F.col("v")["question"].alias("question"), F.col("v")["answer"].alias("answer"))
-    filled = F.col("answer").isNotNull() & (F.trim("answer") != "")
-    rows = _require(rows, filled if kind == "train" else F.col("answer").isNull(), "DATA_ANSWER_STATE")
-    return rows.withColumn("answer_state", F.lit("gold" if kind == "train" else "unlabeled"))
+    """Rows (question_id, source_position, source_checksum, bom, question, answer, answer_state) of a JSON object keyed by id; train answers are filled, public ones null.
+
+    Types are those of the JSON: a number is no text. A byte order mark is accepted and told in bom. Anything else fails with a code and its place.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    raw = _sound(raw.withColumn("problem", question_problem_of("content", F.lit(kind))))
+    obj = F.from_json(F.regexp_replace(F.col("content").cast("string"), "^\uFEFF", ""), "map<string,struct<question:string,answer:string>>")
+    told = [F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_checksum"), (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("bom")]
+    rows = raw.select(*told, F.posexplode(F.map_entries(obj)).alias("source_position", "e"))
+    return rows.select(F.col("e.key").alias("question_id"), "source_position", "source_checksum", "bom", F.col("e.value.question").alias("question"), F.col("e.value.answer").alias("answer"), F.lit("gold" if kind == "train" else "unlabeled").alias("answer_state"))
 
 
 def read_contexts(spark: SparkSession, directory: str) -> DataFrame:
     """Rows (context_id, source_position, source_artifact, source_checksum, name, source_url, passage, indexable, quarantine_reason) of context_*.json files.
 
-    The id must be the integer in the file's name, the link an absolute HTTP(S) URL; an empty passage is quarantined, not dropped.
+    The id must be a JSON integer and that in the file's name, the link an absolute HTTP(S) URL; members besides id, link, passage and name, repeated members and other types fail
+    with a code, their place and the file. Ids must differ. An empty passage is quarantined, not dropped.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "context_*.json").load(directory)
     limits = raw.agg(F.count("*").alias("n"), F.max("length").alias("m"), F.sum("length").alias("s")).first()
     if limits["n"] > MAX_FILES or (limits["m"] or 0) > MAX_FILE or (limits["s"] or 0) > MAX_TOTAL:
         raise ValueError("DATA_LIMITS")
-    raw = raw.withColumn("problem", json_problem_of("content")).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
-    raw = raw.where(F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("problem", F.lit(" "), "file")).cast("boolean")).otherwise(F.lit(True)))
-    rows = raw.select("file", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_checksum"), F.from_json(F.col("content").cast("string"), "id string, link string, passage string, name string").alias("j"))
-    rows = _require(rows, F.col("j.id") == F.regexp_extract("file", r"^context_([0-9]+)\.json$", 1), "DATA_ID")
-    rows = _require(rows, tx.http_url_ok(F.col("j.link")), "DATA_URL")
+    raw = raw.withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    raw = _sound(raw.withColumn("problem", F.concat_ws(" ", context_problem_of("content", "file"), "file")).withColumn("problem", F.when(F.col("problem") != F.col("file"), F.col("problem"))))
+    text = F.regexp_replace(F.col("content").cast("string"), "^\uFEFF", "")
+    rows = raw.select("file", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("source_checksum"), F.from_json(text, "id string, link string, passage string, name string").alias("j"))
+    rows = _require(rows, tx.http_url_ok(F.col("j.link")), "DATA_CONTEXT_LINK_INVALID")
     passage = tx.nfc_exact(F.coalesce("j.passage", F.lit("")))
     rows = rows.select(F.col("j.id").alias("context_id"), F.col("file").alias("source_artifact"), "source_checksum", F.col("j.name").alias("name"), F.col("j.link").alias("source_url"), passage.alias("passage"))
     blank = ~F.col("passage").rlike(r"\S")

@@ -39,6 +39,8 @@ def test_normal_forms(spark):
     assert one(spark, tx.character_ngrams, "abcdefabcde") == ["abcde", "bcdef", "cdefa", "defab", "efabc", "fabcd"]
     assert one(spark, tx.character_ngrams, "abc") == ["abc"] and one(spark, tx.character_ngrams, "") == []
     assert one(spark, lambda c: tx.compacted(c, 4), "One two. Three four five. Six.") == "One two."
+    assert one(spark, lambda c: tx.compacted(c, 9), "  E\u0301 \n\t x\u00a0y ") == "\u00c9 x y"
+    assert one(spark, lambda c: tx.compacted(c, 2), "no end at all") == "no end at all"
     assert one(spark, tx.redacted, "password=abc at /home/x/y") == "[REDACTED] at [PATH]"
 
 
@@ -183,6 +185,25 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"1": {"question": "a", "answer": "b", "answer": "c"}}')
     with pytest.raises(Exception, match="DATA_DUPLICATE_KEY"):
         organizer.read_questions(spark, str(tmp_path / "bad.json")).collect()
+    golden = {
+        "train": [(b"[]", "DATA_ROOT_TYPE $"), (b'{"1":{"question":"a","question":"b","answer":"c"}}', "DATA_DUPLICATE_KEY"), (b'{"1":{"question":"a","answer":null}}', 'DATA_ANSWER_TYPE $["1"].answer'), (b'{"1":{"question":"a","answer":7}}', "DATA_ANSWER_TYPE")],
+        "public": [(b'{"1":{"question":"a"}}', 'DATA_FIELD_MISSING $["1"].answer'), (b'{"1":{"question":4,"answer":null}}', 'DATA_QUESTION_TYPE $["1"].question'), (b'{"1":{"question":"a","answer":null,"extra":1}}', "DATA_FIELD_UNKNOWN"), (b'{"1":{"question":"\xff","answer":null}}', "DATA_UTF8_INVALID"), (b'{"1":{"question":"a","answer":"b"}}', "DATA_ANSWER_TYPE")],
+    }
+    for kind, cases in golden.items():
+        for data, code in cases:
+            assert organizer.question_problem(data, kind).startswith(code), data
+    (tmp_path / "bom.json").write_bytes(b'\xef\xbb\xbf{"01":{"question":"C\xc3\xa2u h\xe1\xbb\x8fi?","answer":null}}')
+    assert [(r.question_id, r.question, r.answer, r.answer_state, r.bom) for r in organizer.read_questions(spark, str(tmp_path / "bom.json"), "public").collect()] == [("01", "Câu hỏi?", None, "unlabeled", True)]
+    link = b'"link":"https://example.invalid/2"'
+    for data, code in ((b'{"id":"2",' + link + b',"passage":"x"}', "DATA_CONTEXT_ID_TYPE $.id"), (b'{"id":true,' + link + b',"passage":"x"}', "DATA_CONTEXT_ID_TYPE"), (b'{"id":2,"passage":"x"}', "DATA_FIELD_MISSING $.link"), (b'{"id":2,' + link + b',"passage":null}', "DATA_CONTEXT_PASSAGE_TYPE $.passage"), (b'{"id":2,' + link + b',"passage":"x","extra":1}', "DATA_FIELD_UNKNOWN $.extra")):
+        assert organizer.context_problem(data, "context_2.json").startswith(code), data
+    (tmp_path / "strict").mkdir()
+    (tmp_path / "strict" / "context_2.json").write_bytes(b'{"id":2,"link":"relative","passage":"x"}')
+    with pytest.raises(Exception, match="DATA_CONTEXT_LINK_INVALID"):
+        organizer.read_contexts(spark, str(tmp_path / "strict")).collect()
+    (tmp_path / "strict" / "context_2.json").write_bytes(b'{"id":"2",' + link + b',"passage":"x"}')
+    with pytest.raises(Exception, match="DATA_CONTEXT_ID_TYPE"):
+        organizer.read_contexts(spark, str(tmp_path / "strict")).collect()
     for i, passage in ((10, "text"), (9, " ")):
         (tmp_path / f"context_{i}.json").write_text(json.dumps({"id": i, "link": "https://a.vn/x", "passage": passage}))
     got = organizer.read_contexts(spark, str(tmp_path)).orderBy("source_position").collect()
