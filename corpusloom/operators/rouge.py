@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import resample
 
 _TOKENS = re.compile("[a-z0-9]+")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    spots = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when(F.size(tokens) >= n, F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def fmeasure(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
 def rouge_n(pairs: DataFrame, n: int = 1) -> DataFrame:
     """Rows (id, precision, recall, fmeasure) of pairs (id, reference, prediction), by clipped counts of n-grams."""
-    g = pairs.select("id", _grams(tx.rouge_tokens(F.col("reference")), n).alias("r"), _grams(tx.rouge_tokens(F.col("prediction")), n).alias("p"))
-    count = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + 1)
-    inside = F.aggregate(F.array_distinct("r"), F.lit(0), lambda s, x: s + F.least(count(F.filter("r", lambda y: y == x)), count(F.filter("p", lambda y: y == x))))
-    both = g.select("id", inside.alias("hit"), F.size("r").alias("nr"), F.size("p").alias("np"))
-    precision, recall = F.when(F.col("np") > 0, F.col("hit") / F.col("np")).otherwise(0.0), F.when(F.col("nr") > 0, F.col("hit") / F.col("nr")).otherwise(0.0)
-    return both.select("id", precision.alias("precision"), recall.alias("recall")).withColumn("fmeasure", fmeasure(F.col("precision"), F.col("recall")))
+    kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "fmeasure")])
+
+    @F.pandas_udf(kind)
+    def clipped(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+        grams = lambda t: Counter(zip(*[t[i:] for i in range(n)]))
+        rows = []
+        for r, p in zip(reference, prediction):
+            a, b = grams(_tokens(r)), grams(_tokens(p))
+            rows.append(_scores((a & b).total(), b.total(), a.total()))
+        return pd.DataFrame(rows, columns=kind.names)
+
+    return pairs.select("id", clipped("reference", "prediction").alias("s")).select("id", "s.*")
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -139,25 +140,9 @@ def multi_reference(scores: DataFrame, column: str = "fmeasure") -> DataFrame:
     return scores.groupBy("id").agg(F.max(column).alias(column))
 
 
-def bootstrap(pairs: DataFrame, seed: str, resamples: int = 10_000, rows_limit: int = 1_000_000) -> DataFrame:
-    """One row (n, delta, low, high): the mean paired difference of pairs (id, base, new) and its 95 percent interval.
-
-    Differences are resampled in id order by PCG64 seeded from SHA-256; the limits are linear quantiles. More
-    rows than rows_limit raise an error, as a resample is drawn in one task.
-    """
-
-    def run(table):
-        import pyarrow as pa
-
-        d = np.array([n - b for _, b, n in sorted(zip(table.column("id").to_pylist(), table.column("base").to_pylist(), table.column("new").to_pylist()))])
-        if len(d) > rows_limit:
-            raise ValueError("too many rows to resample")
-        rng = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(seed.encode()).digest(), "big")))
-        means = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(resamples)])
-        low, high = np.quantile(means, [0.025, 0.975], method="linear")
-        return pa.table({"n": [len(d)], "delta": [float(d.mean())], "low": [float(low)], "high": [float(high)]})
-
-    return pairs.select(F.lit(1).alias("g"), "id", F.col("base").cast("double").alias("base"), F.col("new").cast("double").alias("new")).groupBy("g").applyInArrow(run, "n long, delta double, low double, high double")
+def bootstrap(pairs: DataFrame, seed: str, resamples: int = 10_000) -> DataFrame:
+    """One row (n, delta, low, high): the mean paired difference of pairs (id, base, new) and its 95 percent interval, see `resample`."""
+    return resample.interval(pairs, seed, resamples)
 
 
 def generation_gate(meteor_delta: float, meteor_low: float, rouge_delta: float, runtime_ratio: float) -> list[str]:

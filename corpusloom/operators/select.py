@@ -10,6 +10,10 @@ _KEPT = "array<struct<evidence_id:string,context_id:string,path:array<string>,st
 _STATE = f"struct<kept:{_KEPT},seen:array<string>,cost:bigint,decisions:array<struct<evidence_id:string,rank:int,decision:string,reason:string>>>"
 
 
+#: Cells that ratios between 0 and 1 fall into.
+CELLS = 4096
+
+
 def select_evidence(candidates: DataFrame, budget: int, count: int = 3, overlap: float = 0.8, relative: float | None = None) -> DataFrame:
     """Rows (question_id, evidence_id, rank, decision, reason) of candidates in rank order; a pool is at most a few hundred rows.
 
@@ -92,8 +96,14 @@ def calibrate_threshold(candidates: DataFrame, thresholds: DataFrame | None = No
     r = candidates.select(F.round(F.when(lead > 0, F.col("score") / lead).otherwise(0.0), 9).alias("ratio"), F.col("positive").cast("int").alias("p"))
     ends = candidates.sparkSession.createDataFrame([(0.0, 0), (1.0, 0)], "ratio double, p int").select("ratio", F.lit(0).alias("n"), F.lit(0).alias("tp"))
     counts = r.groupBy("ratio").agg(F.count("*").alias("n"), F.sum("p").alias("tp")).unionByName(ends).groupBy("ratio").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
-    above = Window.orderBy(F.col("ratio").desc())  # as many rows as there are distinct ratios
-    c = counts.select("ratio", F.sum("n").over(above).alias("selected"), F.sum("tp").over(above).alias("tp"), F.sum("tp").over(Window.partitionBy()).alias("positives"))
+    # ratios fall into cells; only the cells' sums meet in one task, and a cell has no more ratios than nine digits can tell apart
+    counts = counts.withColumn("cell", F.floor(F.col("ratio") * CELLS))
+    inside = Window.partitionBy("cell").orderBy(F.col("ratio").desc())
+    higher = Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    sums = sums.select("cell", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"), F.coalesce(F.sum("tp").over(higher), F.lit(0)).alias("tp_above"), F.sum("tp").over(Window.partitionBy()).alias("positives"))
+    c = counts.withColumns({"n": F.sum("n").over(inside), "tp": F.sum("tp").over(inside)}).join(F.broadcast(sums), "cell")
+    c = c.select("ratio", (F.col("n") + F.col("n_above")).alias("selected"), (F.col("tp") + F.col("tp_above")).alias("tp"), "positives")
     f1 = F.when(F.col("selected") + F.col("positives") > 0, 2 * F.col("tp") / (F.col("selected") + F.col("positives"))).otherwise(0.0)
     return c.select(
         F.col("ratio").alias("threshold"), "tp", "selected", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("selected")), F.lit(0.0)).alias("precision"),

@@ -219,11 +219,9 @@ def win_tie_loss(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    from corpusloom.operators.rouge import bootstrap
-
     lab = labels(spark, d)
     a, b = (metrics.discovery_arm(r, lab).select(F.col("question_id").alias("id"), F.col("rr").alias(n)) for r, n in zip(rankings(spark, d), ("base", "new")))
-    return bootstrap(a.join(b, "id"), "paired")
+    return rouge.bootstrap(a.join(b, "id"), "paired")
 
 
 def ltr_features(spark, d):
