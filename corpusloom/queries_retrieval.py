@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries_corpus
 from corpusloom.functions import text as tx
-from corpusloom.operators import blockmax, corpus, dense, fuse, index, metrics, retrieve, rouge, select
+from corpusloom.operators import blockmax, boost, corpus, dense, fuse, index, metrics, retrieve, rouge, select, split
 from corpusloom.plans.materialize import fresh_path, written
 
 DEPTH = 50
@@ -241,6 +241,31 @@ def fusion_features(spark, d):
     return r6(out, "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
 
 
+def _learned(spark, d):
+    """Of the candidates with all features: a learned ranking of the validation questions, fitted on the others, and the fixed fusion of both rankings for the same questions."""
+    rows = written(fusion_features(spark, d), "learned-rows")
+    parts = split.group_split(rows.select(F.col("question_id").alias("id")).distinct(), "learned.v1").withColumnRenamed("id", "question_id")
+    rows = rows.join(parts, "question_id")
+    features = [c for c in rows.columns if c not in ("question_id", "chunk_id", "label", "partition")]
+    model = boost.fit(rows.where("partition = 'fit'"), features, boost.Recipe(trees=8, rate=0.2))
+    held = rows.where("partition = 'validation'")
+    fixed = [held.select("question_id", "chunk_id", F.col(c).alias("rank")).where(F.col("rank") <= DEPTH) for c in ("bm25_rank", "dense_rank")]
+    return boost.predict(model, held, DEPTH), fuse.reciprocal_rank_fusion(fixed), held.where("label > 0").select("question_id", "chunk_id")
+
+
+def learned_ranking(spark, d):
+    return r6(_learned(spark, d)[0], "score")
+
+
+def learned_gate(spark, d):
+    """The held-out comparison of the learned ranking with the fixed fusion, and whether it may stand."""
+    learned, fixed, positive = _learned(spark, d)
+    a, b = (metrics.discovery_arm(r, positive).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("hit_at_10", "hit_at_50", "set_at_50", "rr")], F.count("*").alias("n")).first() for r in (learned, fixed))
+    deltas = {"recall_at_10": a[0] - b[0], "recall_at_50": a[1] - b[1], "set_recall_at_50": a[2] - b[2], "mrr_at_50": a[3] - b[3]}
+    row = [(a["n"], *[round(x, 6) for x in deltas.values()], boost.gate(deltas))]
+    return spark.createDataFrame(row, "questions long, " + ", ".join(f"{k} double" for k in deltas) + ", passes boolean")
+
+
 def _pool(spark, d):
     c = chunks(spark, d).select("chunk_id", "context_id", "path", "start", "end", tx.word_count(F.col("text")).alias("cost"))
     return sparse(spark, d, 20).join(c, "chunk_id").withColumnRenamed("chunk_id", "evidence_id")
@@ -286,7 +311,7 @@ QUERIES = {f.__name__: f for f in (
     bm25_topk, legal_sparse, lexical_topk, cosine_topk, dense_store_topk, dense_drift, vector_audit, rrf_fusion, union_rank, sparse_dense_diagnosis, union_coverage, ranking_parity, per_question_metrics, recall_mrr,
     ndcg10, answer_containment, pair_redundancy, failure_class, failure_counts, pearson_metrics, arm_comparison, discovery_arm, win_tie_loss, bootstrap_ci, ltr_features, admission_budget,
     bounded_oracle, evidence_select, packing_calibration, packing_threshold, evidence_mining, answer_coverage, set_metrics, set_failure_counts, set_report, set_correlations, failure_overlaps,
-    fusion_features, question_retrieval, context_chunks,
+    fusion_features, learned_ranking, learned_gate, question_retrieval, context_chunks,
 )}
 
 # ---- SQL counterparts ----
