@@ -33,11 +33,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns the table read back."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder, with the writer's options, and returns the table read back."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     release(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._corpusloom_path = path
