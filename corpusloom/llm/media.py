@@ -15,8 +15,10 @@ A frame holds 2,048 payload bytes, so a shot has that many at least, or what the
 Null text is an empty payload of 64 zero bytes; payloads are padded with zero bytes to a multiple of 64.
 Every row is handled by itself, so equal texts give equal values and repeated rows are repeated.
 
-to_media makes the media column and read_media reads one, by the stored bytes alone; between the two stands a table, or, as in the query, whose
-disk is bounded below the files' size, a column that goes from one Python stage to the next.
+Long texts are long files, each a row of its own batch where it must. Empty tables give empty results; of docs only the id and the text are read, and read_media
+keeps what other columns its table has.
+
+to_media makes the media column, stored writes it as a compressed table into the shared folder, and read_media reads that by the stored bytes alone.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import in_arrow, slices, table
+from corpusloom.plans.materialize import written
 
+#: How the stored column is compressed.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 BLOCK, FRAME, RATE = 64, 32, 25
 BINS, MEMORY, DEVIATIONS, FLOOR = 16, 8, 2.5, 0.1
 _RAISED = 256
@@ -376,7 +381,12 @@ def clip_rows(media: DataFrame) -> DataFrame:
     return media.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.*")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """The media column written as a table in the shared folder and read from there; quantised bytes still compress, so pages are packed tightly."""
+    return written(media, "media", **PACKED)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = read_media(to_media(table(spark, sf_dir, "documents")))
+    out = read_media(stored(to_media(table(spark, sf_dir, "documents"))))
     feature = F.concat(F.lit("clips="), F.concat_ws(",", F.transform("clips", lambda c: F.concat(c["first_frame"].cast("string"), F.lit("-"), c["end_frame"].cast("string")))))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

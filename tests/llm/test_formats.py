@@ -109,7 +109,9 @@ def plain_jpeg(frame):
 def test_stored_media_by_another_decoder(spark):
     texts = ["", "short", "é" * 200, "words and more " * 400, "\x00\x7f" * 64, "ab" * 1024]
     docs = spark.createDataFrame([(i, t, "m") for i, t in enumerate([*texts, None, texts[1]])], "doc_id long, text string, media string")
-    stored = written(media.to_media(docs), "test-media")  # a table between writing and reading
+    stored = media.stored(media.to_media(docs))
+    plan = media.read_media(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FileScan parquet" in plan  # what is read comes from the table
     files = {r.doc_id: (r.n_bytes, bytes(r.media)) for r in stored.collect()}
     got = {r.doc_id: r for r in media.read_media(stored).collect()}
     for i, t in enumerate([*texts, None, texts[1]]):
