@@ -11,7 +11,7 @@ in no archive, it has what its own header states, in SHA-256 or not at all.
 A payload of at least LEAST bytes that an earlier page, one with a smaller page_id, has already is not stored
 again: its record is a revisit that names the earlier page and keeps the payload's size and digest. Null html
 is an empty payload. Rows with a null page_id are always responses. Repeated rows are revisits of themselves
-only if their page_id is larger, so repeated page_ids are all responses.
+only if their page_id is larger, so repeated page_ids are all responses. Empty tables give no archives and no records; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -164,12 +164,11 @@ def _archived(batches):
 def write_archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html); returns the table of archives (archive, content)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    marks = p.select("page_id", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("digest")).where(f"n >= {least} AND page_id IS NOT NULL").drop("n")
-    marks = written(marks, "warc-marks")
-    first = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = marks.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    same = p.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha2("html", 256)))
-    told = same.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    # short payloads have keys of their own, so only repeats can meet in numbers; a popular digest's rows are split by Spark, since nothing above the join needs them together
+    long = F.coalesce(F.col("page_id").isNotNull() & (F.octet_length("html") >= least), F.lit(False))
+    keyed = p.withColumn("key", F.when(long, F.sha2("html", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "html").cast("string"))))
+    first = keyed.where(long).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    told = keyed.join(first, "key", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
     return written(in_arrow(told, _archived, "archive string, content binary"), "warc-archives")
 
 
