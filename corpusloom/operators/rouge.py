@@ -1,4 +1,4 @@
-"""Answer scores: ROUGE-N on built-in expressions, ROUGE-L, ROUGE-Lsum and the stem-free METEOR by Arrow functions, paired comparison."""
+"""Answer scores: ROUGE-N, ROUGE-L and ROUGE-Lsum with and without stems, METEOR without synonyms, by Arrow functions; paired comparison."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions import text as tx
+from corpusloom.functions.stem import stem
 from corpusloom.operators import resample
 
 _TOKENS = re.compile("[a-z0-9]+")
@@ -21,7 +21,7 @@ def fmeasure(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def rouge_n(pairs: DataFrame, n: int = 1) -> DataFrame:
+def rouge_n(pairs: DataFrame, n: int = 1, stems: bool = False) -> DataFrame:
     """Rows (id, precision, recall, fmeasure) of pairs (id, reference, prediction), by clipped counts of n-grams."""
     kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "fmeasure")])
 
@@ -30,15 +30,17 @@ def rouge_n(pairs: DataFrame, n: int = 1) -> DataFrame:
         grams = lambda t: Counter(zip(*[t[i:] for i in range(n)]))
         rows = []
         for r, p in zip(reference, prediction):
-            a, b = grams(_tokens(r)), grams(_tokens(p))
+            a, b = grams(_tokens(r, stems)), grams(_tokens(p, stems))
             rows.append(_scores((a & b).total(), b.total(), a.total()))
         return pd.DataFrame(rows, columns=kind.names)
 
     return pairs.select("id", clipped("reference", "prediction").alias("s")).select("id", "s.*")
 
 
-def _tokens(text: str | None) -> list[str]:
-    return _TOKENS.findall((text or "").lower())
+def _tokens(text: str | None, stems: bool = False) -> list[str]:
+    """Runs of letters and digits of the lower-cased text; with stems, those of over three characters as their stems."""
+    found = _TOKENS.findall((text or "").lower())
+    return [stem(t) if len(t) > 3 else t for t in found] if stems else found
 
 
 def _lcs_rows(a: list[str], b: list[str]) -> list[list[int]]:
@@ -83,8 +85,8 @@ def _union_lcs(reference: list[str], others: list[list[str]]) -> set[int]:
     return used
 
 
-def _lsum(reference: str, prediction: str) -> tuple[float, float, float]:
-    refs, preds = ([_tokens(s) for s in (t or "").split("\n") if s] for t in (reference, prediction))
+def _lsum(reference: str, prediction: str, stems: bool = False) -> tuple[float, float, float]:
+    refs, preds = ([_tokens(s, stems) for s in (t or "").split("\n") if s] for t in (reference, prediction))
     n_ref, n_pred = sum(map(len, refs)), sum(map(len, preds))
     left, right = {}, {}
     for side, counts in ((refs, left), (preds, right)):
@@ -116,23 +118,50 @@ def _meteor_exact(reference: str, prediction: str) -> float:
     return mean * (1 - 0.5 * (breaks / len(match)) ** 3)
 
 
+def aligned(prediction: list[str], reference: list[str], stages) -> list[tuple[int, int]]:
+    """Pairs of places of equal words, stage by stage: a stage maps words to what has to agree. From the end on, each word takes the last one left that agrees with it."""
+    left, right, found = list(range(len(prediction))), list(range(len(reference))), []
+    for view in stages:
+        free: dict[str, list[int]] = {}
+        for j in right:
+            free.setdefault(view(reference[j]), []).append(j)
+        taken = [(i, free[key].pop()) for i in reversed(left) if free.get(key := view(prediction[i]))]
+        found += taken
+        used, met = {i for i, _ in taken}, {j for _, j in taken}
+        left, right = [i for i in left if i not in used], [j for j in right if j not in met]
+    return sorted(found)
+
+
+def _meteor_stem(reference: str, prediction: str) -> float:
+    """METEOR with matches of forms, then of stems; synonyms are left out. Chunks are runs of matches that follow each other on both sides."""
+    r, p = ((t or "").lower().split() for t in (reference, prediction))
+    match = aligned(p, r, (str, stem))
+    if not match:
+        return 0.0
+    precision, recall = len(match) / len(p), len(match) / len(r)
+    chunks = 1 + sum(y != (x[0] + 1, x[1] + 1) for x, y in zip(match, match[1:]))
+    return precision * recall / (0.9 * precision + 0.1 * recall) * (1 - 0.5 * (chunks / len(match)) ** 3)
+
+
 _SCORES = ["rouge_l", "rouge_l_precision", "rouge_l_recall", "rouge_lsum", "meteor_exact"]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in _SCORES]))
-def sequence_scores(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
-    """ROUGE-L, ROUGE-Lsum (lines as sentences) and METEOR by exact matches of each pair."""
-    out = []
-    for r, p in zip(reference, prediction):
-        a, b = _tokens(r), _tokens(p)
-        precision, recall, f = _scores(lcs_length(a, b), len(b), len(a))
-        out.append((f, precision, recall, _lsum(r, p)[2], _meteor_exact(r, p)))
-    return pd.DataFrame(out, columns=_SCORES)
+def answer_scores(pairs: DataFrame, stems: bool = False) -> DataFrame:
+    """Rows (id, rouge_l, rouge_l_precision, rouge_l_recall, rouge_lsum, meteor_exact) of pairs (id, reference, prediction), lines as sentences; with stems, meteor_stem
+    stands for meteor_exact and ROUGE compares stems."""
+    names = [*_SCORES[:-1], "meteor_stem"] if stems else _SCORES
+    meteor = _meteor_stem if stems else _meteor_exact
 
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def scores(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, p in zip(reference, prediction):
+            a, b = _tokens(r, stems), _tokens(p, stems)
+            precision, recall, f = _scores(lcs_length(a, b), len(b), len(a))
+            out.append((f, precision, recall, _lsum(r, p, stems)[2], meteor(r, p)))
+        return pd.DataFrame(out, columns=names)
 
-def answer_scores(pairs: DataFrame) -> DataFrame:
-    """Rows (id, rouge_l, rouge_l_precision, rouge_l_recall, rouge_lsum, meteor_exact) of pairs (id, reference, prediction)."""
-    return pairs.select("id", sequence_scores("reference", "prediction").alias("s")).select("id", "s.*")
+    return pairs.select("id", scores("reference", "prediction").alias("s")).select("id", "s.*")
 
 
 def multi_reference(scores: DataFrame, column: str = "fmeasure") -> DataFrame:

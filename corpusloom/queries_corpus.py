@@ -170,6 +170,11 @@ def rouge_l(spark, d):
     return rouge.answer_scores(_answer_pairs(spark, d))
 
 
+def answer_scores_stem(spark, d):
+    """ROUGE-L and METEOR with stems."""
+    return rouge.answer_scores(_answer_pairs(spark, d), stems=True)
+
+
 def rouge_aggregate(spark, d):
     """Percentiles of resampled means of ROUGE-1 over all answer pairs."""
     scores = rouge.rouge_n(_answer_pairs(spark, d), 1)
@@ -327,7 +332,7 @@ def hard_negatives(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     token_stats, token_windows, window_report, largest_documents, length_summary, hash_split, group_split, char_5gram_neardup, components, split_manifest, cross_overlaps, stratified_sample,
-    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, rouge_aggregate, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
+    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, answer_scores_stem, rouge_aggregate, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
     forensics_summary, legal_patterns, containment_pairs, submission_check, resume_remaining, param_audit, dataset_policy, alias_headers, exact_resolve, hierarchy_chunks, hierarchy_warnings,
     citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, question_resolution, document_warnings, answer_citations, answer_supervision,
     question_types,
