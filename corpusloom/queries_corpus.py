@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
-from corpusloom.operators import corpus, index, metrics, resample, retrieve, rouge, split, training
-from corpusloom.plans.materialize import written
+from corpusloom.operators import corpus, freeze, index, metrics, resample, retrieve, rouge, split, training
+from corpusloom.plans.materialize import fresh_path, written
 from corpusloom.sources import sinks
 from corpusloom.streaming import remaining
 
@@ -254,6 +254,15 @@ def exact_resolve(spark, d):
     return _resolved(_questions(spark), _contexts(spark))
 
 
+def alias_freeze(spark, d):
+    """Documents named by the one mail address in them, as no document has a number of a law: proposed, frozen, opened again and verified."""
+    c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("context_id"), F.col("text").alias("passage"))
+    found = freeze.proposed(c, lambda t: F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"), F.lit(0)), F.lower, head=4096)
+    path = fresh_path(spark, "aliases")
+    freeze.freeze(found, c, path, freeze.approval(found), F.lower)
+    return freeze.open_frozen(spark, path, c, F.lower).select("place", "document_key", "context_id", "canonical_start", "canonical_end")
+
+
 def question_resolution(spark, d):
     return _resolved(_asked(spark, d), _passages(spark, d))
 
@@ -334,7 +343,7 @@ QUERIES = {f.__name__: f for f in (
     token_stats, token_windows, window_report, largest_documents, length_summary, hash_split, group_split, char_5gram_neardup, components, split_manifest, cross_overlaps, stratified_sample,
     evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, answer_scores_stem, rouge_aggregate, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
     forensics_summary, legal_patterns, containment_pairs, submission_check, resume_remaining, param_audit, dataset_policy, alias_headers, exact_resolve, hierarchy_chunks, hierarchy_warnings,
-    citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, question_resolution, document_warnings, answer_citations, answer_supervision,
+    citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, alias_freeze, question_resolution, document_warnings, answer_citations, answer_supervision,
     question_types,
 )}
 
@@ -380,6 +389,10 @@ def _compact(source: str, columns: str, limit: str) -> str:
 
 
 ORACLES = {
+    "alias_freeze": r"""WITH h AS (SELECT doc_id, substr(text, 1, 4096) AS head, regexp_extract_all(substr(text, 1, 4096), '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS found FROM documents),
+    o AS (SELECT doc_id, head, found[1] AS number FROM h WHERE len(list_distinct(list_transform(found, lambda x: lower(x)))) = 1)
+    SELECT row_number() OVER (ORDER BY lower(number), doc_id, number) - 1 AS place, lower(number) AS document_key, CAST(doc_id AS VARCHAR) AS context_id, CAST(strpos(head, number) - 1 AS BIGINT) AS canonical_start,
+      CAST(strpos(head, number) - 1 + length(number) AS BIGINT) AS canonical_end FROM o""",
     "compaction": f"WITH {_compact('conversations', 'conv_id, turn, ', '30')} SELECT conv_id, turn, answer FROM cut",
     "compaction_proof": f"""WITH a AS (SELECT text FROM conversations WHERE role = 'assistant' AND trim(text) <> ''),
     m AS (SELECT quantile_disc(len(string_split(trim(regexp_replace(nfc_normalize(text), '{_SPACES}', ' ', 'g')), ' ')), 0.5) AS most FROM a), {_compact('a', '', '(SELECT most FROM m)')}
