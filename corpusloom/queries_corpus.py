@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
-from corpusloom.operators import corpus, freeze, index, metrics, resample, retrieve, rouge, split, training
+from corpusloom.operators import corpus, freeze, index, metrics, packing, resample, retrieve, rouge, split, training
 from corpusloom.plans.materialize import fresh_path, written
 from corpusloom.sources import sinks
 from corpusloom.streaming import remaining
@@ -175,6 +175,14 @@ def answer_scores_stem(spark, d):
     return rouge.answer_scores(_answer_pairs(spark, d), stems=True)
 
 
+def packed_sequences(spark, d):
+    """Answer pairs as token hashes, packed into sequences of 512 tokens."""
+    ids = lambda c: F.transform(tx.terms(F.col(c)), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(50_000)).cast("int"))
+    rows = _answer_pairs(spark, d).select(F.col("id").alias("example_id"), ids("reference").alias("prompt"), F.slice(ids("prediction"), 1, 511).alias("target")).where("size(target) > 0")
+    made = packing.packed(packing.trimmed(rows, 512), 512)
+    return made.select("sequence", F.size("example_ids").alias("examples"), F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x != packing.IGNORED)).alias("loss_tokens"), F.array_max("ends").alias("end"))
+
+
 def rouge_aggregate(spark, d):
     """Percentiles of resampled means of ROUGE-1 over all answer pairs."""
     scores = rouge.rouge_n(_answer_pairs(spark, d), 1)
@@ -341,7 +349,7 @@ def hard_negatives(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     token_stats, token_windows, window_report, largest_documents, length_summary, hash_split, group_split, char_5gram_neardup, components, split_manifest, cross_overlaps, stratified_sample,
-    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, answer_scores_stem, rouge_aggregate, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
+    evenly_spaced, delta_overlay, url_validation, content_ids, latency_quantiles, grounding_rates, rouge_n, rouge_2, rouge_l, answer_scores_stem, rouge_aggregate, packed_sequences, compaction, compaction_proof, answer_forms, extractive_answers, fixed_refusal,
     forensics_summary, legal_patterns, containment_pairs, submission_check, resume_remaining, param_audit, dataset_policy, alias_headers, exact_resolve, hierarchy_chunks, hierarchy_warnings,
     citations, supervision_classes, question_taxonomy, semantic_signals, hard_negatives, document_aliases, alias_freeze, question_resolution, document_warnings, answer_citations, answer_supervision,
     question_types,
