@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items() if name in m.QUERIES}

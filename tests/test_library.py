@@ -11,7 +11,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom import registry
+from corpusloom import queries_corpus, registry
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
 from corpusloom.operators import corpus, fuse, metrics, retrieve, rouge, select, split, training
@@ -256,9 +256,9 @@ def plain(v):
 
 @pytest.mark.parametrize("name", ["bm25_topk", "cosine_topk", "recall_mrr", "ndcg10", "union_rank", "admission_budget", "packing_calibration", "token_windows", "hash_split", "rouge_n", "supervision_classes", "exact_resolve", "latency_quantiles", "delta_overlay"])
 def test_queries_equal_sql(spark, name):
-    df = registry.queries()[name](spark, SF)
+    df = (registry.queries() | queries_corpus.ON_FIXTURE)[name](spark, SF)
     columns = sorted(df.columns)
-    rel = duck().sql(registry.oracle_sql()[name])
+    rel = duck().sql((queries_corpus.ORACLES | registry.oracle_sql())[name])
     assert sorted(rel.columns) == columns
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     assert got == sorted((tuple(plain(r[rel.columns.index(c)]) for c in columns) for r in rel.fetchall()), key=repr)

@@ -24,7 +24,7 @@ def tables(spark, tmp_path_factory):
 
 
 def rows(spark, name, d):
-    return [tuple(r) for r in registry.queries()[name](spark, d).collect()]
+    return [tuple(r) for r in (registry.queries() | queries_corpus.ON_FIXTURE)[name](spark, d).collect()]
 
 
 def renamed(found, turn):
