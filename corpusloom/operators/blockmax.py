@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ class Postings:
     avgdl: float
 
 
-def _blocked(batches):
-    """Blocks of the chunks (chunk_id, t) that a task meets."""
+def _blocked(batches, asked: list[str] | None = None):
+    """Blocks of the chunks (chunk_id, t) that a task meets; of the terms asked for only, if these are given."""
     task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def out():
@@ -56,13 +57,17 @@ def _blocked(batches):
         key = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths)
         key, tf = np.unique(key, return_counts=True)
         code, at, tf = key // n, (key % n).astype(np.int32), tf.astype(np.int32)
+        own = np.bincount(at, minlength=n).astype(np.int32)
+        if asked is not None:
+            kept = pc.is_in(coded.dictionary, value_set=pa.array(asked, coded.dictionary.type)).to_numpy(zero_copy_only=False)[code]
+            code, at, tf = code[kept], at[kept], tf[kept]
         edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
         ends = np.append(edge[1:], len(code))
         cut = lambda x: [x[s:e].tobytes() for s, e in zip(edge, ends)]
         m = len(edge)
         columns = [
             pa.array([task << 32 | made] * (m + 1), pa.int64()), pa.concat_arrays([coded.dictionary.take(pa.array(code[edge])).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array([*cut(at), None], pa.binary()), pa.array([*cut(tf), None], pa.binary()),
-            pa.array([None] * m + [whole.column("chunk_id").to_pylist()], pa.list_(pa.string())), pa.array([None] * m + [lengths.astype(np.int32).tobytes()], pa.binary()), pa.array([None] * m + [np.bincount(at, minlength=n).astype(np.int32).tobytes()], pa.binary()),
+            pa.array([None] * m + [whole.column("chunk_id").to_pylist()], pa.list_(pa.string())), pa.array([None] * m + [lengths.astype(np.int32).tobytes()], pa.binary()), pa.array([None] * m + [own.tobytes()], pa.binary()),
             pa.array([None] * m + [int(lengths.sum())], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["range", "term", "at", "tf", "names", "dl", "own", "total"])
@@ -80,15 +85,21 @@ def _blocked(batches):
         yield out()
 
 
-def build(chunks: DataFrame) -> Postings:
-    """The index of chunks (chunk_id, text), or (chunk_id, t) with the terms in order, in one pass without a shuffle. Ids must be unique; a null text has no terms."""
+def build(chunks: DataFrame, questions: DataFrame | None = None) -> Postings:
+    """The index of chunks (chunk_id, text), or (chunk_id, t) with the terms in order, in one pass without a shuffle. Ids must be unique; a null text has no terms.
+
+    With questions (question_id, question) of up to SLICE terms the index serves these alone, and has no blocks of other terms.
+    """
     told = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), (F.col("t") if "t" in chunks.columns else tx.terms(F.col("text"))).alias("t"))
-    return of(written(laid_out(told), "blocks"))
+    asked = None
+    if questions is not None:
+        asked = [r["term"] for r in questions.select(F.explode(tx.terms(F.col("question"))).alias("term")).distinct().limit(SLICE + 1).collect()]
+    return of(written(laid_out(told, asked if asked is not None and len(asked) <= SLICE else None), "blocks"))
 
 
-def laid_out(chunks: DataFrame) -> DataFrame:
+def laid_out(chunks: DataFrame, asked: list[str] | None = None) -> DataFrame:
     """The blocks of chunks (chunk_id, t), those of a task in the order of their terms, so that a scan for a few terms skips the rest of a file."""
-    return chunks.select("chunk_id", "t").mapInArrow(_blocked, _BLOCKS).sortWithinPartitions("term", "range")
+    return chunks.select("chunk_id", "t").mapInArrow(lambda batches: _blocked(batches, asked), _BLOCKS).sortWithinPartitions("term", "range")
 
 
 def of(blocks: DataFrame) -> Postings:

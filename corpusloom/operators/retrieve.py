@@ -81,18 +81,18 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).where("score > 0")
 
 
-def _postings(chunks: DataFrame | Postings) -> Postings:
-    return chunks if isinstance(chunks, Postings) else blockmax.build(chunks)
+def _postings(chunks: DataFrame | Postings, questions: DataFrame) -> Postings:
+    return chunks if isinstance(chunks, Postings) else blockmax.build(chunks, questions)
 
 
 def bm25(chunks: DataFrame | Postings, questions: DataFrame, k: int = 12) -> DataFrame:
     """BM25 ranking. chunks is (chunk_id, text), (chunk_id, t) with terms in order, or postings that blockmax has built of them; ids must be unique."""
-    return blockmax.bm25(_postings(chunks), questions, k)
+    return blockmax.bm25(_postings(chunks, questions), questions, k)
 
 
 def lexical(chunks: DataFrame | Postings, questions: DataFrame, k: int = 50) -> DataFrame:
     """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores. chunks as for bm25."""
-    return blockmax.lexical(_postings(chunks), questions, k)
+    return blockmax.lexical(_postings(chunks, questions), questions, k)
 
 
 def legal_sparse(discovered: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 50, body: float = 0.75) -> DataFrame:

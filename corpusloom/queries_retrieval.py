@@ -39,7 +39,7 @@ def second(spark, d, k=DEPTH, index=None):
 
 def rankings(spark, d):
     """Both rankings over one index."""
-    index = blockmax.build(chunks(spark, d))
+    index = blockmax.build(chunks(spark, d), questions(spark, d))
     return sparse(spark, d, index=index), second(spark, d, index=index)
 
 
@@ -233,7 +233,7 @@ def fusion_features(spark, d):
     passages = queries_corpus._passages(spark, d)
     c = written(corpus.chunked(passages).select("chunk_id", "context_id", "path", F.col("kind").alias("hierarchy_kind"), F.col("ordinal").alias("hierarchy_ordinal"), F.col("retrieval_text").alias("text")), "fusion-chunks")
     q = questions(spark, d)
-    index = blockmax.build(c)
+    index = blockmax.build(c, q)
     s, l = written(retrieve.bm25(index, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(index, q, DEPTH), "fusion-lexical")
     found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
     exact = queries_corpus._resolved(q, passages, c.withColumn("hierarchy_path", F.col("path")))
