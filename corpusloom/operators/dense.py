@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCALE = 6
-#: Vectors of a block, rows of a part.
-BLOCK, PART = 8192, 1 << 20
+#: Vectors of a block, rows of a part, queries that are scored against a block at once.
+BLOCK, PART, ASKED = 8192, 1 << 20, 64
 
 _BLOCK = "part int, block int, ids array<string>, vectors binary, rows int, error double"
 
@@ -199,13 +199,14 @@ def _met(k: int, own: bool, kind: str):
 
     def run(batches):
         for b in batches:
-            for ids, raw, rows, error, qids, qraw in zip(*[b.column(c).to_pylist() for c in ("ids", "vectors", "rows", "error", "qids", "qvectors")]):
+            for at in range(b.num_rows):  # a pair of blocks at a time
+                ids, raw, rows, error, qids, qraw = (b.column(c)[at].as_py() for c in ("ids", "vectors", "rows", "error", "qids", "qvectors"))
                 v, q = np.frombuffer(raw, kind).astype(np.float64).reshape(rows, -1), np.frombuffer(qraw, "<f8").reshape(len(qids), -1)
                 if v.shape[1] != q.shape[1]:
                     raise ValueError("vectors differ in dimension")
                 names = np.array(ids, object)
                 where, who, scores = [], [], []
-                for i, row in enumerate(q @ v.T):
+                for i, row in enumerate(row for low in range(0, len(q), ASKED) for row in q[low : low + ASKED] @ v.T):
                     if not own:
                         row[names == qids[i]] = -np.inf
                     least = np.partition(row, -k)[-k] - 2 * error - 2 * 10.0**-SCALE if rows > k else -np.inf
