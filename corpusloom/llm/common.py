@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans.arrow import in_arrow  # noqa: F401  the operators take it from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of rows that go to a Python worker at once; a longer row goes alone.
-BATCH = 8 << 20
-
-
-def in_arrow(df: DataFrame, run, kind) -> DataFrame:
-    """df.mapInArrow in batches limited by bytes. When a task ends, its worker gives the freed memory back to the machine.
-
-    Workers outlive their tasks, and an executor's memory is shared by the stages of a job, so nothing a task gathered may stay.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf.set(key, str(BATCH))
-
-    def tidied(batches):
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
-
-    return df.mapInArrow(tidied, kind)
-
-
 class WordHashes(dict):
     """bytes -> 64-bit hash. Only a cache: emptied when it holds LIMIT words, so memory stays bounded. Words over LONG bytes are not kept."""
 
