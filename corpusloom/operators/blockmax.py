@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.plans.arrow import in_arrow, tidy
 from corpusloom.plans.materialize import written
 
 #: Chunks and terms of a range at most (one longer chunk has a range of its own), terms of the questions that go out at once, terms that a scan looks for by name.
@@ -99,7 +100,7 @@ def build(chunks: DataFrame, questions: DataFrame | None = None) -> Postings:
 
 def laid_out(chunks: DataFrame, asked: list[str] | None = None) -> DataFrame:
     """The blocks of chunks (chunk_id, t), those of a task in the order of their terms, so that a scan for a few terms skips the rest of a file."""
-    return chunks.select("chunk_id", "t").mapInArrow(lambda batches: _blocked(batches, asked), _BLOCKS).sortWithinPartitions("term", "range")
+    return in_arrow(chunks.select("chunk_id", "t"), lambda batches: _blocked(batches, asked), _BLOCKS).sortWithinPartitions("term", "range")
 
 
 def of(blocks: DataFrame) -> Postings:
@@ -215,6 +216,18 @@ def _overlapping(asked: dict, k: int):
 _FOUND = "question_id string, chunk_id string, score double"
 
 
+def _by_range(groups, run) -> DataFrame:
+    """What is found in each range; a worker keeps nothing of a range that it has searched."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            tidy()
+
+    return groups.applyInArrow(tidied, _FOUND)
+
+
 def _slices(postings: Postings, questions: DataFrame):
     """For each slice of the questions: {question: [(term, idf)]}, and the blocks that it asks for, range by range."""
     q = questions.select(F.col("question_id").cast("string").alias("question_id"), F.array_distinct(tx.terms(F.col("question"))).alias("terms"))
@@ -253,9 +266,9 @@ def _all(postings: Postings, frames: list[DataFrame]) -> DataFrame:
 def _bm25(postings: Postings, questions: DataFrame, k: int, report: bool) -> DataFrame:
     frames = []
     for asked, groups in _slices(postings, questions):
-        seeds = groups.applyInArrow(_searched(asked, k, postings.avgdl, None), _FOUND)
+        seeds = _by_range(groups, _searched(asked, k, postings.avgdl, None))
         least = {r["question_id"]: r["score"] for r in _ranked(seeds, k).where(F.col("rank") == k).select("question_id", "score").collect()}
-        frames.append(groups.applyInArrow(_searched(asked, k, postings.avgdl, least, report), _FOUND))
+        frames.append(_by_range(groups, _searched(asked, k, postings.avgdl, least, report)))
     return _all(postings, frames)
 
 
@@ -271,4 +284,4 @@ def work(postings: Postings, questions: DataFrame, k: int = 12) -> DataFrame:
 
 def lexical(postings: Postings, questions: DataFrame, k: int = 50) -> DataFrame:
     """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores."""
-    return _ranked(_all(postings, [groups.applyInArrow(_overlapping(asked, k), _FOUND) for asked, groups in _slices(postings, questions)]), k)
+    return _ranked(_all(postings, [_by_range(groups, _overlapping(asked, k)) for asked, groups in _slices(postings, questions)]), k)

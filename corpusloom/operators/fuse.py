@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import legal
 from corpusloom.functions import text as tx
-from corpusloom.operators.retrieve import ranked
+from corpusloom.operators.retrieve import ranked, small
 
 MISSING_RANK = 51
 # fixed values: words that mark legal questions, and labels of coordinates in a path
@@ -64,13 +64,19 @@ def union_coverage(rankings: list[DataFrame], labels: DataFrame, cutoffs=(5, 10,
     )
 
 
+def _of_candidates(chunks: DataFrame, rankings: list[DataFrame], depth: int) -> DataFrame:
+    """The chunks that one of the rankings has among its first; they are few, so what is computed of a chunk should be computed of them alone."""
+    ids = reduce(DataFrame.unionByName, [r.where(F.col("rank") <= depth).select("chunk_id") for r in rankings])
+    return chunks.join(small(ids.distinct()), "chunk_id", "left_semi")
+
+
 def ltr_features(sparse: DataFrame, dense: DataFrame, questions: DataFrame, chunks: DataFrame, labels: DataFrame, depth: int = 50, legal_terms: tuple[str, ...] = ()) -> DataFrame:
     """The candidate table of two rankings with scores, ranks, lengths, overlaps and source flags; label 1 for positives. fusion_features adds the features of citations."""
     s = sparse.where(F.col("rank") <= depth).select("question_id", "chunk_id", F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"))
     d = dense.where(F.col("rank") <= depth).select("question_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
     both = s.join(d, ["question_id", "chunk_id"], "full_outer")
     q = questions.select("question_id", tx.terms(F.col("question")).alias("qt"))
-    c = chunks.select("chunk_id", tx.terms(F.col("text")).alias("ct"))
+    c = _of_candidates(chunks, [sparse, dense], depth).select("chunk_id", tx.terms(F.col("text")).alias("ct"))
     lab = labels.select("question_id", "chunk_id").distinct().withColumn("label", F.lit(1))
     rows = both.join(q, "question_id").join(c, "chunk_id").join(lab, ["question_id", "chunk_id"], "left")
     qs, cs = F.array_distinct("qt"), F.array_distinct("ct")
@@ -104,7 +110,7 @@ def fusion_features(sparse: DataFrame, dense: DataFrame, questions: DataFrame, c
     named = numbers.join(aliases, "document_key").select("question_id", "context_id").distinct().withColumn("by_number", F.lit(1.0))
     law = laws.groupBy("context_id").agg(F.collect_set("law_key").alias("law_keys"))
     hit = exact.select("question_id", "chunk_id").where("chunk_id IS NOT NULL").distinct().withColumn("hit", F.lit(1.0))
-    place = chunks.select("chunk_id", "context_id", *[_part(F.col("path"), label).alias(kind) for kind, label in _LABELS])
+    place = _of_candidates(chunks, [sparse, dense], depth).select("chunk_id", "context_id", *[_part(F.col("path"), label).alias(kind) for kind, label in _LABELS])
     j = rows.join(place, "chunk_id").join(c, "question_id").join(hit, ["question_id", "chunk_id"], "left").join(named, ["question_id", "context_id"], "left").join(law, "context_id", "left")
     one = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     same = lambda kind: lambda x: F.coalesce(x[kind] == F.col(kind), F.lit(False))

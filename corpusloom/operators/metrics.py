@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.retrieve import small
+from corpusloom.plans.materialize import written
 
 
 def per_question(ranking: DataFrame, labels: DataFrame, questions: DataFrame | None = None, depth: int = 10) -> DataFrame:
@@ -91,6 +93,7 @@ def set_metrics(ranking: DataFrame, labels: DataFrame, spans: DataFrame, questio
     top = lambda c, k: F.count_if(F.col("rank").isNotNull() & (F.col("rank") <= k) & c)
     yes, need = F.col("grade").isNotNull(), F.coalesce(F.col("grade") >= 2, F.lit(False))
     at = F.when(yes, F.struct("context_id", "path"))
+    spans = spans.join(small(ranking.select("chunk_id").distinct()), "chunk_id", "left_semi")  # before costs are computed
     r = ranking.select("question_id", "rank", "chunk_id").join(spans.select("chunk_id", "context_id", "path", "cost"), "chunk_id").join(lab, ["question_id", "chunk_id"], "left")
     seen = r.groupBy("question_id").agg(
         F.count(F.col("grade")).alias("ranked"), *[top(yes, k).alias(f"hit{k}") for k in (1, 3)], *[top(need, k).alias(f"need{k}") for k in (1, 3)], top(F.lit(True), 3).alias("evidence_count_at_3"),
@@ -218,15 +221,17 @@ def rates(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def containment_join(haystack: DataFrame, needles: DataFrame) -> DataFrame:
     """Rows (needle_id, chunk_id) where a needle's token sequence stands in a text: its rarest token fetches texts, then the run is checked.
 
-    haystack (chunk_id, text), needles (needle_id, text). Needles without tokens fit nothing.
+    haystack (chunk_id, text), needles (needle_id, text). Needles without tokens fit nothing. The terms of needles in each text are written once; of the texts
+    only those that a rarest token fetches are read again.
     """
     wrap = lambda t: F.concat(F.lit("\u0001"), F.array_join(t, "\u0001"), F.lit("\u0001"))
     n = needles.select("needle_id", tx.terms(F.col("text")).alias("t")).where(F.size("t") > 0)
     asked = n.select("needle_id", F.explode(F.array_distinct("t")).alias("term"))
-    toks = haystack.select("chunk_id", tx.terms(F.col("text")).alias("t"))
-    post = toks.select("chunk_id", F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(asked.select("term").distinct()) if asked.count() <= 100_000 else asked.select("term").distinct(), "term", "left_semi")
+    terms = haystack.select("chunk_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
+    post = written(terms.join(small(asked.select("term").distinct()), "term", "left_semi").select("chunk_id", "term"), "needle-terms")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     anchor = asked.join(df, "term", "left").fillna(0, ["df"]).groupBy("needle_id").agg(F.min(F.struct("df", "term")).alias("a")).where("a.df > 0").select("needle_id", F.col("a.term").alias("term"))
-    cand = anchor.join(post, "term").select("needle_id", "chunk_id")
-    full = cand.join(n.select("needle_id", wrap(F.col("t")).alias("needle")), "needle_id").join(toks.select("chunk_id", wrap(F.col("t")).alias("hay")), "chunk_id")
+    cand = written(small(written(anchor, "needle-anchors")).join(post, "term").select("needle_id", "chunk_id"), "needle-fetched")
+    hay = haystack.join(small(cand.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", wrap(tx.terms(F.col("text"))).alias("hay"))
+    full = cand.join(n.select("needle_id", wrap(F.col("t")).alias("needle")), "needle_id").join(hay, "chunk_id")
     return full.where(F.contains("hay", "needle")).select("needle_id", "chunk_id")

@@ -59,7 +59,7 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(tx.terms(F.col("question")))).alias("term"))
 
 
-def _small(table: DataFrame) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
     """table, with the hint to broadcast it where it has few rows of short values."""
     return F.broadcast(table) if table.count() <= BROADCAST_TERMS else table
 
@@ -70,13 +70,13 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     chunks is an index, or (chunk_id, text), which is tokenised then.
     """
     index, asked = _indexed(chunks), query_terms(questions)
-    vocabulary = _small(asked.select("term").distinct())
+    vocabulary = small(asked.select("term").distinct())
     stats = corpus_stats(index).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     df = index.select(F.explode(F.array_distinct("t")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    weighted = _small(asked.join(df.select("term", idf.alias("idf")), "term"))
+    weighted = small(asked.join(df.select("term", idf.alias("idf")), "term"))
     hits = postings(index, vocabulary).withColumn("weight", weight).join(weighted, "term")
     return hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("weight")).alias("score")).where("score > 0")
 
@@ -162,7 +162,7 @@ def resolve_exact(references: DataFrame, aliases: DataFrame, chunks: DataFrame)
     state = F.when(F.col("lo").isNull(), "EXACT_DOCUMENT_UNRESOLVED").when(F.col("lo") < F.col("hi"), "EXACT_DOCUMENT_AMBIGUOUS")
 
     free = references.where("document_key IS NULL").select("question_id", *coordinate)
-    hits = place.join(_small(free.select(*coordinate).distinct()), fits).groupBy(*coordinate).agg(*ends)
+    hits = place.join(small(free.select(*coordinate).distinct()), fits).groupBy(*coordinate).agg(*ends)
     hits = hits.select(*[F.col(c).alias(f"at_{c}") for c in coordinate], "first", "last")
     free = free.join(hits, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in coordinate]), "left")
 
