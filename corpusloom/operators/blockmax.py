@@ -52,11 +52,17 @@ def _blocked(batches, asked: list[str] | None = None):
 
     def out():
         whole = pa.Table.from_batches(held).combine_chunks()
-        n, lists = whole.num_rows, whole.column("t").combine_chunks()
+        held.clear()
+        n, names, lists = whole.num_rows, whole.column("chunk_id").to_pylist(), whole.column("t").combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
-        key = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths)
-        key, tf = np.unique(key, return_counts=True)
+        del whole, lists  # what follows works in place, on numbers alone
+        key = coded.indices.to_numpy().astype(np.int64)
+        key *= n
+        key += np.repeat(np.arange(n), lengths)
+        key.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        key, tf = key[first], np.diff(first, append=len(key))
         code, at, tf = key // n, (key % n).astype(np.int32), tf.astype(np.int32)
         own = np.bincount(at, minlength=n).astype(np.int32)
         if asked is not None:
@@ -68,7 +74,7 @@ def _blocked(batches, asked: list[str] | None = None):
         m = len(edge)
         columns = [
             pa.array([task << 32 | made] * (m + 1), pa.int64()), pa.concat_arrays([coded.dictionary.take(pa.array(code[edge])).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array([*cut(at), None], pa.binary()), pa.array([*cut(tf), None], pa.binary()),
-            pa.array([None] * m + [whole.column("chunk_id").to_pylist()], pa.list_(pa.string())), pa.array([None] * m + [lengths.astype(np.int32).tobytes()], pa.binary()), pa.array([None] * m + [own.tobytes()], pa.binary()),
+            pa.array([None] * m + [names], pa.list_(pa.string())), pa.array([None] * m + [lengths.astype(np.int32).tobytes()], pa.binary()), pa.array([None] * m + [own.tobytes()], pa.binary()),
             pa.array([None] * m + [int(lengths.sum())], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["range", "term", "at", "tf", "names", "dl", "own", "total"])
@@ -79,6 +85,7 @@ def _blocked(batches, asked: list[str] | None = None):
             n = len(part.column("t").flatten())
             if held and (sum(x.num_rows for x in held) + part.num_rows > DOCS or size + n > TERMS):
                 yield out()
+                tidy()
                 made, held, size = made + 1, [], 0
             held.append(part)
             size += n
@@ -216,7 +223,7 @@ def _overlapping(asked: dict, k: int):
 _FOUND = "question_id string, chunk_id string, score double"
 
 
-def _by_range(groups, run) -> DataFrame:
+def _by_range(groups, run, kind: str = _FOUND) -> DataFrame:
     """What is found in each range; a worker keeps nothing of a range that it has searched."""
 
     def tidied(group: pa.Table) -> pa.Table:
@@ -225,7 +232,16 @@ def _by_range(groups, run) -> DataFrame:
         finally:
             tidy()
 
-    return groups.applyInArrow(tidied, _FOUND)
+    return groups.applyInArrow(tidied, kind)
+
+
+def _needed(postings: Postings, terms: list[str]):
+    """The blocks of some terms, range by range with its head."""
+    blocks = postings.blocks.select("range", "term", "at", "tf", "names", "dl", "own")
+    if len(terms) <= FEW:
+        return blocks.where(F.col("term").isin(terms) | F.col("term").isNull()).groupBy("range")
+    known = blocks.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return blocks.join(F.broadcast(known), "term", "left_semi").unionByName(blocks.where("term IS NULL")).groupBy("range")
 
 
 def _slices(postings: Postings, questions: DataFrame):
@@ -242,13 +258,7 @@ def _slices(postings: Postings, questions: DataFrame):
         terms = {t for x in out.values() for t, _ in x}
         if not terms:
             continue
-        blocks = postings.blocks.select("range", "term", "at", "tf", "names", "dl", "own")
-        if len(terms) <= FEW:
-            needed = blocks.where(F.col("term").isin(sorted(terms)) | F.col("term").isNull())
-        else:
-            known = blocks.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-            needed = blocks.join(F.broadcast(known), "term", "left_semi").unionByName(blocks.where("term IS NULL"))
-        yield {q: sorted(x) for q, x in out.items()}, needed.groupBy("range")
+        yield {q: sorted(x) for q, x in out.items()}, _needed(postings, sorted(terms))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -282,6 +292,20 @@ def work(postings: Postings, questions: DataFrame, k: int = 12) -> DataFrame:
     return _bm25(postings, questions, k, report=True).agg(F.sum(F.col("chunk_id").cast("long")).alias("pairs"), F.sum("score").cast("long").alias("scored"))
 
 
+def _holding(group: pa.Table) -> pa.Table:
+    names, _, _, blocks = _read(group, lambda tf, dl: None)
+    terms = [t for t, (at, _) in blocks.items() for _ in at]
+    ids = [x for at, _ in blocks.values() for x in names[at].tolist()]
+    return pa.table([pa.array(terms, pa.string()), pa.array(ids, pa.string())], names=["term", "chunk_id"])
+
+
+def holders(postings: Postings, terms: list[str]) -> DataFrame:
+    """Rows (term, chunk_id) of the chunks that hold one of up to SLICE terms, read from the index, which must serve them."""
+    if len(terms) > SLICE:
+        raise ValueError(f"{len(terms)} terms are more than go out at once")
+    return _by_range(_needed(postings, terms), _holding, "term string, chunk_id string")
+
+
 def lexical(postings: Postings, questions: DataFrame, k: int = 50) -> DataFrame:
     """Ranking by the Jaccard similarity of term sets: the deterministic stand-in for a model's scores."""
     return _ranked(_all(postings, [_by_range(groups, _overlapping(asked, k)) for asked, groups in _slices(postings, questions)]), k)
