@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
+from corpusloom.operators import blockmax
 from corpusloom.operators.retrieve import small
 from corpusloom.plans.materialize import written
 
@@ -218,20 +219,29 @@ def rates(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.avg((F.col(column) == v).cast("double")).alias(f"rate_{v}") for v in values])
 
 
-def containment_join(haystack: DataFrame, needles: DataFrame) -> DataFrame:
+def containment_join(haystack: DataFrame, needles: DataFrame, postings: blockmax.Postings | None = None) -> DataFrame:
     """Rows (needle_id, chunk_id) where a needle's token sequence stands in a text: its rarest token fetches texts, then the run is checked.
 
     haystack (chunk_id, text), needles (needle_id, text). Needles without tokens fit nothing. The terms of needles in each text are written once; of the texts
-    only those that a rarest token fetches are read again.
+    only those that a rarest token fetches are read again. With postings of the haystack that serve the needles' terms no text is read but those: the index has the rest.
     """
     wrap = lambda t: F.concat(F.lit("\u0001"), F.array_join(t, "\u0001"), F.lit("\u0001"))
     n = needles.select("needle_id", tx.terms(F.col("text")).alias("t")).where(F.size("t") > 0)
     asked = n.select("needle_id", F.explode(F.array_distinct("t")).alias("term"))
-    terms = haystack.select("chunk_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
-    post = written(terms.join(small(asked.select("term").distinct()), "term", "left_semi").select("chunk_id", "term"), "needle-terms")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    if postings is None:
+        terms = haystack.select("chunk_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
+        post = written(terms.join(small(asked.select("term").distinct()), "term", "left_semi").select("chunk_id", "term"), "needle-terms")
+        df = post.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        df = blockmax.frequencies(postings)
     anchor = asked.join(df, "term", "left").fillna(0, ["df"]).groupBy("needle_id").agg(F.min(F.struct("df", "term")).alias("a")).where("a.df > 0").select("needle_id", F.col("a.term").alias("term"))
-    cand = written(small(written(anchor, "needle-anchors")).join(post, "term").select("needle_id", "chunk_id"), "needle-fetched")
+    anchor = written(anchor, "needle-anchors")
+    if postings is not None:
+        rarest = [r["term"] for r in anchor.select("term").distinct().limit(blockmax.SLICE + 1).collect()]
+        if len(rarest) > blockmax.SLICE:
+            return containment_join(haystack, needles)
+        post = blockmax.holders(postings, sorted(rarest))
+    cand = written(small(anchor).join(post, "term").select("needle_id", "chunk_id"), "needle-fetched")
     hay = haystack.join(small(cand.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", wrap(tx.terms(F.col("text"))).alias("hay"))
     full = cand.join(n.select("needle_id", wrap(F.col("t")).alias("needle")), "needle_id").join(hay, "chunk_id")
     return full.where(F.contains("hay", "needle")).select("needle_id", "chunk_id")

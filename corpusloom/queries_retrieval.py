@@ -235,9 +235,13 @@ def fusion_features(spark, d):
     q = questions(spark, d)
     index = blockmax.build(c, q)
     s, l = written(retrieve.bm25(index, q, DEPTH), "fusion-bm25"), written(retrieve.lexical(index, q, DEPTH), "fusion-lexical")
-    found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")))
+    found = metrics.containment_join(c.select("chunk_id", "text"), q.select(F.col("question_id").alias("needle_id"), F.col("question").alias("text")), index)
     exact = queries_corpus._resolved(q, passages, c.withColumn("hierarchy_path", F.col("path")))
-    out = fuse.fusion_features(s, l, q, c, found.withColumnRenamed("needle_id", "question_id"), exact, queries_corpus._aliases(passages), queries_corpus._laws(passages))
+    # features name documents of candidates alone; written, so that no filter on what is parsed of a name goes below the join
+    ids = s.select("chunk_id").unionByName(l.select("chunk_id")).distinct()
+    places = c.select("chunk_id", "context_id").join(retrieve.small(ids), "chunk_id", "left_semi").select("context_id").distinct()
+    near = written(passages.join(retrieve.small(places), "context_id", "left_semi").select("context_id", "name", F.substring("passage", 1, 256).alias("passage")), "fusion-near")
+    out = fuse.fusion_features(s, l, q, c, found.withColumnRenamed("needle_id", "question_id"), exact, queries_corpus._aliases(near), queries_corpus._laws(near))
     return r6(out, "bm25_score", "dense_score", "lexical_overlap", "legal_term_overlap")
 
 
