@@ -1,7 +1,7 @@
 """Boosted ranking trees (LambdaMART) over candidate tables, fitted by one pass over the rows for each level of a tree.
 
-Rows are packed once into blocks of whole questions: the bin of every feature as a byte, labels, and where questions begin. A pass scores a block with the trees so far, takes the
-gradients of each question's pairs, and sends the sums of gradients, curvatures and rows for every open node, feature and bin, arrays whose size depends on the recipe alone.
+Rows are packed once into blocks of whole questions: the bin of every feature as a byte, labels, where questions begin, and the scores, which are written anew after each KEPT trees. A pass adds the trees
+since then, takes the gradients of each question's pairs, and sends the sums of gradients, curvatures and rows for every open node, feature and bin, arrays whose size depends on the recipe alone.
 The driver sees these sums only. Gradients are rounded to multiples of 2**-32 before they are added, so sums do not depend on their order, and
 neither partitions nor lost executors change the model.
 
@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.plans.materialize import written
+from corpusloom.plans.materialize import forget, written
 
-#: Rows that bins come from, bins of a feature, rows of a block at most beside a last question, places that pairs need one of, bits of a gradient behind the point.
-SAMPLE, BINS, ROWS, CUT, BITS = 100_000, 64, 1 << 16, 30, 32
+#: Rows that bins come from, bins of a feature, rows of a block at most beside a last question, places that pairs need one of, bits of a gradient behind the point, trees between written scores, blocks whose sums meet at the driver at most.
+SAMPLE, BINS, ROWS, CUT, BITS, KEPT, FEW = 100_000, 64, 1 << 16, 30, 32, 16, 64
+
+
+#: The columns of a block.
+BLOCK = ("bins", "labels", "starts", "scores")
 
 
 @dataclass(frozen=True)
@@ -85,8 +89,8 @@ def _leaf_of(bins: np.ndarray, tree) -> np.ndarray:
     return at
 
 
-def _scored(bins: np.ndarray, trees) -> np.ndarray:
-    out = np.zeros(len(bins))
+def _scored(bins: np.ndarray, trees, before: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros(len(bins)) if before is None else before.copy()
     for t in trees:
         out += np.array([n[4] for n in t])[_leaf_of(bins, t)]
     return out
@@ -122,42 +126,56 @@ def _packed(names: list[str], edges: tuple):
         order = sorted(range(len(keys)), key=lambda i: tuple(x.encode() for x in keys[i]))
         bins = np.stack([np.searchsorted(np.array(e), group.column(f).to_numpy(), side="left") for f, e in zip(names, edges)], axis=1).astype(np.uint8)[order]
         starts = [i for i, o in enumerate(order) if i == 0 or keys[o][0] != keys[order[i - 1]][0]]
-        columns = [bins.tobytes(), group.column("label").to_numpy()[order].astype("<i4").tobytes(), np.array([*starts, len(order)], "<i8").tobytes()]
-        return pa.table({c: pa.array([x], pa.binary()) for c, x in zip(("bins", "labels", "starts"), columns)})
+        columns = [bins.tobytes(), group.column("label").to_numpy()[order].astype("<i4").tobytes(), np.array([*starts, len(order)], "<i8").tobytes(), np.zeros(len(order)).tobytes()]
+        return pa.table({c: pa.array([x], pa.binary()) for c, x in zip(BLOCK, columns)})
+
+    return run
+
+
+def _advanced(width: int, trees):
+    """Blocks with the scores that trees bring added."""
+
+    def run(batches):
+        for b in batches:
+            scores = [_scored(np.frombuffer(raw, np.uint8).reshape(-1, width), trees, np.frombuffer(had)).tobytes() for raw, had in zip(b.column("bins").to_pylist(), b.column("scores").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in BLOCK[:-1]], pa.array(scores, pa.binary())], names=list(BLOCK))
 
     return run
 
 
 def _summed(width: int, trees, growing, open_: list[int]):
-    """Sums of a block: for each open node an array of (feature, bin) times (gradient, curvature, rows)."""
+    """Sums of a task's blocks: for each open node an array of (gradient, curvature, rows) times (feature, bin), as bytes."""
     size = width * BINS
 
     def run(batches):
+        total = np.zeros((len(open_), 3, size), np.int64)
         for b in batches:
-            for raw, labels, starts in zip(*[b.column(c).to_pylist() for c in ("bins", "labels", "starts")]):
+            for raw, labels, starts, had in zip(*[b.column(c).to_pylist() for c in BLOCK]):
                 bins = np.frombuffer(raw, np.uint8).reshape(-1, width)
                 labels, starts = np.frombuffer(labels, "<i4"), np.frombuffer(starts, "<i8")
-                scores = _scored(bins, trees)
+                scores = _scored(bins, trees, np.frombuffer(had))
                 g, h = np.zeros(len(bins)), np.zeros(len(bins))
                 for s, e in zip(starts[:-1], starts[1:]):
                     g[s:e], h[s:e] = gradients(labels[s:e], scores[s:e])
                 whole = [np.rint(x * 2.0**BITS).astype(np.int64) for x in (g, h)]
                 node = _leaf_of(bins, growing)
-                out = []
-                for at in open_:
+                for sums, at in zip(total, open_):
                     mine = node == at
                     cell = (np.arange(width) * BINS + bins[mine]).ravel()
-                    sums = [np.zeros(size, np.int64) for _ in range(3)]
-                    for total, x in zip(sums, [x[mine] for x in whole]):
-                        np.add.at(total, cell, np.repeat(x, width))
+                    for to, x in zip(sums, [x[mine] for x in whole]):
+                        np.add.at(to, cell, np.repeat(x, width))
                     sums[2] += np.bincount(cell, minlength=size)
-                    out.append(np.concatenate(sums))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * size * len(out) + 1, 3 * size), pa.int32()), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([pa.array(open_, pa.int32()), lists], names=["node", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(open_, pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["node", "sums"])
 
     return run
 
 
+def _together(group: pa.Table) -> pa.Table:
+    """The sums of all tasks for one node."""
+    total = sum(np.frombuffer(x, np.int64) for x in group.column("sums").to_pylist())
+    return pa.table({"node": group.column("node").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def _best(sums: np.ndarray, width: int, recipe: Recipe):
     """The best split of a node as (gain, feature, bin), and its value; ties go to the first feature and bin."""
     g, h, n = sums.reshape(3, width, BINS)
@@ -191,19 +209,19 @@ def fit(rows: DataFrame, features: list[str], recipe: Recipe = Recipe()) -> Mode
         if len(values) > BINS:
             values = np.unique(np.quantile(column, np.arange(1, BINS) / BINS, method="lower"))
         edges.append(tuple(values[: BINS - 1].tolist()))
-    part = F.pmod(F.xxhash64("question_id"), F.lit(-(-n // ROWS)))
-    blocks = written(told.groupBy(part.alias("part")).applyInArrow(_packed(features, tuple(edges)), "bins binary, labels binary, starts binary"), "boost-blocks")
+    parts, kind = -(-n // ROWS), ", ".join(f"{c} binary" for c in BLOCK)
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts))
+    blocks = written(told.groupBy(part.alias("part")).applyInArrow(_packed(features, tuple(edges)), kind), "boost-blocks")
     width, trees = len(features), []
     for _ in range(recipe.trees):
         tree: list[list] = [[-1, 0, 0, 0, 0.0, 0.0]]
         open_ = [0]
         while open_:
-            found = blocks.mapInArrow(_summed(width, tuple(trees), tuple(map(tuple, tree)), open_), "node int, sums array<bigint>")
-            # arrays of a size that the recipe fixes, one for each open node and block: added up place by place before the driver sees them
-            added = found.select("node", F.posexplode("sums").alias("at", "v")).where("v <> 0").groupBy("node", "at").agg(F.sum("v").alias("v"))
+            # arrays of a size that the recipe fixes, one for each open node and task; those of many tasks are added up before the driver sees them
+            found = blocks.mapInArrow(_summed(width, tuple(trees[len(trees) // KEPT * KEPT :]), tuple(map(tuple, tree)), open_), "node int, sums binary")
             sums = {at: np.zeros(3 * width * BINS, np.int64) for at in open_}
-            for r in added.collect():
-                sums[r["node"]][r["at"]] = r["v"]
+            for r in (found if parts <= FEW else found.groupBy("node").applyInArrow(_together, "node int, sums binary")).collect():
+                sums[r["node"]] += np.frombuffer(r["sums"], np.int64)
             splits = []
             for at in open_:
                 best, tree[at][4] = _best(sums[at], width, recipe)
@@ -216,6 +234,9 @@ def fit(rows: DataFrame, features: list[str], recipe: Recipe = Recipe()) -> Mode
                     open_ += [len(tree), len(tree) + 1]
                     tree += [[-1, 0, 0, 0, 0.0, 0.0], [-1, 0, 0, 0, 0.0, 0.0]]
         trees.append(tuple(map(tuple, tree)))
+        if len(trees) % KEPT == 0 and len(trees) < recipe.trees:
+            had, blocks = blocks, written(blocks.mapInArrow(_advanced(width, tuple(trees[-KEPT:])), kind), "boost-blocks")
+            forget(had)
     return Model(tuple(features), tuple(edges), tuple(trees))
 
 

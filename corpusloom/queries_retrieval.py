@@ -251,7 +251,7 @@ def _learned(spark, d):
     parts = split.group_split(rows.select(F.col("question_id").alias("id")).distinct(), "learned.v1").withColumnRenamed("id", "question_id")
     rows = rows.join(parts, "question_id")
     features = [c for c in rows.columns if c not in ("question_id", "chunk_id", "label", "partition")]
-    model = boost.fit(rows.where("partition = 'fit'"), features, boost.Recipe(trees=8, rate=0.2))
+    model = boost.fit(rows.where("partition = 'fit'"), features)
     held = rows.where("partition = 'validation'")
     fixed = [held.select("question_id", "chunk_id", F.col(c).alias("rank")).where(F.col("rank") <= DEPTH) for c in ("bm25_rank", "dense_rank")]
     return boost.predict(model, held, DEPTH), fuse.reciprocal_rank_fusion(fixed), held.where("label > 0").select("question_id", "chunk_id")
